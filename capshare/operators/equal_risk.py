@@ -1,9 +1,8 @@
 """Equal-risk split: every cell gets ``backlog + F^-1(1 - level / weight)`` at one common level per (link, epoch).
 
 The level is the smallest one whose budgets fit the capacity.  A cell's budget is piecewise linear in the level, so the
-total is too: each cell emits the intercept and slope changes at its knots, the changes are pre-aggregated per
-(link, epoch, knot) - knots depend on weights only, so most of them coincide and combine before the shuffle - and one
-running sum over the knots finds the crossing exactly.  This replaces an iterative search with a sort.
+total is too: each cell emits the value changes at its knots and one running sum over the knots of its (link, epoch) finds
+the crossing exactly.  This replaces an iterative search with a sort.
 """
 from __future__ import annotations
 
@@ -23,64 +22,83 @@ def budget_at(level, back, q, weight, delta, cap, floor) -> Column:
     return F.greatest(col(floor), F.least(F.when(p <= 0, F.lit(0.0)).otherwise(target), col(cap)))
 
 
-def _pieces(back, q, weight, delta, cap, floor, levels=QUANTILE_LEVELS) -> list[Column]:
-    """Linear pieces ``value = icpt + slope * level`` on ``[lo, hi)`` of one cell's budget, clamped to [floor, cap]."""
-    back, q, w, d, cap, floor = (col(x) for x in (back, q, weight, delta, cap, floor))
+def _spans(q: Column, levels=QUANTILE_LEVELS) -> Column:
+    """Linear spans of the quantile function, from the top down: probability range, value at its low end, slope."""
     at = [F.get(q, F.lit(i)) for i in range(len(levels))]
     last = len(levels) - 1
     tail = (at[last] - at[last - 1]) / F.lit(max(levels[last] - levels[last - 1], 1e-6))
     zero = F.lit(0.0)
-    # (p from, p to, value at p from, slope in p); the open ends are flat
-    spans = [(None, levels[0], at[0], zero)]
-    spans += [(levels[i], levels[i + 1], at[i], (at[i + 1] - at[i]) / F.lit(levels[i + 1] - levels[i])) for i in range(last)]
-    spans += [(levels[last], 1.0, at[last], tail), (1.0, None, at[last] + tail * F.lit(1.0 - levels[last]), zero)]
-    out = []
-    for p_from, p_to, value, slope in spans:
-        lo = F.lit(0.0) if p_to is None else F.greatest(w * (F.lit(1.0 - p_to) + d), zero)
-        hi = w if p_from is None else F.least(w * (F.lit(1.0 - p_from) + d), w)
-        lo, hi = F.least(lo, w), F.greatest(hi, zero)
-        icpt = back + value + (slope * (F.lit(1.0 - p_from) + d) if p_from is not None else zero)
-        m = -slope / w
-        flat = m == 0
-        to_cap = F.when(flat, F.when(icpt > cap, hi).otherwise(lo)).otherwise((icpt - cap) / -m)
-        to_floor = F.when(flat, F.when(icpt < floor, lo).otherwise(hi)).otherwise((icpt - floor) / -m)
-        a = F.least(F.greatest(to_cap, lo), hi)
-        b = F.least(F.greatest(to_floor, a), hi)
-        out += [F.struct(lo.alias("lo"), a.alias("hi"), cap.alias("icpt"), zero.alias("slope")),
-                F.struct(a.alias("lo"), b.alias("hi"), icpt.alias("icpt"), m.alias("slope")),
-                F.struct(b.alias("lo"), hi.alias("hi"), floor.alias("icpt"), zero.alias("slope"))]
-    out.append(F.struct(w.alias("lo"), F.lit(float("inf")).alias("hi"), floor.alias("icpt"), zero.alias("slope")))
-    return out
-
-
-def risk_level(df: DataFrame, back, weight, delta, floor, group: Sequence[str] = GROUP, q="q") -> DataFrame:
-    """(group, level): the smallest level whose total budget is within the capacity."""
-    pieces = (df.select(*group, "capacity", F.explode(F.array(*_pieces(back, q, weight, delta, "cap", floor))).alias("s"))
-              .where("s.hi > s.lo"))
-    ends = pieces.select(*group, "capacity", F.explode(F.array(
-        F.struct(F.col("s.lo").alias("at"), F.col("s.icpt").alias("a"), F.col("s.slope").alias("m")),
-        F.struct(F.col("s.hi").alias("at"), (-F.col("s.icpt")).alias("a"), (-F.col("s.slope")).alias("m")))).alias("e"))
-    knots = (ends.where("e.at < double('infinity')").groupBy(*group, F.col("e.at").alias("at"))
-             .agg(F.first("capacity").alias("capacity"), F.sum("e.a").alias("a"), F.sum("e.m").alias("m")))
-    w = W.partitionBy(*group).orderBy("at")
-    run = knots.withColumns({"_a": F.sum("a").over(w), "_m": F.sum("m").over(w), "_next": F.lead("at").over(w)})
-    here, there = F.col("_a") + F.col("_m") * F.col("at"), F.col("_a") + F.col("_m") * F.col("_next")
-    hit = (F.when(here <= F.col("capacity"), F.col("at"))
-           .when(there <= F.col("capacity"), F.least(F.col("at") + (here - F.col("capacity")) / -F.col("_m"), F.col("_next"))))
-    return run.groupBy(*group).agg(F.min(hit).alias("level"))
+
+    def span(p_lo, p_hi, value, slope):
+        return F.struct(F.lit(p_lo).alias("p_lo"), F.lit(p_hi).alias("p_hi"), value.alias("value"), slope.alias("slope"))
+
+    inner = [span(levels[i], levels[i + 1], at[i], (at[i + 1] - at[i]) / F.lit(levels[i + 1] - levels[i])) for i in range(last)]
+    # the open ends are flat; wide finite bounds keep the arithmetic free of infinities
+    return F.array(span(1.0, 9.0, at[last] + tail * F.lit(1.0 - levels[last]), zero),
+                   span(levels[last], 1.0, at[last], tail), *inner, span(-9.0, levels[0], at[0], zero))
+
+
+def with_level(df: DataFrame, back, weight, delta, floor, group: Sequence[str] = GROUP, q="q", out: str = "level") -> DataFrame:
+    """Add the smallest level whose total budget is within the capacity.
+
+    Each cell becomes the value changes of its piecewise-linear budget, the first of which carries the cell's row; a running
+    sum over (group, level) finds the crossing and the carried rows come back with it: one shuffle, no join.
+    """
+    w = F.col("_w")
+    keep = df.columns
+    rows = df.select(*group, F.col("capacity").alias("_c"), F.col("cap").alias("_cap"), col(back).alias("_b"), col(weight).alias("_w"),
+                     col(delta).cast("double").alias("_d"), col(floor).cast("double").alias("_f"),
+                     F.struct(*keep).alias("_row"), F.posexplode(_spans(col(q))).alias("_i", "_s"))
+    zero = F.lit(0.0)
+    # budget = icpt + slope * level on [lo, hi)
+    rows = rows.select(
+        *group, "_c", "_cap", "_f", "_i", F.when(F.col("_i") == 0, F.col("_row")).alias("_row"),
+        F.least(F.greatest(w * (F.lit(1.0) - F.col("_s.p_hi") + F.col("_d")), zero), w).alias("_lo"),
+        F.least(F.greatest(w * (F.lit(1.0) - F.col("_s.p_lo") + F.col("_d")), zero), w).alias("_hi"),
+        (F.col("_b") + F.col("_s.value") + F.col("_s.slope") * (F.lit(1.0) - F.col("_s.p_lo") + F.col("_d"))).alias("_icpt"),
+        (-F.col("_s.slope") / w).alias("_m"))
+    rows = rows.where("_lo < _hi or _i in (0, 7)")
+    flat = F.col("_m") == 0
+    rows = rows.withColumns({
+        "_tocap": F.when(flat, F.when(F.col("_icpt") > F.col("_cap"), F.col("_hi")).otherwise(F.col("_lo")))
+        .otherwise((F.col("_icpt") - F.col("_cap")) / -F.col("_m")),
+        "_tofloor": F.when(flat, F.when(F.col("_icpt") < F.col("_f"), F.col("_lo")).otherwise(F.col("_hi")))
+        .otherwise((F.col("_icpt") - F.col("_f")) / -F.col("_m"))})
+    rows = rows.withColumn("_x", F.least(F.greatest("_tocap", "_lo"), F.col("_hi")))
+    rows = rows.withColumn("_y", F.least(F.greatest("_tofloor", "_x"), F.col("_hi")))
+
+    def change(at, da, dm):
+        return F.struct(at.alias("at"), da.alias("a"), dm.alias("m"))
+
+    # cap on [lo, x), the line on [x, y), the floor on [y, hi); the last span keeps the floor for good
+    changes = F.array(change(F.col("_lo"), F.col("_cap"), zero),
+                      change(F.col("_x"), F.col("_icpt") - F.col("_cap"), F.col("_m")),
+                      change(F.col("_y"), F.col("_f") - F.col("_icpt"), -F.col("_m")),
+                      change(F.col("_hi"), F.when(F.col("_i") == 7, zero).otherwise(-F.col("_f")), zero))
+    ev = rows.select(*group, "_c", "_row", F.posexplode(changes).alias("_k", "_e"))
+    ev = ev.select(*group, "_c", F.when(F.col("_k") == 0, F.col("_row")).alias("_row"), "_e.at", "_e.a", "_e.m")
+    ev = ev.where("_row is not null or a != 0 or m != 0")
+    o = W.partitionBy(*group).orderBy("at")
+    ev = ev.withColumns({"_a": F.sum("a").over(o), "_sm": F.sum("m").over(o), "_next": F.lead("at").over(o)})
+    here, there = F.col("_a") + F.col("_sm") * F.col("at"), F.col("_a") + F.col("_sm") * F.col("_next")
+    tol = F.col("_c") * F.lit(1e-13)       # running sums carry rounding noise of this order
+    hit = (F.when(here <= F.col("_c") + tol, F.col("at"))
+           .when(there <= F.col("_c"), F.least(F.col("at") + (here - F.col("_c")) / -F.col("_sm"), F.col("_next"))))
+    ev = ev.withColumn("_hit", hit).withColumn(out, F.min("_hit").over(W.partitionBy(*group)))
+    return ev.where("_row is not null").select("_row.*", out)
 
 
 def equal_risk(df: DataFrame, back="backlog", weight="weight", delta=0.0, group: Sequence[str] = GROUP, q: str = "q") -> DataFrame:
     """Budgets and the common level; level 0 when everything fits (headroom is then spread)."""
     df = df.withColumns({"_back": col(back), "_w": col(weight), "_delta": col(delta).cast("double")})
-    levels = risk_level(df, "_back", "_w", "_delta", F.lit(0.0), group, q)
-    df = df.join(levels, [*group])
+    df = df.withColumn("_top", budget_at(F.lit(0.0), "_back", q, "_w", "_delta", "cap", F.lit(0.0)))
+    df = water_fill(df, "_top", F.lit(1.0), group, out="_fit")       # partitions the cells by group before they fan out
+    df = with_level(df, "_back", "_w", "_delta", F.lit(0.0), group, q)
     at = ("_back", q, "_w", "_delta", "cap", F.lit(0.0))
-    df = df.withColumns({"_top": budget_at(F.lit(0.0), *at), "_r": budget_at("level", *at)})
+    df = df.withColumn("_r", budget_at("level", *at))
     left_limit = F.least(F.col("_back") + Q.inverse_cdf(q, F.least(F.greatest(F.col("_delta"), F.lit(0.0)), F.lit(1.0))), F.col("cap"))
     df = df.withColumn("_jump", F.when(F.col("level") == F.col("_w"), left_limit).otherwise(F.lit(0.0)))
     g = W.partitionBy(*group)
-    df = water_fill(df, "_top", F.lit(1.0), group, out="_fit")
     df = df.withColumns({"_sum0": F.sum("_top").over(g), "_sum": F.sum("_r").over(g), "_jumps": F.sum("_jump").over(g)})
     slack = F.col("capacity") - F.col("_sum")
     bound = F.col("_r") + F.when((slack > 0) & (F.col("_jumps") > 0),
@@ -112,8 +130,7 @@ def two_stage(df: DataFrame, interval: int, horizon: int, p0_ll=0.5, p0_embb=0.5
     df = water_fill(df, "_base", F.col("_v") * F.pow(F.greatest(rel, F.lit(1e-9)), col(eta)), group, out="_shared", leftover=False)
     df = greedy_fill(df, "_base", F.col("_v") * F.col("_pressure"), group, out="_given")
     df = df.withColumn("_left", F.col("capacity") - F.sum("_given").over(g))
-    levels = risk_level(df, "_back", "_omega", F.lit(0.0), F.col("_given"), group)
-    df = df.join(levels, [*group])
+    df = with_level(df, "_back", "_omega", F.lit(0.0), "_given", group)
     df = df.withColumn("_risk", budget_at("level", "_back", "q", "_omega", F.lit(0.0), "cap", "_given"))
     df = water_fill(df, "_risk", F.lit(1.0), group, out="_margin")
     shared = (F.col("_basesum") > F.col("capacity")) & (col(eta) < greedy_at)

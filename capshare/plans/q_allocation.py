@@ -43,7 +43,7 @@ def wf_sql(src: str, demand: str, weight: str, leftover: bool = True, name: str
 
 
 def out_sql(name: str = "wf") -> str:
-    return f"SELECT link_id, epoch, cell_id, round(budget, 5) AS budget FROM {name}"
+    return f"SELECT link_id, epoch, cell_id, round(budget + 1e-9, 5) AS budget FROM {name}"
 
 
 def dec(spark, sf):
@@ -51,7 +51,7 @@ def dec(spark, sf):
 
 
 def out(df):
-    return A.project_budgets(df).select(*ID, F.round("budget", 5).alias("budget"))
+    return A.project_budgets(df).select(*ID, F.round(F.col("budget") + 1e-9, 5).alias("budget"))
 
 
 @query("al_1_water_fill", wf_sql("dec", "backlog + label", "priority") + out_sql(), "dec")
@@ -144,10 +144,10 @@ def risk_sql(src: str, back: str, weight: str, delta: str = "0.0::DOUBLE", q: st
 
 
 @query("al_10_equal_risk", risk_sql("dec", "backlog", "weight")
-       + "SELECT link_id, epoch, cell_id, round(budget, 5) AS budget, round(level, 6) AS level FROM kkt", "dec")
+       + "SELECT link_id, epoch, cell_id, round(budget + 1e-9, 5) AS budget, round(level, 6) AS level FROM kkt", "dec")
 def al10(spark, sf):
     d = R.equal_risk(dec(spark, sf))
-    return A.project_budgets(d).select(*ID, F.round("budget", 5).alias("budget"), F.round("level", 6).alias("level"))
+    return A.project_budgets(d).select(*ID, F.round(F.col("budget") + 1e-9, 5).alias("budget"), F.round("level", 6).alias("level"))
 
 
 @query("al_11_equal_risk_class_weight", risk_sql("dec", "backlog", "CASE WHEN deadline <= 10 THEN 1.5 ELSE 1.0 END * least(greatest(5.0 / deadline, 0.25), 1.0)")
@@ -214,7 +214,7 @@ def _two_stage_sql(eta: float) -> str:
         THEN {{'lo': (s.lo + s.hi) / 2, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': (s.lo + s.hi) / 2}} END, {{'lo': 0.0::DOUBLE, 'hi': top}}).hi END AS hi FROM t3),
       t5 AS (SELECT gr.*, {row} AS risk, capacity - sum(given) OVER (PARTITION BY link_id, epoch) AS rest FROM gr JOIN t4 USING (link_id, epoch))"""
             + wf_sql("(SELECT * EXCLUDE (gd, gs) FROM t5)", "risk", "1.0", True, "mg")
-            + f"""SELECT link_id, epoch, cell_id, round(CASE WHEN basesum > capacity AND {eta} < 6 THEN shared WHEN rest <= 1e-9 THEN given ELSE budget END, 5) AS budget FROM mg""")
+            + f"""SELECT link_id, epoch, cell_id, round(CASE WHEN basesum > capacity AND {eta} < 6 THEN shared WHEN rest <= 1e-9 THEN given ELSE budget END + 1e-9, 5) AS budget FROM mg""")
 
 
 _TS = dict(p0_ll=0.7, p0_embb=0.5, v_ll=2.0, lookahead=1.5, omega_ll=4.0, a=0.8, mu=0.1)
@@ -242,7 +242,7 @@ def _tier_sql(target: str) -> str:
       n2 AS (SELECT *, coalesce(sum(tiersum) OVER (PARTITION BY link_id, epoch ORDER BY tier DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
         sum(tiersum) OVER (PARTITION BY link_id, epoch) AS total FROM n1)
       SELECT f.link_id, f.epoch, f.cell_id, round(CASE WHEN n2.total <= f.capacity THEN f.budget WHEN tiersum <= f.capacity - before THEN need1
-        WHEN f.capacity - before > 0 THEN least(need1 * (f.capacity - before) / tiersum, cap) ELSE 0.0 END, 5) AS budget
+        WHEN f.capacity - before > 0 THEN least(need1 * (f.capacity - before) / tiersum, cap) ELSE 0.0 END + 1e-9, 5) AS budget
       FROM fit f JOIN n2 USING (link_id, epoch, tier)""")
 
 
@@ -270,7 +270,8 @@ def al15(spark, sf):
       round(quantile_cont(level, 0.25), 5) AS q25, round(quantile_cont(level, 0.5), 5) AS median, round(quantile_cont(level, 0.75), 5) AS q75,
       round(1 - least(quantile_cont(level, 0.5), 3.0) / 3.0, 5) AS ll_level FROM lv GROUP BY link_id""", "dec")
 def ag29(spark, sf):
-    d = R.risk_level(dec(spark, sf), "backlog", "weight", F.lit(0.0), F.lit(0.0))
+    d = R.with_level(dec(spark, sf).select("link_id", "epoch", "cap", "capacity", "backlog", "weight", "q"), "backlog", "weight", F.lit(0.0), F.lit(0.0))
+    d = d.groupBy("link_id", "epoch").agg(F.first("level").alias("level"))
     med = F.percentile("level", 0.5)
     return d.groupBy("link_id").agg(
         F.count("*").alias("epochs"), F.round(F.avg((F.col("level") > 0).cast("int")), 6).alias("binding"),
