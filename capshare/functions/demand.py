@@ -25,29 +25,35 @@ def prefix_sums(values) -> Column:
                        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (a lambda body is otherwise re-evaluated per element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def required_rate(values, deadline) -> Column:
     """Rate of one horizon array; 0 for an empty one."""
-    cs, d = prefix_sums(values), col(deadline)
+    d, n = col(deadline), F.size(col(values))
 
-    def best_ending(e):
-        return F.array_max(F.transform(F.sequence(F.lit(0), e - 1),
-                                       lambda s: (F.get(cs, e) - F.get(cs, s)) / (e - s + d)))
+    def over(cs):
+        def best_ending(e):
+            return F.array_max(F.transform(F.sequence(F.lit(0), e - 1),
+                                           lambda s: (F.get(cs, e) - F.get(cs, s)) / (e - s + d)))
+        return F.array_max(F.transform(F.sequence(F.lit(1), n), best_ending))
 
-    n = F.size(col(values))
-    return F.when(n < 1, F.lit(0.0)).otherwise(
-        F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), best_ending)))
+    return F.when(n < 1, F.lit(0.0)).otherwise(_bind(prefix_sums(values), over))
 
 
 def critical_window(values, deadline) -> Column:
     """Length of the window that attains the rate; first (start, end) on ties, 1 for an all-zero horizon."""
-    cs, d = prefix_sums(values), col(deadline)
-    n = F.size(col(values))
+    d, n = col(deadline), F.size(col(values))
 
-    def candidates(s):
-        return F.transform(F.sequence(s + 1, n), lambda e: F.struct(
-            ((F.get(cs, e) - F.get(cs, s)) / (e - s + d)).alias("r"), (-s).alias("s"), (-e).alias("e")))
+    def over(cs):
+        def candidates(s):
+            return F.transform(F.sequence(s + 1, n), lambda e: F.struct(
+                ((F.get(cs, e) - F.get(cs, s)) / (e - s + d)).alias("r"), (-s).alias("s"), (-e).alias("e")))
+        return F.array_max(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), candidates)))
 
-    best = F.array_max(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), candidates)))
+    best = _bind(prefix_sums(values), over)
     return F.when(n < 1, F.lit(1)).otherwise(best["s"] - best["e"])
 
 

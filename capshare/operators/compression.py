@@ -8,10 +8,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import DCT
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import DenseMatrix, Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import col
@@ -65,10 +64,26 @@ def shared_scale(df: DataFrame, width: int, vec: str = "vec", out: str = "quanti
 
 
 # --- low rank ---------------------------------------------------------------------------------------------------
-def gram(df: DataFrame, vec: str = "vec", n: int | None = None) -> np.ndarray:
-    """n x n Gram matrix of a tall table; n is the vector length, so the driver holds n^2 numbers only."""
-    rows = df.select(vec).rdd.map(lambda r: OldVectors.dense(r[0]))
-    return RowMatrix(rows, 0, n or 0).computeGramianMatrix().toArray()
+def gram(df: DataFrame, vec: str = "vec") -> np.ndarray:
+    """n x n Gram matrix of a tall table. Every task sums its own rows first, so n x n numbers per task are shuffled and the
+    driver holds n^2 numbers only (n is the vector length)."""
+
+    def partial(batches):
+        total = None
+        for b in batches:
+            m = np.stack(b[vec].to_numpy())
+            g = m.T @ m
+            total = g if total is None else total + g
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+
+    rows = df.select(vec).mapInPandas(partial, "i bigint, row array<double>")
+    cells = rows.select("i", F.posexplode("row").alias("j", "g")).groupBy("i", "j").agg(F.sum("g").alias("g")).collect()
+    n = max((r.i for r in cells), default=-1) + 1
+    out = np.zeros((n, n))
+    for r in cells:
+        out[r.i, r.j] = r.g
+    return out
 
 
 def gram_table(df: DataFrame, vec: str = "vec") -> DataFrame:
@@ -78,9 +93,9 @@ def gram_table(df: DataFrame, vec: str = "vec") -> DataFrame:
     return df.select(F.explode(pairs).alias("t")).groupBy("t.i", "t.j").agg(F.sum("t.g").alias("g"))
 
 
-def singular_values(df: DataFrame, vec: str = "vec", n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def singular_values(df: DataFrame, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:
     """All singular values (descending) and right vectors, from the small Gram matrix."""
-    vals, vecs = np.linalg.eigh(gram(df, vec, n))
+    vals, vecs = np.linalg.eigh(gram(df, vec))
     order = np.argsort(vals)[::-1]
     return np.sqrt(np.maximum(vals[order], 0.0)), vecs[:, order]
 
@@ -91,23 +106,8 @@ def effective_rank(sigma: np.ndarray, share: float = 0.99) -> int:
     return int(np.searchsorted(cum, share) + 1)
 
 
-def project(df: DataFrame, basis: np.ndarray, vec: str = "vec", out: str = "approx") -> DataFrame:
-    """Row times ``basis basis^T``; the basis is n x r, a literal of the plan."""
-    b = [[float(x) for x in c] for c in basis.T]
-    cols = [F.array(*[F.lit(x) for x in c]) for c in b]
-
-    def dot(v, c):
-        return F.aggregate(F.zip_with(v, c, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-
-    df = df.withColumn("_l", F.array(*[dot(F.col(vec), c) for c in cols]))
-    rows = [F.array(*[F.lit(float(x)) for x in row]) for row in basis]
-    return df.withColumn(out, F.array(*[dot(F.col("_l"), row) for row in rows]))
-
-
 def apply_basis(df: DataFrame, basis: np.ndarray, vec: str = "vec", out: str = "approx", coef: str = "coef") -> DataFrame:
     """``coef = row . basis`` and ``approx = coef . basis^T`` in one Arrow pass; the basis is n x r."""
-    import pandas as pd
-
     @F.pandas_udf("struct<coef:array<double>,approx:array<double>>")
     def kernel(v: pd.Series) -> pd.DataFrame:
         m = np.stack(v.to_numpy())

@@ -5,7 +5,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["q_relational", "q_columns", "q_windows", "q_allocation"]
+MODULES = ["q_relational", "q_columns", "q_reports", "q_windows", "q_allocation", "q_stats"]
 
 
 def _load() -> None:

@@ -29,8 +29,7 @@ def grid(spark: SparkSession, name: str, values, dtype: str = "double") -> DataF
 
 def with_cells(facts: DataFrame, classes: DataFrame, cell: str = "cell_id") -> DataFrame:
     """Join facts with the class of their cell; the dimension holds eight rows."""
-    classes = classes.withColumnRenamed("class", "_class")
-    return facts.join(F.broadcast(classes), F.col(cell) % F.lit(len(K.CELL_CLASSES)) == F.col("_class")).drop("_class")
+    return facts.withColumn("class", F.col(cell) % F.lit(len(K.CELL_CLASSES))).join(F.broadcast(classes), "class")
 
 
 def seed_split(seed) -> "F.Column":
