@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from .scalars import col
+from .scalars import bind, col
 
 
 def prefix_sums(values) -> Column:
@@ -25,11 +25,6 @@ def prefix_sums(values) -> Column:
                        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` (a lambda body is otherwise re-evaluated per element)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def required_rate(values, deadline) -> Column:
     """Rate of one horizon array; 0 for an empty one."""
     d, n = col(deadline), F.size(col(values))
@@ -40,7 +35,7 @@ def required_rate(values, deadline) -> Column:
                                            lambda s: (F.get(cs, e) - F.get(cs, s)) / (e - s + d)))
         return F.array_max(F.transform(F.sequence(F.lit(1), n), best_ending))
 
-    return F.when(n < 1, F.lit(0.0)).otherwise(_bind(prefix_sums(values), over))
+    return F.when(n < 1, F.lit(0.0)).otherwise(bind(prefix_sums(values), over))
 
 
 def critical_window(values, deadline) -> Column:
@@ -53,7 +48,7 @@ def critical_window(values, deadline) -> Column:
                 ((F.get(cs, e) - F.get(cs, s)) / (e - s + d)).alias("r"), (-s).alias("s"), (-e).alias("e")))
         return F.array_max(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), candidates)))
 
-    best = _bind(prefix_sums(values), over)
+    best = bind(prefix_sums(values), over)
     return F.when(n < 1, F.lit(1)).otherwise(best["s"] - best["e"])
 
 

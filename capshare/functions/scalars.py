@@ -12,6 +12,11 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
+def bind(value, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; inside a lambda an expression is otherwise re-evaluated per element."""
+    return F.get(F.transform(F.array(col(value)), body), F.lit(0))
+
+
 # --- link units ------------------------------------------------------------------------------------
 def prb_layer_bits(width, overhead=K.OVERHEAD) -> Column:
     """Link bits that one PRB-layer takes in one slot at a mantissa width."""

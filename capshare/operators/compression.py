@@ -13,7 +13,7 @@ from pyspark.ml.feature import DCT
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import col
+from ..functions.scalars import bind, col
 
 
 def energy(v) -> Column:
@@ -31,17 +31,20 @@ def nmse_db(err, total) -> Column:
 # --- block floating point -----------------------------------------------------------------------------------
 def block_float(vec, width, block: int = 16) -> Column:
     """Blocks share the exponent of their largest magnitude; mantissas have ``width`` bits with sign."""
-    v = col(vec)
     levels = F.pow(F.lit(2.0), col(width) - F.lit(1.0)) - F.lit(1.0)
 
-    def one(b):
-        part = F.slice(v, b * block + 1, F.lit(block))
+    def quantise(part):
+        def scaled(scale):
+            return F.transform(part, lambda x: F.rint(x / scale * levels) / levels * scale)
         peak = F.array_max(F.transform(part, F.abs))
-        scale = F.pow(F.lit(2.0), F.ceil(F.log2(peak)))
-        return F.when(peak > 0, F.transform(part, lambda x: F.rint(x / scale * levels) / levels * scale)).otherwise(part)
+        return F.when(peak > 0, bind(F.pow(F.lit(2.0), F.ceil(F.log2(peak))), scaled)).otherwise(part)
 
-    blocks = F.ceil(F.size(v) / F.lit(float(block))).cast("int")
-    return F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), one))
+    def whole(v):
+        blocks = F.ceil(F.size(v) / F.lit(float(block))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.slice(v, b * block + 1, F.lit(block)))
+        return F.flatten(F.transform(parts, quantise))
+
+    return bind(vec, whole)
 
 
 def block_ratio(width, block: int = 16, sample_bits: int = 16, exponent_bits: int = 8) -> Column:
@@ -117,6 +120,22 @@ def apply_basis(df: DataFrame, basis: np.ndarray, vec: str = "vec", out: str = "
     return df.withColumn("_k", kernel(vec)).select(*df.columns, F.col("_k.coef").alias(coef), F.col("_k.approx").alias(out))
 
 
+def quantised_basis(spark, basis: np.ndarray, width: int) -> np.ndarray:
+    """Rows of the n x r basis as they would be sent: block floating point along each row."""
+    rows = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(basis)], "i int, r array<double>")
+    got = {x.i: x.q for x in rows.select("i", block_float("r", F.lit(width)).alias("q")).collect()}
+    return np.array([got[i] for i in range(len(basis))])
+
+
+def reconstruct(df: DataFrame, basis: np.ndarray, coef: str, out: str) -> DataFrame:
+    """``coef . basis^T`` in one Arrow pass."""
+    @F.pandas_udf("array<double>")
+    def kernel(c: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(c.to_numpy()) @ basis.T))
+
+    return df.withColumn(out, kernel(coef))
+
+
 def sketch_basis(df: DataFrame, rank: int, vec: str = "vec", row_id: str = "id") -> np.ndarray:
     """Orthonormal n x r basis from a sign sketch: r signed sums of rows (one aggregate), then a QR of n x r on the driver."""
     signs = [F.when(F.pmod(F.xxhash64(F.col(row_id), F.lit(k)), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)) for k in range(rank)]
@@ -151,9 +170,12 @@ def dct(df: DataFrame, vec: str, out: str, inverse: bool = False) -> DataFrame:
 
 def keep_largest(vec, k: int) -> Column:
     """Keep the k largest magnitudes of a row (first positions on ties), zero the rest."""
-    ranked = F.transform(col(vec), lambda x, i: F.struct((-F.abs(x)).alias("m"), i.alias("i")))
-    kept = F.transform(F.slice(F.sort_array(ranked), 1, k), lambda s: s["i"])
-    return F.transform(col(vec), lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(F.lit(0.0)))
+    def whole(v):
+        ranked = F.sort_array(F.transform(v, lambda x, i: F.struct((-F.abs(x)).alias("m"), i.alias("i"))))
+        # the k-th entry in (magnitude, position) order is the cut
+        return bind(F.get(ranked, F.lit(k - 1)), lambda cut: F.transform(v, lambda x, i: F.when(
+            F.struct((-F.abs(x)).alias("m"), i.alias("i")) <= cut, x).otherwise(F.lit(0.0))))
+    return bind(vec, whole)
 
 
 def keep_top_positions(df: DataFrame, k: int, vec: str = "vec", out: str = "kept") -> DataFrame:

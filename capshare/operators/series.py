@@ -21,9 +21,10 @@ KEYS = ("link_id", "cell_id")
 
 @dataclass(frozen=True)
 class Clock:
-    """Control timing: an epoch every ``interval`` slots, telemetry ``delay`` slots old."""
+    """Control timing: an epoch every ``interval`` slots (from ``phase``), telemetry ``delay`` slots old."""
     interval: int = K.INTERVAL_SLOTS
     delay: int = K.TELEMETRY_DELAY
+    phase: int = 0
 
     @property
     def horizon(self) -> int:
@@ -95,7 +96,7 @@ def chunk_window(keys: Sequence[str] = KEYS):
 
 def epoch_anchor(clock: Clock) -> Column:
     """Rows whose slot is the observation slot of an epoch with history."""
-    return ((F.col("slot") + clock.delay) % clock.interval == 0) & owned(clock.chunk)
+    return ((F.col("slot") + clock.delay - clock.phase) % clock.interval == 0) & owned(clock.chunk)
 
 
 def ewma(value: str, window: int, clock: Clock, keys: Sequence[str] = KEYS) -> Column:
@@ -205,10 +206,10 @@ def persistence(rates: DataFrame, slots: DataFrame, clock: Clock, horizons: int,
     # the block count is min(horizons, full blocks seen), so read the series of each possible length
     h, out = clock.horizon, None
     for k in range(1, horizons + 1):
-        longer = Clock(interval=clock.interval, delay=clock.delay + (k - 1) * h)
+        longer = Clock(clock.interval, clock.delay + (k - 1) * h, clock.phase)
         part = rate_series(slots, longer, keys, value)
         w = chunk_window(keys)
-        here = ((F.col("slot") + clock.delay) % clock.interval == 0) & owned(longer.chunk)
+        here = ((F.col("slot") + clock.delay - clock.phase) % clock.interval == 0) & owned(longer.chunk)
         seen = F.greatest(F.floor(F.col("slot") / h), F.lit(1))
         fits = (seen >= k) if k == horizons else (seen == k)
         part = (part.withColumn("persist", F.coalesce(F.lag("rate", 1).over(w), F.lit(0.0))).where(here & fits)
