@@ -127,15 +127,6 @@ def quantised_basis(spark, basis: np.ndarray, width: int) -> np.ndarray:
     return np.array([got[i] for i in range(len(basis))])
 
 
-def reconstruct(df: DataFrame, basis: np.ndarray, coef: str, out: str) -> DataFrame:
-    """``coef . basis^T`` in one Arrow pass."""
-    @F.pandas_udf("array<double>")
-    def kernel(c: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(c.to_numpy()) @ basis.T))
-
-    return df.withColumn(out, kernel(coef))
-
-
 def sketch_basis(df: DataFrame, rank: int, vec: str = "vec", row_id: str = "id") -> np.ndarray:
     """Orthonormal n x r basis from a sign sketch: r signed sums of rows (one aggregate), then a QR of n x r on the driver."""
     signs = [F.when(F.pmod(F.xxhash64(F.col(row_id), F.lit(k)), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)) for k in range(rank)]

@@ -5,7 +5,7 @@ import importlib
 
 from . import registry
 
-MODULES = ["q_relational", "q_columns", "q_reports", "q_windows", "q_allocation", "q_stats", "q_models", "q_streaming"]
+MODULES = ["q_relational", "q_columns", "q_reports", "q_windows", "q_allocation", "q_stats", "q_models", "q_streaming", "q_registry"]
 
 
 def _load() -> None:

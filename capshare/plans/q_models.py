@@ -177,7 +177,9 @@ def cp3(spark, sf):
     v = stored(spark, sf)
     basis = C.sketch_basis(v, 12)
     coded = C.apply_basis(v, basis).withColumn("cq", C.block_float("coef", F.lit(8)))
-    coded = C.reconstruct(coded, C.quantised_basis(spark, basis, 8), "cq", "rec")
+    dot = lambda a, c: F.aggregate(F.zip_with(a, c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rows = [F.array(*[F.lit(float(x)) for x in row]) for row in C.quantised_basis(spark, basis, 8)]
+    coded = coded.withColumn("rec", F.array(*[dot(F.col("cq"), row) for row in rows]))
     return _nmse(coded, "rec").select(F.lit(12).alias("rank"), r("nmse_db", 5))
 
 
