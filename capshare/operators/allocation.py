@@ -43,12 +43,11 @@ def water_fill(df: DataFrame, demand, weight, group: Sequence[str] = GROUP, out:
     df = df.withColumn("_want", want).withColumn(
         "_wd", F.greatest(col(weight).cast("double"), F.lit(1e-9)) * F.col("_want"))
     df = df.withColumn("_ratio", F.when(F.col("_wd") > 0, F.col("cap") / F.col("_wd")).otherwise(F.lit(float("inf"))))
-    up = W.partitionBy(*group).orderBy("_ratio", tie)
-    down = W.partitionBy(*group).orderBy(F.desc("_ratio"), F.desc(tie)).rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumns({
-        "_need": _total("_want", group), "_room": _total(F.col("cap") - F.col("_want"), group),
-        "_taken": F.coalesce(F.sum("cap").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)),
-        "_open": F.sum("_wd").over(down)})
+    before = W.partitionBy(*group).orderBy("_ratio", tie).rowsBetween(W.unboundedPreceding, -1)
+    # the ordered frames first: their sort also serves the totals
+    df = df.withColumns({"_taken": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "_passed": F.coalesce(F.sum("_wd").over(before), F.lit(0.0))})
+    df = df.withColumns({"_need": _total("_want", group), "_room": _total(F.col("cap") - F.col("_want"), group), "_open": _total("_wd", group)})
+    df = df.withColumn("_open", F.greatest(F.col("_open") - F.col("_passed"), F.col("_wd")))
     df = df.withColumn("_full", (F.col("_wd") > 0) & (F.col("capacity") - F.col("_taken") >= F.col("_ratio") * F.col("_open")))
     df = df.withColumns({
         "_capped": F.coalesce(_total(F.when(F.col("_full"), F.col("cap")), group), F.lit(0.0)),
@@ -60,7 +59,7 @@ def water_fill(df: DataFrame, demand, weight, group: Sequence[str] = GROUP, out:
     extra = F.when((left > 1e-9) & (F.col("_room") > 1e-9), F.least(room, left * room / F.col("_room"))).otherwise(F.lit(0.0))
     fits = F.col("_want") + extra if leftover else F.col("_want")
     return df.withColumn(out, F.when(F.col("_need") <= F.col("capacity"), fits).otherwise(short)).drop(
-        "_want", "_wd", "_ratio", "_need", "_room", "_taken", "_open", "_full", "_capped", "_free")
+        "_want", "_wd", "_ratio", "_need", "_room", "_taken", "_passed", "_open", "_full", "_capped", "_free")
 
 
 def greedy_fill(df: DataFrame, demand, score, group: Sequence[str] = GROUP, out: str = "_given") -> DataFrame:

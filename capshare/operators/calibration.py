@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
@@ -23,15 +25,17 @@ def offsets(epochs: DataFrame, keys: Sequence[str], order: str, miss: str, lag:
     def clip(x):
         return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
-    # an epoch sees outcomes up to ``lag`` epochs back: key its step to the epoch at which it becomes visible
+    # an epoch sees outcomes up to ``lag`` epochs back: its step is placed at the epoch where it becomes visible, before that
+    # epoch's own entry (side 1, no step)
     step = F.lit(gamma) * (F.col(miss).cast("double") - F.lit(1.0 - level))
-    steps = epochs.select(*keys, (F.col(order) + lag).alias(order), step.alias("_g"))
-    rows = epochs.join(steps, [*keys, order], "left").withColumn("_c", F.floor(F.col(order) / chunk).cast("bigint"))
-    packs = rows.groupBy(*keys, "_c").agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.coalesce("_g", F.lit(float("nan"))).alias("g")))).alias("_r"))
+    entries = F.array(F.struct(F.col(order).alias("k"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("g")),
+                      F.struct((F.col(order) + lag).alias("k"), F.lit(0).alias("side"), step.alias("g")))
+    rows = epochs.select(*keys, F.explode(entries).alias("e")).withColumn("_c", F.floor(F.col("e.k") / chunk).cast("bigint"))
+    packs = rows.groupBy(*keys, "_c").agg(F.sort_array(F.collect_list("e")).alias("_r"))
 
     def compose(acc, r):
         g = r["g"]
-        return F.when(F.isnan(g), acc).otherwise(F.struct((acc["a"] + g).alias("a"), clip(acc["b"] + g).alias("b"), clip(acc["c"] + g).alias("c")))
+        return F.when(g.isNull(), acc).otherwise(F.struct((acc["a"] + g).alias("a"), clip(acc["b"] + g).alias("b"), clip(acc["c"] + g).alias("c")))
 
     unit = F.struct(F.lit(0.0).alias("a"), F.lit(lo).alias("b"), F.lit(hi).alias("c"))
     packs = packs.withColumn("_s", F.aggregate("_r", unit, compose))
@@ -40,10 +44,18 @@ def offsets(epochs: DataFrame, keys: Sequence[str], order: str, miss: str, lag:
     start = F.aggregate(F.collect_list("_s").over(w), F.lit(0.0), lambda x, s: F.least(F.greatest(x + s["a"], s["b"]), s["c"]))
     packs = packs.withColumn("_start", start)
 
-    def walk(acc, r):
-        last = F.element_at(acc, -1)["d"]
-        return F.concat(acc, F.array(F.struct(r[order].alias("k"), F.when(F.isnan(r["g"]), last).otherwise(clip(last + r["g"])).alias("d"))))
-
-    seed = F.array(F.struct(F.lit(-1).cast("bigint").alias("k"), F.col("_start").alias("d")))
-    out = packs.select(*keys, F.explode(F.slice(F.aggregate("_r", seed, walk), 2, chunk)).alias("_o"))
-    return out.select(*keys, F.col("_o.k").alias(order), F.col("_o.d").alias("delta"))
+    def walk(steps: pd.Series, start: pd.Series) -> pd.Series:
+        out = []
+        for g, d in zip(steps, start):
+            deltas = np.empty(len(g))
+            for i, x in enumerate(g):
+                if x == x:                      # NaN marks an epoch of its own
+                    d = min(max(d + x, lo), hi)
+                deltas[i] = d
+            out.append(deltas)
+        return pd.Series(out)
+
+    g = F.transform("_r", lambda r: F.coalesce(r["g"], F.lit(float("nan"))))
+    packs = packs.withColumn("_d", F.pandas_udf(walk, "array<double>")(g, "_start"))
+    out = packs.select(*keys, F.explode(F.arrays_zip(F.col("_r").alias("r"), F.col("_d").alias("d"))).alias("_o")).where("_o.r.side = 1")
+    return out.select(*keys, F.col("_o.r.k").alias(order), F.col("_o.d").alias("delta"))

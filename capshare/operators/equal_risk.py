@@ -16,10 +16,12 @@ from ..functions.scalars import col
 from .allocation import GROUP, greedy_fill, water_fill
 
 
-def budget_at(level, back, q, weight, delta, cap, floor) -> Column:
-    p = F.lit(1.0) - col(level) / col(weight)
-    target = col(back) + Q.inverse_cdf(q, F.least(F.greatest(p + col(delta), F.lit(0.0)), F.lit(1.0)))
-    return F.greatest(col(floor), F.least(F.when(p <= 0, F.lit(0.0)).otherwise(target), col(cap)))
+def add_budget(df: DataFrame, out: str, level, back, q, weight, delta, cap, floor) -> DataFrame:
+    """Budget of each cell at a level. The probability is a column of its own: the quantile read refers to it many times."""
+    df = df.withColumn("_p", F.lit(1.0) - col(level) / col(weight))
+    df = df.withColumn("_pe", F.least(F.greatest(F.col("_p") + col(delta), F.lit(0.0)), F.lit(1.0)))
+    target = F.when(F.col("_p") <= 0, F.lit(0.0)).otherwise(col(back) + Q.inverse_cdf(q, "_pe"))
+    return df.withColumn(out, F.greatest(col(floor), F.least(target, col(cap)))).drop("_p", "_pe")
 
 
 def _spans(q: Column, levels=QUANTILE_LEVELS) -> Column:
@@ -45,7 +47,7 @@ def with_level(df: DataFrame, back, weight, delta, floor, group: Sequence[str] =
     sum over (group, level) finds the crossing and the carried rows come back with it: one shuffle, no join.
     """
     w = F.col("_w")
-    keep = df.columns
+    keep = [c for c in df.columns if c not in group]
     rows = df.select(*group, F.col("capacity").alias("_c"), F.col("cap").alias("_cap"), col(back).alias("_b"), col(weight).alias("_w"),
                      col(delta).cast("double").alias("_d"), col(floor).cast("double").alias("_f"),
                      F.struct(*keep).alias("_row"), F.posexplode(_spans(col(q))).alias("_i", "_s"))
@@ -67,17 +69,29 @@ def with_level(df: DataFrame, back, weight, delta, floor, group: Sequence[str] =
     rows = rows.withColumn("_x", F.least(F.greatest("_tocap", "_lo"), F.col("_hi")))
     rows = rows.withColumn("_y", F.least(F.greatest("_tofloor", "_x"), F.col("_hi")))
 
+    lo, hi, x, y, cap, f, icpt, m = (F.col(c) for c in ("_lo", "_hi", "_x", "_y", "_cap", "_f", "_icpt", "_m"))
+
+    def piece(value, slope):
+        return F.struct(value.alias("a"), slope.alias("m"))
+
+    # cap on [lo, x), the line on [x, y), the floor on [y, hi); the last span keeps the floor for good
+    nothing = piece(zero, zero)
+    first = F.when(lo >= hi, nothing).when(x > lo, piece(cap, zero)).when(y > lo, piece(icpt, m)).otherwise(piece(f, zero))
+    last = F.when(lo >= hi, nothing).when(y < hi, piece(f, zero)).when(x < hi, piece(icpt, m)).otherwise(piece(cap, zero))
+    keep_floor = F.when(F.col("_i") == 7, f).otherwise(zero)
+    rows = rows.withColumns({"_first": first, "_last": last})
+
     def change(at, da, dm):
         return F.struct(at.alias("at"), da.alias("a"), dm.alias("m"))
 
-    # cap on [lo, x), the line on [x, y), the floor on [y, hi); the last span keeps the floor for good
-    changes = F.array(change(F.col("_lo"), F.col("_cap"), zero),
-                      change(F.col("_x"), F.col("_icpt") - F.col("_cap"), F.col("_m")),
-                      change(F.col("_y"), F.col("_f") - F.col("_icpt"), -F.col("_m")),
-                      change(F.col("_hi"), F.when(F.col("_i") == 7, zero).otherwise(-F.col("_f")), zero))
+    none = F.lit(None).cast("double")
+    inside_x, inside_y = (x > lo) & (x < hi), (y > x) & (y < hi)
+    changes = F.array(change(lo, F.col("_first.a"), F.col("_first.m")),
+                      change(F.when(inside_x, x).otherwise(none), F.when(y > x, icpt).otherwise(f) - cap, F.when(y > x, m).otherwise(zero)),
+                      change(F.when(inside_y, y).otherwise(none), f - icpt, -m),
+                      change(hi, keep_floor - F.col("_last.a"), -F.col("_last.m")))
     ev = rows.select(*group, "_c", "_row", F.posexplode(changes).alias("_k", "_e"))
-    ev = ev.select(*group, "_c", F.when(F.col("_k") == 0, F.col("_row")).alias("_row"), "_e.at", "_e.a", "_e.m")
-    ev = ev.where("_row is not null or a != 0 or m != 0")
+    ev = ev.where("_e.at is not null and (_k = 0 or _e.a != 0 or _e.m != 0)").select(*group, "_c", F.when(F.col("_k") == 0, F.col("_row")).alias("_row"), "_e.at", "_e.a", "_e.m")
     o = W.partitionBy(*group).orderBy("at")
     ev = ev.withColumns({"_a": F.sum("a").over(o), "_sm": F.sum("m").over(o), "_next": F.lead("at").over(o)})
     here, there = F.col("_a") + F.col("_sm") * F.col("at"), F.col("_a") + F.col("_sm") * F.col("_next")
@@ -85,19 +99,22 @@ def with_level(df: DataFrame, back, weight, delta, floor, group: Sequence[str] =
     hit = (F.when(here <= F.col("_c") + tol, F.col("at"))
            .when(there <= F.col("_c"), F.least(F.col("at") + (here - F.col("_c")) / -F.col("_sm"), F.col("_next"))))
     ev = ev.withColumn("_hit", hit).withColumn(out, F.min("_hit").over(W.partitionBy(*group)))
-    return ev.where("_row is not null").select("_row.*", out)
+    # the group columns stay the ones the rows are partitioned by, so later windows need no shuffle
+    return ev.where("_row is not null").select(*group, "_row.*", out)
 
 
 def equal_risk(df: DataFrame, back="backlog", weight="weight", delta=0.0, group: Sequence[str] = GROUP, q: str = "q") -> DataFrame:
     """Budgets and the common level; level 0 when everything fits (headroom is then spread)."""
     df = df.withColumns({"_back": col(back), "_w": col(weight), "_delta": col(delta).cast("double")})
-    df = df.withColumn("_top", budget_at(F.lit(0.0), "_back", q, "_w", "_delta", "cap", F.lit(0.0)))
+    at = ("_back", q, "_w", "_delta", "cap", F.lit(0.0))
+    df = add_budget(df, "_top", F.lit(0.0), *at)
     df = water_fill(df, "_top", F.lit(1.0), group, out="_fit")       # partitions the cells by group before they fan out
     df = with_level(df, "_back", "_w", "_delta", F.lit(0.0), group, q)
-    at = ("_back", q, "_w", "_delta", "cap", F.lit(0.0))
-    df = df.withColumn("_r", budget_at("level", *at))
-    left_limit = F.least(F.col("_back") + Q.inverse_cdf(q, F.least(F.greatest(F.col("_delta"), F.lit(0.0)), F.lit(1.0))), F.col("cap"))
-    df = df.withColumn("_jump", F.when(F.col("level") == F.col("_w"), left_limit).otherwise(F.lit(0.0)))
+    df = add_budget(df, "_r", "level", *at)
+    # at a level that equals its weight a cell falls from this value to zero
+    df = df.withColumn("_pj", F.least(F.greatest(F.col("_delta"), F.lit(0.0)), F.lit(1.0)))
+    left_limit = F.least(F.col("_back") + Q.inverse_cdf(q, "_pj"), F.col("cap"))
+    df = df.withColumn("_jump", F.when(F.col("level") == F.col("_w"), left_limit).otherwise(F.lit(0.0))).drop("_pj")
     g = W.partitionBy(*group)
     df = df.withColumns({"_sum0": F.sum("_top").over(g), "_sum": F.sum("_r").over(g), "_jumps": F.sum("_jump").over(g)})
     slack = F.col("capacity") - F.col("_sum")
@@ -131,7 +148,7 @@ def two_stage(df: DataFrame, interval: int, horizon: int, p0_ll=0.5, p0_embb=0.5
     df = greedy_fill(df, "_base", F.col("_v") * F.col("_pressure"), group, out="_given")
     df = df.withColumn("_left", F.col("capacity") - F.sum("_given").over(g))
     df = with_level(df, "_back", "_omega", F.lit(0.0), "_given", group)
-    df = df.withColumn("_risk", budget_at("level", "_back", "q", "_omega", F.lit(0.0), "cap", "_given"))
+    df = add_budget(df, "_risk", "level", "_back", "q", "_omega", F.lit(0.0), "cap", "_given")
     df = water_fill(df, "_risk", F.lit(1.0), group, out="_margin")
     shared = (F.col("_basesum") > F.col("capacity")) & (col(eta) < greedy_at)
     budget = F.when(shared, F.col("_shared")).when(F.col("_left") <= 1e-9, F.col("_given")).otherwise(F.col("_margin"))

@@ -71,25 +71,63 @@ def owned(chunk: int) -> Column:
     return F.floor(F.col("slot") / chunk).cast("bigint") == F.col("chunk")
 
 
-def rate_series(slots: DataFrame, clock: Clock, keys: Sequence[str] = KEYS, value: str = "fh_bits",
-                carry: Sequence[str] = ("se",)) -> DataFrame:
-    """Per slot: value, the rate and critical length of the last horizon ending *with* this slot.
-
-    One shuffle on (keys, chunk); the later windows of this module reuse its partitioning.
-    """
-    chunked = with_chunks(slots.select(*keys, "deadline", "slot", value, *carry), clock.chunk,
-                          clock.lookback, clock.horizon)
+def packed_rates(slots: DataFrame, clock: Clock, keys: Sequence[str] = KEYS, value: str = "fh_bits",
+                 carry: Sequence[str] = ("se",)) -> DataFrame:
+    """One row per (keys, chunk): the dense slots of the chunk and its halo, and per slot the rate and critical length of the
+    last horizon ending *with* it. One shuffle; everything that reads rates starts from here."""
+    chunked = with_chunks(slots.select(*keys, "deadline", "slot", value, *carry), clock.chunk, clock.lookback, clock.horizon)
     packed = (chunked.groupBy(*keys, "chunk")
               .agg(F.first("deadline").alias("deadline"),
                    F.sort_array(F.collect_list(F.struct("slot", value, *carry))).alias("rows")))
     kernel = rolling_rates(clock.horizon)
-    rated = packed.withColumn("k", kernel(F.col(f"rows.{value}").cast("array<double>"), F.col("deadline")))
+    return packed.withColumn("k", kernel(F.col(f"rows.{value}").cast("array<double>"), F.col("deadline")))
+
+
+def rate_series(slots: DataFrame, clock: Clock, keys: Sequence[str] = KEYS, value: str = "fh_bits",
+                carry: Sequence[str] = ("se",)) -> DataFrame:
+    """``packed_rates`` as one row per slot; the windows of this module reuse its partitioning on (keys, chunk)."""
+    rated = packed_rates(slots, clock, keys, value, carry)
     zipped = F.arrays_zip(F.col("rows"), F.col("k.rate").alias("rate"), F.col("k.crit").alias("crit"))
     return (rated.select(*keys, "chunk", "deadline", F.explode(zipped).alias("z"))
             .select(*keys, "chunk", "deadline", "z.rows.slot", F.col(f"z.rows.{value}").alias(value),
                     *[F.col(f"z.rows.{c}").alias(c) for c in carry], "z.rate", "z.crit"))
 
 
+def at_epochs(packed: DataFrame, clock: Clock, fields, keys: Sequence[str] = KEYS, value: str = "fh_bits") -> DataFrame:
+    """One row per (keys, epoch) read straight from the packed chunk: ``fields(slot, pos)`` gives columns, ``pos`` is the place
+    of the observation slot in the arrays. Only epoch slots are evaluated and exploded."""
+    p = packed.withColumns({"base": F.get("rows.slot", F.lit(0)), "vals": F.col(f"rows.{value}").cast("array<double>"),
+                            "rate": F.col("k.rate"), "crit": F.col("k.crit").cast("array<double>")})
+    start = F.col("chunk") * clock.chunk
+    stop = F.least(start + clock.chunk, F.col("base") + F.size("rows")) - 1
+    first = start + F.pmod(F.lit(clock.phase - clock.delay) - start, F.lit(clock.interval))
+    anchors = F.when(first <= stop, F.sequence(first, stop, F.lit(clock.interval).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+    def read(slot):
+        pos = (slot - F.col("base")).cast("int")
+        return F.struct((slot + clock.delay).alias("epoch"), slot.alias("obs_slot"), *[c.alias(n) for n, c in fields(slot, pos).items()])
+
+    return p.select(*keys, "deadline", F.inline(F.transform(anchors, read)))
+
+
+def total(array) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+
+
+def before(array: str, pos: Column, back: int, count: int) -> Column:
+    """Values of the ``count`` places that end ``back`` places before ``pos`` (clipped at the start of the series)."""
+    stop = F.greatest(pos - back, F.lit(0))
+    begin = F.greatest(pos - back - count, F.lit(0))
+    return F.slice(F.col(array), begin + 1, stop - begin)
+
+
+def block_ends(array: str, slot: Column, pos: Column, clock: Clock, count: int) -> Column:
+    """``array`` at the last slots of the last full blocks before ``pos``, newest first, at most ``count``."""
+    n = F.least(F.floor(slot / clock.horizon), F.lit(count)).cast("int")
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(idx, lambda j: F.get(F.col(array), pos - 1 - j * clock.horizon))
+
+
 def chunk_window(keys: Sequence[str] = KEYS):
     return W.partitionBy(*keys, "chunk").orderBy("slot")
 
@@ -172,27 +210,17 @@ def enough_history(clock: Clock, blocks: int = K.LAG_BLOCKS + 1) -> Column:
     return F.col("obs_slot") >= blocks * clock.horizon
 
 
-def block_history(column: str, clock: Clock, count: int, keys: Sequence[str] = KEYS) -> Column:
-    """``column`` at the ends of the last full blocks before the row, newest first, missing ones left out."""
-    w, h = chunk_window(keys), clock.horizon
-    lags = [F.when(F.col("slot") >= (j + 1) * h, F.lag(column, 1 + j * h).over(w)) for j in range(count)]
-    return F.array(*lags)
-
-
-def window_forecast(rates: DataFrame, clock: Clock, keys: Sequence[str] = KEYS, window: int = K.FORECAST_WINDOW,
+def window_forecast(packed: DataFrame, clock: Clock, keys: Sequence[str] = KEYS, window: int = K.FORECAST_WINDOW,
                     levels=K.QUANTILE_LEVELS) -> DataFrame:
-    """Empirical quantiles of the rate over the last ``window`` horizons of each key, per epoch.
+    """Empirical quantiles of the rate over the last ``window`` horizons of each key, per epoch (from ``packed_rates``).
 
     With less than one full horizon the rate of what exists is repeated at every level.
     """
-    w = chunk_window(keys)
-    rows = (rates.withColumn("recent", block_history("rate", clock, window, keys))
-            .withColumn("partial", F.coalesce(F.lag("rate", 1).over(w), F.lit(0.0)))
-            .where(epoch_anchor(clock))
-            .withColumn("recent", F.sort_array(F.filter("recent", lambda x: x.isNotNull()))))
-    q = F.when(F.size("recent") > 0, sorted_quantiles("recent", levels)).otherwise(
-        F.array(*[F.col("partial") for _ in levels]))
-    return rows.select(*keys, (F.col("slot") + clock.delay).alias("epoch"), F.col("slot").alias("obs_slot"), q.alias("q"))
+    rows = at_epochs(packed, clock, lambda slot, pos: {
+        "recent": F.sort_array(block_ends("rate", slot, pos, clock, window)),
+        "partial": F.coalesce(F.get("rate", pos - 1), F.lit(0.0))}, keys)
+    q = F.when(F.size("recent") > 0, sorted_quantiles("recent", levels)).otherwise(F.array(*[F.col("partial") for _ in levels]))
+    return rows.select(*keys, "epoch", "obs_slot", q.alias("q"))
 
 
 def persistence(rates: DataFrame, slots: DataFrame, clock: Clock, horizons: int, keys: Sequence[str] = KEYS,
@@ -218,40 +246,36 @@ def persistence(rates: DataFrame, slots: DataFrame, clock: Clock, horizons: int,
     return out
 
 
-def volume_factor(rates: DataFrame, clock: Clock, keys: Sequence[str] = KEYS, window: int = K.FORECAST_WINDOW) -> DataFrame:
-    """``min(D + mean critical length over recent horizons, T)``: slots that one unit of rate can fill."""
-    rows = (rates.withColumn("recent", block_history("crit", clock, window, keys)).where(epoch_anchor(clock))
-            .withColumn("recent", F.filter("recent", lambda x: x.isNotNull())))
-    n = F.size("recent")
-    mean = F.aggregate("recent", F.lit(0.0), lambda a, x: a + x) / F.greatest(n, F.lit(1))
-    factor = F.least(F.col("deadline") + F.when(n > 0, mean).otherwise(F.lit(1.0)), F.lit(float(clock.interval)))
-    return rows.select(*keys, (F.col("slot") + clock.delay).alias("epoch"), F.col("slot").alias("obs_slot"),
-                       factor.alias("volume"))
+def volume_of(lengths, deadline, interval: int) -> Column:
+    """``min(D + mean critical length, T)``; a single slot stands in for the mean when there is no history."""
+    n = F.size(lengths)
+    mean = F.when(n > 0, total(lengths) / n).otherwise(F.lit(1.0))
+    return F.least(deadline + mean, F.lit(float(interval)))
 
 
-def patches(rates: DataFrame, slots_scale: Column, clock: Clock, keys: Sequence[str] = KEYS, value: str = "fh_bits",
-            count: int = K.NUM_PATCHES) -> DataFrame:
-    """Patch tokens: the last ``count`` blocks, oldest first, each with its values, rate, mean and max; zero padded."""
-    w, h = chunk_window(keys), clock.horizon
-    hist = F.collect_list(value).over(w.rowsBetween(-count * h, -1))
-    rows = (rates.withColumn("hist", hist).withColumn("recent", block_history("rate", clock, count, keys))
-            .where(epoch_anchor(clock)))
-    n = F.size("hist")
-
-    def patch(j):
-        k = F.lit(count - 1) - j
-        lo = n - (k + 1) * h
-        vals = F.transform(F.slice("hist", F.greatest(lo, F.lit(0)) + 1, F.lit(h)), lambda x: x / slots_scale)
-        zero = F.array_repeat(F.lit(0.0), h)
-        full = lo >= 0
-        return F.struct(
-            j.alias("idx"), F.when(full, vals).otherwise(zero).alias("vals"),
-            F.when(full, F.get("recent", k) / slots_scale).otherwise(F.lit(0.0)).alias("rate"),
-            F.when(full, F.aggregate(vals, F.lit(0.0), lambda a, x: a + x) / h).otherwise(F.lit(0.0)).alias("mean"),
-            F.when(full, F.array_max(vals)).otherwise(F.lit(0.0)).alias("max"))
+def volume_factor(packed: DataFrame, clock: Clock, keys: Sequence[str] = KEYS, window: int = K.FORECAST_WINDOW) -> DataFrame:
+    """Slots that one unit of rate can fill, from the critical lengths of the recent horizons."""
+    rows = at_epochs(packed, clock, lambda slot, pos: {"recent": block_ends("crit", slot, pos, clock, window)}, keys)
+    return rows.select(*keys, "epoch", "obs_slot", volume_of(F.col("recent"), F.col("deadline"), clock.interval).alias("volume"))
 
-    return rows.select(*keys, (F.col("slot") + clock.delay).alias("epoch"), F.col("slot").alias("obs_slot"),
-                       F.transform(F.sequence(F.lit(0), F.lit(count - 1)), patch).alias("patches"))
+
+def patches(packed: DataFrame, scale: float, clock: Clock, keys: Sequence[str] = KEYS, count: int = K.NUM_PATCHES) -> DataFrame:
+    """Patch tokens: the last ``count`` blocks, oldest first, each with its values, rate, mean and max; zero padded."""
+    h = clock.horizon
+
+    def fields(slot, pos):
+        def patch(j):
+            back = (F.lit(count - 1) - j) * h
+            full = slot >= back + h
+            vals = F.transform(F.slice(F.col("vals"), F.greatest(pos - back - h, F.lit(0)) + 1, F.lit(h)), lambda x: x / scale)
+            return F.struct(j.alias("idx"), F.when(full, vals).otherwise(F.array_repeat(F.lit(0.0), h)).alias("vals"),
+                            F.when(full, F.get("rate", pos - back - 1) / scale).otherwise(F.lit(0.0)).alias("rate"))
+        return {"p": F.transform(F.sequence(F.lit(0), F.lit(count - 1)), patch)}
+
+    rows = at_epochs(packed, clock, fields, keys)
+    full = F.transform("p", lambda t: F.struct(t["idx"].alias("idx"), t["vals"].alias("vals"), t["rate"].alias("rate"),
+                                               (total(t["vals"]) / h).alias("mean"), F.array_max(t["vals"]).alias("max")))
+    return rows.select(*keys, "epoch", "obs_slot", full.alias("patches"))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, chunk: int) -> DataFrame:

@@ -48,7 +48,7 @@ def ml1b(spark, sf):
       JOIN roll5 r ON r.cell_id = o.cell_id AND r.e = o.obs_slot - k.k * 5 WHERE o.obs_slot >= 80 GROUP BY ALL)
     SELECT link_id, epoch, count(*)::BIGINT AS cells, round(sum(ps), 4) AS patch_sum, round(sum(lag_mean), 4) AS x_sum, round(sum(y), 4) AS y_sum FROM tr JOIN p USING (link_id, cell_id, epoch) GROUP BY ALL""", "feat5 epochs5 roll5")
 def ml2(spark, sf):
-    p = series.patches(V.rates(spark, sf), F.lit(V.CELL_CAP), V.FAST).where(F.col("obs_slot") >= K.NUM_PATCHES * V.FAST.horizon)
+    p = series.patches(V.packed(spark, sf), V.CELL_CAP, V.FAST).where(F.col("obs_slot") >= K.NUM_PATCHES * V.FAST.horizon)
     s = TR.sequence_table(p, train(spark, sf), ALL)
 
     def total(a):
@@ -107,7 +107,7 @@ def ml5(spark, sf):
     """The evaluation protocol: epochs every T slots from 7 H + tau on."""
     clock = series.Clock(20, 2, (7 * 22 + 2) % 20)
     rates = V.rates(spark, sf, clock)
-    q = series.window_forecast(rates, clock).where((F.col("obs_slot") >= 154) & (F.col("epoch") < V.N_WEEKS - 20))
+    q = series.window_forecast(V.packed(spark, sf, clock), clock).where((F.col("obs_slot") >= 154) & (F.col("epoch") < V.N_WEEKS - 20))
     y = rates.where(series.owned(clock.chunk)).select("link_id", "cell_id", (F.col("slot") + 1 - 20).alias("epoch"), (F.col("rate") / V.CELL_CAP).alias("y"))
     j = q.join(y, ID).withColumn("q", F.transform("q", lambda v: v / V.CELL_CAP))
     return SC.forecast_scores(j, ["link_id"], "y", "q")

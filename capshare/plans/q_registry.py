@@ -38,5 +38,5 @@ def by_name(spark, sf):
     f"round({sql_interp('q', f'least(greatest({a}::DOUBLE + 0.1::DOUBLE, 0.05), 0.95)', False)} + 1e-9, 5) AS q{i + 1}" for i, a in enumerate(_KNOTS)) + " FROM fc5 WHERE obs_slot >= 35", "fc5")
 def wrapped(spark, sf):
     RG.register_forecaster("window_shifted", RG.shifted(series.window_forecast, 0.1))
-    f = RG.forecast("window_shifted", V.rates(spark, sf), V.FAST).where(series.enough_history(V.FAST))
+    f = RG.forecast("window_shifted", V.packed(spark, sf), V.FAST).where(series.enough_history(V.FAST))
     return f.select("link_id", "cell_id", "epoch", *[F.round(F.get("q", F.lit(i)) + 1e-9, 5).alias(f"q{i + 1}") for i in range(6)])

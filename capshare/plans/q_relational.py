@@ -246,7 +246,7 @@ def jn13(spark, sf):
     """Two forecasts scored on identical rows: predictions meet on the row key before either is scored."""
     rates = V.rates(spark, sf)
     key = ["link_id", "cell_id", "epoch"]
-    a = series.window_forecast(rates, V.FAST).where(V.full_epochs()).select(*key, A.median_of().alias("p1"))
+    a = series.window_forecast(V.packed(spark, sf), V.FAST).where(V.full_epochs()).select(*key, A.median_of().alias("p1"))
     b = series.features(rates, V.FAST).where(V.full_epochs()).select(*key, F.col("rstar_lag_1").alias("p2"), "label")
     return a.join(b, key).groupBy("link_id").agg(F.round(F.avg(F.abs(F.col("label") - F.col("p1"))), 6).alias("window_mae"),
                                                  F.round(F.avg(F.abs(F.col("label") - F.col("p2"))), 6).alias("persist_mae"), F.count("*").alias("n"))

@@ -89,7 +89,7 @@ _Q = ", ".join(f"round(q[{i + 1}], 6) AS q{i + 1}" for i in range(6))
     UNION ALL SELECT o.link_id, o.cell_id, o.epoch, {", ".join(f"round(coalesce(r.rate, 0.0), 6) AS q{i + 1}" for i in range(6))}
     FROM epochs5 o LEFT JOIN roll5 r ON r.cell_id = o.cell_id AND r.e = o.obs_slot WHERE o.obs_slot < 5""", "fc5 epochs5 roll5")
 def wn9(spark, sf):
-    f = series.window_forecast(V.rates(spark, sf), V.FAST)
+    f = series.window_forecast(V.packed(spark, sf), V.FAST)
     return f.select(*ID, *[F.round(F.get("q", F.lit(i)), 6).alias(f"q{i + 1}") for i in range(6)])
 
 
@@ -113,7 +113,7 @@ def wn10(spark, sf):
         WHERE s.cell_id = o.cell_id AND s.slot >= o.obs_slot - (k.k + 1) * 5 AND s.slot < o.obs_slot - k.k * 5), 6) ELSE 0.0 END AS max
     FROM epochs5 o CROSS JOIN range(16) k(k)""", "epochs5 slots roll5")
 def wn11(spark, sf):
-    p = series.patches(V.rates(spark, sf), F.lit(V.CELL_CAP), V.FAST)
+    p = series.patches(V.packed(spark, sf), V.CELL_CAP, V.FAST)
     p = p.select(*ID, F.inline("patches"))
     weighted = F.aggregate(F.transform("vals", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return p.select(*ID, F.col("idx").cast("bigint").alias("idx"), F.round(weighted, 6).alias("checksum"), *r6("rate", "mean", "max"))
@@ -155,4 +155,4 @@ def wn14b(spark, sf):
 @query("wn_15_volume_factor", """SELECT link_id, cell_id, epoch, round(volume, 6) AS volume FROM vol5
     UNION ALL SELECT link_id, cell_id, epoch, least(deadline + 1.0, 4.0)::DOUBLE FROM epochs5 WHERE obs_slot < 5""", "vol5 epochs5")
 def wn15(spark, sf):
-    return series.volume_factor(V.rates(spark, sf), V.FAST).select(*ID, *r6("volume"))
+    return series.volume_factor(V.packed(spark, sf), V.FAST).select(*ID, *r6("volume"))

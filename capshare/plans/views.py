@@ -1,7 +1,7 @@
 """Bindings to the driver's tables (Spark side). ``ctes.py`` holds the same views for DuckDB."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as K
 from ..functions import scalars as S
@@ -56,6 +56,10 @@ def rates(spark, sf, clock: Clock = FAST) -> DataFrame:
     return series.rate_series(slots(spark, sf), clock)
 
 
+def packed(spark, sf, clock: Clock = FAST) -> DataFrame:
+    return series.packed_rates(slots(spark, sf), clock)
+
+
 def epochs_features(spark, sf, clock: Clock = FAST) -> DataFrame:
     return series.features(rates(spark, sf, clock), clock)
 
@@ -70,31 +74,28 @@ def full_epochs(clock: Clock = FAST, blocks: int = K.LAG_BLOCKS + 1):
 
 
 def decisions(spark, sf, clock: Clock = FAST, with_label: bool = False) -> DataFrame:
-    """One row per (link, epoch, cell) with everything an allocation rule may use.
-
-    Both inputs are cut by (link, cell, chunk); the join is on the epoch key.
-    """
-    r = rates(spark, sf, clock)
-    w = series.chunk_window()
-    fc = (r.withColumns({
-            "recent": series.block_history("rate", clock, K.FORECAST_WINDOW),
-            "rec_crit": series.block_history("crit", clock, K.FORECAST_WINDOW),
-            "ewma": series.ewma("fh_bits", clock.interval, clock),
-            "persist": F.coalesce(F.lag("rate", 1).over(w), F.lit(0.0)),
-            "label": F.lead("rate", clock.horizon - 1).over(w),
-            "label_mean": F.avg("fh_bits").over(w.rowsBetween(0, clock.horizon - 1)),
-            "queue_fh": F.coalesce(F.sum("fh_bits").over(w.rowsBetween(-3, -1)), F.lit(0)).cast("double"),
-            "_idle": F.coalesce(F.last(F.when(F.col("fh_bits") == 0, F.col("slot")), ignorenulls=True)
-                                .over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1)),
-        }).where(series.epoch_anchor(clock))
-          .withColumns({"recent": F.sort_array(F.filter("recent", lambda x: x.isNotNull())),
-                        "rec_crit": F.filter("rec_crit", lambda x: x.isNotNull())}))
-    hol = F.greatest(F.least(F.col("slot") - 1 - F.col("_idle"), F.col("deadline")), F.lit(0)).cast("bigint")
-    vol = F.least(F.col("deadline") + F.aggregate("rec_crit", F.lit(0.0), lambda a, x: a + x)
-                  / F.greatest(F.size("rec_crit"), F.lit(1)), F.lit(float(clock.interval)))
-    out = fc.select("link_id", "cell_id", (F.col("slot") + clock.delay).alias("epoch"), F.col("slot").alias("obs_slot"),
-                    "deadline", "queue_fh", hol.alias("hol_age"), "ewma", "persist", "label", "label_mean",
-                    sorted_quantiles("recent").alias("q"), vol.alias("volume"))
+    """One row per (link, epoch, cell) with everything an allocation rule may use, read from the packed chunks in one pass."""
+    h = clock.horizon
+    alpha = 2.0 / (clock.interval + 1.0)
+
+    def fields(slot, pos):
+        recent = series.before("vals", pos, 0, 6 * clock.interval)
+        # newest value has weight 1, each older one (1 - alpha) times the next
+        ewma = F.aggregate(recent, F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("w")), lambda a, x: F.struct(
+            (a["v"] * (1 - alpha) + x).alias("v"), (a["w"] * (1 - alpha) + 1.0).alias("w")))
+        idle = F.array_position(F.transform(F.reverse(series.before("vals", pos, 0, K.CELL_CLASSES[-1][2])), lambda x: x == 0), F.lit(True))
+        ahead = F.slice("vals", pos + 1, F.lit(h))
+        return {"recent": F.sort_array(series.block_ends("rate", slot, pos, clock, K.FORECAST_WINDOW)),
+                "lengths": series.block_ends("crit", slot, pos, clock, K.FORECAST_WINDOW),
+                "persist": F.coalesce(F.get("rate", pos - 1), F.lit(0.0)), "label": F.get("rate", pos + h - 1),
+                "label_mean": series.total(ahead) / F.size(ahead), "queue_fh": series.total(series.before("vals", pos, 0, 3)),
+                "_e": ewma, "_idle": idle}
+
+    d = series.at_epochs(packed(spark, sf, clock), clock, fields)
+    hol = F.least(F.when(F.col("_idle") > 0, F.col("_idle") - 1).otherwise(F.col("obs_slot")), F.col("deadline")).cast("bigint")
+    out = d.select("link_id", "cell_id", "epoch", "obs_slot", "deadline", "queue_fh", hol.alias("hol_age"), (F.col("_e.v") / F.col("_e.w")).alias("ewma"),
+                   "persist", "label", "label_mean", sorted_quantiles("recent").alias("q"),
+                   series.volume_of(F.col("lengths"), F.col("deadline"), clock.interval).alias("volume"))
     out = out.where(full_epochs(clock))
     pr = dims.cell_classes(spark).select("class", "priority")
     out = dims.with_cells(out, pr)

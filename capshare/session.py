@@ -16,6 +16,9 @@ def build_session(cores: int | str = "*", app: str = "capshare", shuffle_partiti
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+             # methods above 8000 bytes are never compiled by the JIT: let such stages run operator by operator instead
+             .config("spark.sql.codegen.hugeMethodLimit", "8000")
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
              .config("spark.driver.memory", memory)
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
