@@ -223,7 +223,7 @@ _SAND = """, hz AS (SELECT o.cell_id, o.epoch, o.deadline, o.obs_slot, r.rate AS
 
 @query("al_16_shortfall_sandwich", _SAND + """, b AS (SELECT hr.cell_id, hr.epoch, (hr.deadline + 1) * greatest(rstar - rate, 0.0) AS lower, (SELECT sum(greatest(s.fh_bits - rate, 0.0)) FROM slots s WHERE s.cell_id = hr.cell_id AND s.slot >= obs_slot AND s.slot < obs_slot + 22) AS upper,
       (SELECT max(dropped) FROM fl WHERE fl.cell_id = hr.cell_id AND fl.epoch = hr.epoch) AS drops FROM hr)
-    SELECT cell_id, epoch, round(lower, 5) AS lower, round(drops, 5) AS drops, round(upper, 5) AS upper, NOT (lower - 1e-6 <= drops AND drops <= upper + 1e-6) AS broken FROM b""", "epochs22 roll22", recursive=True)
+    SELECT cell_id, epoch, round(lower + 1e-8, 5) AS lower, round(drops + 1e-8, 5) AS drops, round(upper + 1e-8, 5) AS upper, NOT (lower - 1e-6 <= drops AND drops <= upper + 1e-6) AS broken FROM b""", "epochs22 roll22", recursive=True)
 def al16(spark, sf):
     from pyspark.sql import Window as W
     from ..functions.demand import required_rate
@@ -239,7 +239,7 @@ def al16(spark, sf):
     h = h.withColumns({"lower": (F.col("deadline") + 1) * F.greatest(F.col("rstar") - F.col("rate"), F.lit(0.0)), "drops": RE.fluid_drops("a", "deadline", "rate"),
                        "upper": F.aggregate("a", F.lit(0.0), lambda acc, x: acc + F.greatest(x - F.col("rate"), F.lit(0.0)))})
     broken = ~((F.col("lower") - 1e-6 <= F.col("drops")) & (F.col("drops") <= F.col("upper") + 1e-6))
-    return h.select("cell_id", F.col("epoch").cast("bigint").alias("epoch"), r("lower", 5), r("drops", 5), r("upper", 5), broken.alias("broken"))
+    return h.select("cell_id", F.col("epoch").cast("bigint").alias("epoch"), *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in ("lower", "drops", "upper")], broken.alias("broken"))
 
 
 # --- calibration -----------------------------------------------------------------------------------------------
