@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, sharding
-from .common import WORD, table
+from . import line_dedup, mixing, quality, sharding, topk, warc
+from .common import shared_path, table
 from .registry import ORACLE, QUERIES, query
-from .sql import LINES_SQL, QUALITY_SQL
+from .sql import LINES_SQL, QUALITY_SQL, TOPK_SQL, WARC_SQL
 
 
 def queries() -> dict:
@@ -17,6 +17,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
+@query("op2_topk_search", TOPK_SQL)
+def op2_topk_search(spark, sf):
+    vectors = topk.quantised(table(spark, sf, "embeddings"))
+    return topk.search(vectors.where("id % 20 = 0"), vectors, k=20)
+
+
 @query("op3_line_dedup", LINES_SQL)
 def op3_line_dedup(spark, sf):
     out = line_dedup.dedup_lines(table(spark, sf, "documents"))
@@ -38,3 +44,11 @@ def op7_sharding(spark, sf):
 @query("op8_quality", QUALITY_SQL)
 def op8_quality(spark, sf):
     return quality.judge(table(spark, sf, "documents")).drop("uid", "lang").withColumnRenamed("id", "doc_id")
+
+
+@query("op10_warc_revisits", WARC_SQL)
+def op10_warc_revisits(spark, sf):
+    raw, deduped = shared_path(spark, "warc-raw"), shared_path(spark, "warc")
+    warc.write_archive(table(spark, sf, "pages"), raw)
+    warc.deduplicate(spark, raw, deduped)
+    return warc.read_archive(spark, deduped).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to_page").alias("refers_to"))
