@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, sharding, topk, warc
+from . import line_dedup, mixing, packing, quality, sharding, topk, warc
 from .common import shared_path, table
 from .registry import ORACLE, QUERIES, query
 from .sql import LINES_SQL, QUALITY_SQL, TOPK_SQL, WARC_SQL
@@ -52,3 +52,9 @@ def op10_warc_revisits(spark, sf):
     warc.write_archive(table(spark, sf, "pages"), raw)
     warc.deduplicate(spark, raw, deduped)
     return warc.read_archive(spark, deduped).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
+@query("op5_packing")
+def op5_packing(spark, sf):
+    import public_tokenizers
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
