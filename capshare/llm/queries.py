@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, sharding, topk, warc
+from . import line_dedup, mixing, packing, quality, sharding, topk, toxicity, warc
 from .common import shared_path, table
 from .registry import ORACLE, QUERIES, query
 from .sql import LINES_SQL, QUALITY_SQL, TOPK_SQL, WARC_SQL
@@ -58,3 +58,11 @@ def op10_warc_revisits(spark, sf):
 def op5_packing(spark, sf):
     import public_tokenizers
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark, sf):
+    fold = lambda c: F.crc32(c.cast("string").cast("binary")) % 5
+    out = toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"), fold(F.col("doc_id")) != 0)
+    doc_id = F.col("id").cast("long")
+    return out.select(doc_id.alias("doc_id"), F.coalesce(fold(doc_id) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
