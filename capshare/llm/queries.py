@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, sharding, topk, toxicity, warc
+from . import jaccard_join, line_dedup, mixing, packing, quality, sharding, suffix_dedup, topk, toxicity, warc
 from .common import shared_path, table
 from .registry import ORACLE, QUERIES, query
 from .sql import LINES_SQL, QUALITY_SQL, TOPK_SQL, WARC_SQL
@@ -66,3 +66,15 @@ def op1_toxicity(spark, sf):
     out = toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"), fold(F.col("doc_id")) != 0)
     doc_id = F.col("id").cast("long")
     return out.select(doc_id.alias("doc_id"), F.coalesce(fold(doc_id) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query("op9_ngram_jaccard_join")
+def op9_ngram_jaccard_join(spark, sf):
+    out = jaccard_join.join(table(spark, sf, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_text_links", "text_id")
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf):
+    out = suffix_dedup.dedup(table(spark, sf, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from capshare.llm import line_dedup, mixing, quality
+from capshare.llm import jaccard_join, line_dedup, mixing, packing, quality
 from capshare.llm.common import settle
 
 #: Packing and the n-gram join have no SQL form; tests hold the stages against brute force.
@@ -20,12 +20,23 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.cleaned(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal or near-equal texts stays (five words, Jaccard 0.8)."""
+    return jaccard_join.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
     return mixing.mixed(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup_stage), ("mix sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed windows."""
+    import public_tokenizers
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup_stage), ("n-gram Jaccard join", near_duplicates), ("mix sources", mix_sources), ("packing", pack_sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
