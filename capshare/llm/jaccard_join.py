@@ -248,7 +248,8 @@ def join(docs: DataFrame, threshold: float = 0.8, limit: int = 1000, least: floa
     groups = components(settle(drawn, "drawn"))
     size = settle(groups.groupBy("label").agg(F.count("*").alias("size")), "sizes")
     chosen = settle(groups.join(size, "label").select(F.col("node").alias("uid"), F.col("label").alias("cid"), "size").join(texts.select("uid", "copies", "rep.rowid"), "uid"), "chosen")
-    whole = src.select("rowid", "text").join(chosen, "rowid")
+    # grows with the documents: never broadcast, so that small inputs run the plan that large ones need
+    whole = src.select("rowid", "text").join(chosen.hint("merge"), "rowid")
     by = ["cid", "a", "b"]
     checked = _blocked(whole, limit // 2).select(*by, "chunk", "uid", "copies", "text").repartition(*by).sortWithinPartitions(*by, "uid")
     links = settle(checked.mapInPandas(_verified(threshold), "uid long, root long, text_links long, links long"), "links")
