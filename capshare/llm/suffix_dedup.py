@@ -253,7 +253,55 @@ def _spans(starts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([starts[first], starts[last] + length], axis=1)
 
 
-def _matched(length: int, batch: int = 60_000):
+def _shared(group: np.ndarray, sides: list[bytes], most: int) -> np.ndarray:
+    """Longest prefix that each byte string shares with another of its group, up to ``most``."""
+    n = len(sides)
+    size = np.array([len(x) for x in sides])
+    flat = np.frombuffer(b"".join(x.ljust(most, b"\0") for x in sides), np.uint8).reshape(n, most)
+    keys = np.concatenate([group.astype(">u8").view(np.uint8).reshape(n, 8), flat], axis=1)
+    order = np.argsort(np.ascontiguousarray(keys).view(f"S{most + 8}").ravel(), kind="stable")
+    best = np.zeros(n, np.int64)
+    for a in range(0, n - 1, 8192):
+        x, y = order[a:a + 8192][:n - 1 - a], order[a + 1:a + 8193]
+        differ = flat[x] != flat[y]
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+        common = np.where(group[x] == group[y], np.minimum(common, np.minimum(size[x], size[y])), 0)
+        np.maximum.at(best, x, common)
+        np.maximum.at(best, y, common)
+    return best
+
+
+def _trimmed(group: np.ndarray, regions: list[bytes], offs: np.ndarray, copies: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
+    """Spans per region of the groups. What a region shares with no other of its group on either side of the anchor is cut off first, and
+    what is then equal becomes one: no repeated string is lost, since it lies in the shared part of all its occurrences."""
+    side = length - gram
+    left = _shared(group, [r[max(0, o - side):o][::-1] for r, o in zip(regions, offs.tolist())], side)
+    right = _shared(group, [r[o + gram:o + length] for r, o in zip(regions, offs.tolist())], side)
+    out: list = [np.empty((0, 2), np.int64)] * len(regions)
+    number: dict[tuple[int, int, bytes], int] = {}
+    users: list[list[int]] = []
+    for i in np.flatnonzero(left + right + gram >= length).tolist():
+        lo, hi = int(offs[i] - left[i]), int(offs[i] + gram + right[i])
+        k = number.setdefault((int(group[i]), int(left[i]), regions[i][lo:hi]), len(users))
+        if k == len(users):
+            users.append([])
+        users[k].append(i)
+    keys = list(number)
+    groups = np.array([k[0] for k in keys], np.int64)
+    own = [np.array([[0, len(k[2])]]) if len(u) > 1 or copies[u[0]] > 1 else np.empty((0, 2), np.int64) for k, u in zip(keys, users)]
+    several = np.flatnonzero(np.bincount(groups)[groups] > 1) if len(keys) else np.empty(0, np.int64)
+    if len(several):
+        found = repeated_starts(groups[several], [keys[i][2] for i in several], np.array([keys[i][1] for i in several]), length)
+        for i, s in zip(several.tolist(), found):
+            if not len(own[i]):
+                own[i] = _spans(s, length)
+    for k, u, spans in zip(keys, users, own):
+        for i in u:
+            out[i] = spans + (offs[i] - k[1])
+    return out
+
+
+def _matched(length: int, gram: int, batch: int = 60_000):
     """Rows sorted by h: per distinct surrounding the spans that repeat, relative to its anchor."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -263,9 +311,8 @@ def _matched(length: int, batch: int = 60_000):
         out: list = [np.empty((0, 2), np.int64)] * len(pdf)
         idx = np.flatnonzero(several)
         if len(idx):
-            got = repeated_starts(group[idx], [regions[i] for i in idx], offs[idx], length)
-            for i, s in zip(idx, got):
-                out[i] = _spans(s, length)
+            for i, s in zip(idx, _trimmed(group[idx], [regions[i] for i in idx], offs[idx], copies[idx], length, gram)):
+                out[i] = s
         for i in np.flatnonzero(copies > 1):
             if len(regions[i]) >= length:
                 out[i] = np.array([[0, len(regions[i])]])
@@ -327,7 +374,7 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 32, limit: int = 50_
         distinct = distinct.join(sizes.select("h"), "h", "left_anti")
     else:
         exact = None
-    spans = distinct.repartition("h").sortWithinPartitions("h").mapInPandas(_matched(length), shape)
+    spans = distinct.repartition("h").sortWithinPartitions("h").mapInPandas(_matched(length, gram), shape)
     spans = settle(spans if exact is None else spans.union(exact), "spans")
     plus = lambda c: F.transform(c, lambda x: x + F.col("p"))
     single = placed.where("copies = 1").select("rowid", "p", "h", "rkey").join(spans, ["h", "rkey"]).select("rowid", plus("lo").alias("lo"), plus("hi").alias("hi"))
