@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, id_type: str) -> DataFrame:
                     for k in range(SKETCH):
                         x = (h ^ _XOR[k]) * _MIX[k]
                         mins[some, k] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
-                yield pd.DataFrame({"rowid": part["rowid"], "id": part["id"], "key": [md5((t or "").encode("utf-8")).digest() for t in part["text"]], "n": n, "path": list(mins[:, :RUNS + SPLITS].view(np.int64)), "sketch": [r.tobytes() for r in (mins >> np.uint64(7)).astype(np.uint8)]})
+                yield pd.DataFrame({"rowid": part["rowid"], "id": part["id"].astype(object), "key": [md5((t or "").encode("utf-8")).digest() for t in part["text"]], "n": n, "path": list(mins[:, :RUNS + SPLITS].view(np.int64)), "sketch": [r.tobytes() for r in (mins >> np.uint64(7)).astype(np.uint8)]})
 
     found = docs.select("rowid", F.col("id").cast("string").alias("id"), "text").mapInPandas(run, "rowid long, id string, key binary, n long, path array<long>, sketch binary")
     return found.withColumn("id", F.col("id").cast(id_type))

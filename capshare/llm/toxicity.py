@@ -91,7 +91,7 @@ def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
                 order = sorted(hits)
                 ts.append(order)
                 fs.append([hits[t] for t in order])
-            yield pd.DataFrame({"id": pdf["id"], "t": ts, "tf": fs})
+            yield pd.DataFrame({"id": pdf["id"].astype(object), "t": ts, "tf": fs})
 
     return docs.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(run, "id string, t array<int>, tf array<int>")
 
