@@ -42,7 +42,7 @@ def _example_terms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for text, y in zip(part["text"], part["y"]):
                 (pos if y else neg).update({t for w in set(WORDS.findall((text or "").lower())) for t in terms_of(w)})
             names = list(neg.keys() | pos.keys())
-            yield pd.DataFrame({"term": names, "pos": [pos[t] for t in names], "neg": [neg[t] for t in names]})
+            yield pd.DataFrame({"term": pd.Series(names, dtype=object), "pos": [pos[t] for t in names], "neg": [neg[t] for t in names]})
 
 
 def select_terms(examples: DataFrame, most: int = 4096, chi: float = 30.0, lift: float = 2.0) -> list[str]:
