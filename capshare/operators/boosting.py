@@ -27,7 +27,7 @@ def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> np.ndarray:
 
 def _leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
     node = np.zeros(len(x), dtype=np.int64)
-    for _ in range(64):
+    while True:
         inner = np.array(["feature" in n for n in tree])[node]
         if not inner.any():
             break

@@ -25,6 +25,7 @@ class Clock:
     interval: int = K.INTERVAL_SLOTS
     delay: int = K.TELEMETRY_DELAY
     phase: int = 0
+    history: int = K.FORECAST_WINDOW        # horizons of look-back that the halo of a chunk must hold
 
     @property
     def horizon(self) -> int:
@@ -36,7 +37,12 @@ class Clock:
 
     @property
     def lookback(self) -> int:
-        return max((K.FORECAST_WINDOW + 1) * self.horizon, 60 * self.interval) + 1
+        return max((max(self.history, K.FORECAST_WINDOW) + 1) * self.horizon, 60 * self.interval) + 1
+
+    def holds(self, slots: int) -> None:
+        """Refuse a look-back that the halo does not cover, instead of reading short series."""
+        if slots > self.lookback - 1:
+            raise ValueError(f"{slots} slots of look-back exceed the halo of {self.lookback - 1}; give the clock more history")
 
 
 def slot_events(events: DataFrame, keys: Sequence[str], ts: str, bits: str, origin: str, seconds: float,
@@ -123,6 +129,7 @@ def before(array: str, pos: Column, back: int, count: int) -> Column:
 
 def block_ends(array: str, slot: Column, pos: Column, clock: Clock, count: int) -> Column:
     """``array`` at the last slots of the last full blocks before ``pos``, newest first, at most ``count``."""
+    clock.holds((count + 1) * clock.horizon)
     n = F.least(F.floor(slot / clock.horizon), F.lit(count)).cast("int")
     idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(idx, lambda j: F.get(F.col(array), pos - 1 - j * clock.horizon))
@@ -144,6 +151,9 @@ def ewma(value: str, window: int, clock: Clock, keys: Sequence[str] = KEYS) -> C
     far inside the double range for the chunk lengths of ``Clock``.
     """
     w = chunk_window(keys)
+    clock.holds(6 * window)
+    if window == 1:
+        return F.coalesce(F.lag(value, 1).over(w), F.lit(0.0)).cast("double")
     decay = 1.0 - 2.0 / (window + 1.0)
     span = 6 * window
     base = F.greatest(F.col("chunk") * clock.chunk - clock.lookback, F.lit(0))
@@ -156,10 +166,6 @@ def ewma(value: str, window: int, clock: Clock, keys: Sequence[str] = KEYS) -> C
     return F.when(used > 0, (upto - before) * F.pow(F.lit(decay), age - 1) / norm).otherwise(F.lit(0.0))
 
 
-def max_ewma_window(clock: Clock) -> int:
-    return (clock.lookback - 1) // 6
-
-
 def lag_block_means(value: str, clock: Clock, keys: Sequence[str] = KEYS, blocks: int = K.LAG_BLOCKS) -> list[Column]:
     """Means of back-to-back horizons counted back from the row; a short first block averages what exists."""
     w, h = chunk_window(keys), clock.horizon
@@ -262,6 +268,7 @@ def volume_factor(packed: DataFrame, clock: Clock, keys: Sequence[str] = KEYS, w
 def patches(packed: DataFrame, scale: float, clock: Clock, keys: Sequence[str] = KEYS, count: int = K.NUM_PATCHES) -> DataFrame:
     """Patch tokens: the last ``count`` blocks, oldest first, each with its values, rate, mean and max; zero padded."""
     h = clock.horizon
+    clock.holds((count + 1) * h)
 
     def fields(slot, pos):
         def patch(j):

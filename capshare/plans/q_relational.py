@@ -212,12 +212,12 @@ def jn9(spark, sf):
 
 
 @query("jn_10_theta_pairs", """SELECT cell_id, horizon, round(max((b.cs - a.cs) / (b.slot - a.slot + a.deadline)::DOUBLE), 6) AS rstar FROM
-    (SELECT p.*, h.h AS horizon FROM pre p JOIN range(16) h(h) ON p.slot BETWEEN h.h * 22 AND h.h * 22 + 21) a JOIN pre b USING (cell_id)
+    (SELECT p.*, h.h AS horizon FROM pre p JOIN range((SELECT CAST(max(slot) // 22 + 1 AS BIGINT) FROM pre)) h(h) ON p.slot BETWEEN h.h * 22 AND h.h * 22 + 21) a JOIN pre b USING (cell_id)
     WHERE b.slot > a.slot AND b.slot <= horizon * 22 + 22 GROUP BY ALL""", "pre")
 def jn10(spark, sf):
     """Rates of fixed horizons by the array expression (the theta join is the check)."""
     from ..functions.demand import required_rate
-    h = V.slots(spark, sf).where(F.col("slot") < 16 * 22).groupBy("cell_id", F.floor(F.col("slot") / 22).alias("horizon")).agg(
+    h = V.slots(spark, sf).groupBy("cell_id", F.floor(F.col("slot") / 22).alias("horizon")).agg(
         F.first("deadline").alias("deadline"), F.sort_array(F.collect_list(F.struct("slot", "fh_bits"))).alias("a"))
     return h.select("cell_id", "horizon", F.round(required_rate(F.col("a.fh_bits").cast("array<double>"), "deadline"), 6).alias("rstar"))
 

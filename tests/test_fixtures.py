@@ -302,3 +302,22 @@ def test_entry(spark):
     import __spark_entry__ as e
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_long_windows_cross_chunks(spark):
+    """A look-back longer than the default gets a longer halo; a clock without it refuses."""
+    class Whole(Clock):
+        chunk = property(lambda self: 10 ** 6)
+
+    s = slots(spark, 900)
+    a, b = Clock(2, 1, history=60), Whole(2, 1, history=60)
+    got = [sorted(map(str, series.window_forecast(series.packed_rates(s, c), c, window=60).select("cell_id", "epoch", F.transform("q", lambda x: F.round(x, 6)).alias("q")).collect())) for c in (a, b)]
+    assert got[0] == got[1] and got[0] and "None" not in str(got[0])
+    with pytest.raises(ValueError):
+        series.window_forecast(series.packed_rates(s, Clock(2, 1)), Clock(2, 1), window=60)
+
+
+def test_deep_trees_are_walked_to_the_leaf():
+    tree = [{"feature": 0, "threshold": float(i), "left": 2 * i + 1, "right": 2 * i + 2} if k == 0 else {"value": float(i)} for i in range(100) for k in (0, 1)] + [{"value": 100.0}]
+    # node 2 i is inner and sends larger values to node 2 i + 2
+    assert B._leaf_of(tree, np.array([[1000.0], [-1.0]])).tolist() == [200, 1]
