@@ -202,10 +202,17 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, k: int = 15, max_ex
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
+        # texts with the same terms have the same neighbours
+        known: dict = {}
         for pdf in it:
             out = []
             for id_, t, tf in zip(pdf["id"], pdf["t"], pdf["tf"]):
-                vote, i, s = ix.vote(t, tf, k)
+                same = (t.tobytes(), tf.tobytes())
+                if same not in known:
+                    if len(known) > 50_000:
+                        known.clear()
+                    known[same] = ix.vote(t, tf, k)
+                vote, i, s = known[same]
                 x = rates[0] if vote < 0 else float(np.interp(vote * bins, np.arange(bins + 1) + 0.5, rates[1:]))
                 out.append((None if pd.isna(id_) else id_, x, [{"id": ix.ids[a], "cosine": float(c), "toxic": int(ix.y[a])} for a, c in zip(i[:3].tolist(), s[:3].tolist())]))
             yield pd.DataFrame(out, columns=["id", "score", "evidence"]).astype({"id": object})
