@@ -40,7 +40,6 @@ SCENARIOS = [
 ]
 # inclusive seed ranges of the three splits
 SEED_SPLITS = {"train": (1000, 1015), "val": (2000, 2003), "test": (3000, 3019)}
-TRAIN_LOADS = [0.5, 0.65, 0.8, 0.95]
 
 # --- fixed values: forecasting --------------------------------------------------------------------
 QUANTILE_LEVELS = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95]
@@ -55,7 +54,6 @@ INTERVAL_SLOTS = 20
 TELEMETRY_DELAY = 2
 W_MIN = 0.25
 LL_DEADLINE = 10               # a key is low-latency when its deadline is at most this
-GREEDY_EXPONENT = 6.0
 
 # --- fixed values: TS 38.214 CQI efficiencies and TR 36.942 link mapping ---------------------------
 CQI_EFFICIENCY = [0.1523, 0.2344, 0.3770, 0.6016, 0.8770, 1.1758, 1.4766, 1.9141,
@@ -63,14 +61,5 @@ CQI_EFFICIENCY = [0.1523, 0.2344, 0.3770, 0.6016, 0.8770, 1.1758, 1.4766, 1.9141
 SHANNON_ALPHA = 0.6
 SINR_MIN_DB = -10.0
 
-# --- fixed values: parameter grids tried on validation rows ----------------------------------------
-TUNING_GRID = {
-    "reactive_prop": [{"margin": m, "ewma_window": w} for m in (0.0, 0.25, 0.5) for w in (20, 60)],
-    "queue_aware": [{"margin": m, "num_horizons": k} for m in (0.0, 0.25) for k in (1, 3, 6)],
-    "maxweight": [{"margin": m, "hol_weight": h} for m in (0.0, 0.25, 0.5) for h in (0.0, 1.0)],
-    "point_forecast": [{"margin": m} for m in (0.0, 0.25, 0.5)],
-    "fixed_quantile": [{"level": q} for q in (0.75, 0.9, 0.95)],
-}
-
 # --- fixed values: digits as words, for labels that may hold letters only ---------------------------
 DIGIT_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]

@@ -65,13 +65,8 @@ def sorted_quantiles(ascending, levels=QUANTILE_LEVELS) -> Column:
 
 
 def read_at_grid(q, levels=QUANTILE_LEVELS, grid: int = 99) -> Column:
-    """Knots read at ``grid`` mid-levels, extrapolated on both sides (member of a mixture)."""
+    """Knots read at ``grid`` mid-levels (member of a mixture); the first and the last segment go on beyond their ends."""
     q = col(q)
-    out = []
-    for g in range(grid):
-        u = (g + 0.5) / grid
-        j = min(max(sum(1 for a in levels if a < u), 1), len(levels) - 1)
-        frac = (u - levels[j - 1]) / (levels[j] - levels[j - 1])
-        lo, hi = F.get(q, F.lit(j - 1)), F.get(q, F.lit(j))
-        out.append(lo + F.lit(frac) * (hi - lo))
-    return F.array(*out)
+    inner = levels[1:-1]                     # borders between segments
+    mids = [F.lit((2 * g + 1) / (2 * grid)) for g in range(grid)]
+    return F.array(*[_segment(q, p, levels, sum((2 * g + 1) / (2 * grid) > b for b in inner)) for g, p in enumerate(mids)])

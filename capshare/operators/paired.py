@@ -23,10 +23,12 @@ def differences(pairs: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
 
 def draw(rep: Column, i: Column, n: Column) -> Column:
     """Deterministic resample index in [0, n): integer arithmetic that any engine repeats exactly (products below 2^63)."""
-    k = rep * F.lit(1009) + i
-    x = (k * F.lit(1103515245) + F.lit(12345)) % F.lit(2147483648)
-    y = (F.shiftright(x * x, 15) + k * F.lit(69621)) % F.lit(2147483647)
-    return (y * F.lit(48271)) % F.lit(2147483647) % n
+    m = F.lit(2147483647)
+    a = (rep % m * F.lit(1103515245) + F.lit(12345)) % m
+    b = (i % m * F.lit(69621) + F.lit(7919)) % m
+    x = F.shiftright(a * a, 15).bitwiseXOR(F.shiftright(b * b, 13)) % m
+    y = ((x + a) % m * F.lit(48271) + b) % m
+    return F.shiftright(y * y, 16) % m * F.lit(16807) % m % n
 
 
 def resample_weights(sizes: DataFrame, replicates: int) -> DataFrame:
@@ -48,8 +50,8 @@ def bootstrap(values: DataFrame, keys: Sequence[str], order: str, columns: Seque
     v = values.select(*keys, *columns, pos.cast("bigint").alias("pos"), n.alias("n"))
     w = resample_weights(v.select("n").distinct(), replicates)
     sums = v.join(w, ["n", "pos"]).groupBy(*keys, "rep", "n").agg(*[(F.sum(F.col("w") * F.col(c)) / F.col("n")).alias(c) for c in columns])
-    return sums.groupBy(*keys).agg(F.percentile(statistic(*[F.col(c) for c in columns]), F.array(*[F.lit(p) for p in probs])).alias("_q")).select(
-        *keys, F.get("_q", F.lit(0)).alias("ci_lo"), F.get("_q", F.lit(1)).alias("ci_hi"))
+    return sums.groupBy(*keys).agg(F.percentile(statistic(*[F.col(c) for c in columns]), F.array(*[F.lit(p) for p in probs])).alias("_q"), F.max("n").alias("_n")).select(
+        *keys, *[F.when(F.col("_n") > 1, F.get("_q", F.lit(i))).alias(c) for i, c in enumerate(("ci_lo", "ci_hi"))])   # one value has no interval
 
 
 def bootstrap_reduction(pairs: DataFrame, replicates: int = 10000, keys: Sequence[str] = PAIR) -> DataFrame:

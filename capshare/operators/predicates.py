@@ -41,7 +41,7 @@ def thin_to_share(df: DataFrame, keys: Sequence[str], row_id: str, value: str, s
     The number is a fixed linear congruence of the row id, so the choice is the same however the data is partitioned.
     The running total is two-level: at most 2^16 buckets per key are summed in one task.
     """
-    u = (F.col(row_id) * F.lit(1103515245) + F.lit(12345)) % F.lit(2147483648)
+    u = (F.pmod(F.col(row_id), F.lit(2147483648)) * F.lit(1103515245) + F.lit(12345)) % F.lit(2147483648)
     df = df.withColumn("u", u)
     per = df.groupBy(*keys, "u").agg(F.sum(value).alias("_v"))
     run = running_total(per, keys, "u", "_v", "_cum", 1 << 15)

@@ -7,14 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, bound: int | None = None) -> DataFrame:
-    """Broadcast only a side whose row count is bounded by construction; otherwise leave the choice to the planner."""
-    return F.broadcast(df) if bound is not None and bound <= BROADCAST_ROWS else df
-
-
 def delayed_state(slots: DataFrame, states: DataFrame, keys: Sequence[str], interval: int, delay: int,
                   values: Sequence[str] = ("queue", "hol")) -> DataFrame:
     """Point-in-time view at epochs: state after slot ``o - 1`` and efficiency at ``o = max(0, t - delay)``."""

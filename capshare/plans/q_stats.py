@@ -34,13 +34,14 @@ def st1(spark, sf):
 
 def _boot_sql(src: str, keys: str, reps: int, order: str, stat: str) -> str:
     return f""", pos AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS pos, count(*) OVER (PARTITION BY {keys}) AS n FROM {src}),
-    dr0 AS (SELECT n, rep, i, rep * 1009 + i AS k, ((rep * 1009 + i) * 1103515245 + 12345) % 2147483648 AS x FROM (SELECT DISTINCT n FROM pos) CROSS JOIN range({reps}) a(rep) CROSS JOIN range(100000) b(i) WHERE i < n),
-    dr AS (SELECT n, rep, (((x * x) >> 15) + k * 69621) % 2147483647 * 48271 % 2147483647 % n AS idx FROM dr0),
-    bt AS (SELECT {keys}, rep, {stat} AS v FROM dr JOIN pos ON pos.n = dr.n AND pos.pos = dr.idx GROUP BY {keys}, rep)
-    SELECT {keys}, round(quantile_cont(v, 0.025), 5) AS ci_lo, round(quantile_cont(v, 0.975), 5) AS ci_hi FROM bt GROUP BY {keys}"""
+    dr0 AS (SELECT n, rep, i, (rep * 1103515245 + 12345) % 2147483647 AS a, (i * 69621 + 7919) % 2147483647 AS b FROM (SELECT DISTINCT n FROM pos) CROSS JOIN range({reps}) r(rep) CROSS JOIN range(100000) p(i) WHERE i < n),
+    dr1 AS (SELECT n, rep, ((xor((a * a) >> 15, (b * b) >> 13) % 2147483647 + a) % 2147483647 * 48271 + b) % 2147483647 AS y FROM dr0),
+    dr AS (SELECT n, rep, ((y * y) >> 16) % 2147483647 * 16807 % 2147483647 % n AS idx FROM dr1),
+    bt AS (SELECT {keys}, rep, max(pos.n) AS n, {stat} AS v FROM dr JOIN pos ON pos.n = dr.n AND pos.pos = dr.idx GROUP BY {keys}, rep)
+    SELECT {keys}, CASE WHEN max(bt.n) > 1 THEN round(quantile_cont(v, 0.025), 5) END AS ci_lo, CASE WHEN max(bt.n) > 1 THEN round(quantile_cont(v, 0.975), 5) END AS ci_hi FROM bt GROUP BY {keys}"""
 
 
-@query("st_2_bootstrap_reduction", _PAIRS + _boot_sql("pairs", "scenario, baseline", 10000, "seed", "100 * (avg(o) - avg(r)) / greatest(avg(o), 1e-12)").replace("range(100000) b(i)", "range(64) b(i)"), "runs")
+@query("st_2_bootstrap_reduction", _PAIRS + _boot_sql("pairs", "scenario, baseline", 10000, "seed", "100 * (avg(o) - avg(r)) / greatest(avg(o), 1e-12)").replace("range(100000) p(i)", "range(64) p(i)"), "runs")
 def st2(spark, sf):
     return PA.bootstrap_reduction(pairs(spark, sf)).select("scenario", "baseline", r("ci_lo", 5), r("ci_hi", 5))
 
@@ -108,7 +109,7 @@ def st6(spark, sf):
     return t.groupBy("scenario").pivot("baseline", _RIVALS).agg(F.max("cell")).join(best, "scenario").select("scenario", *_RIVALS, "best")
 
 
-@query("st_7_bootstrap_mean", (_boot_sql("(SELECT scenario, method, seed, wvr FROM runs)", "scenario, method", 2000, "seed", "avg(wvr)").replace("range(100000) b(i)", "range(64) b(i)")), "runs")
+@query("st_7_bootstrap_mean", (_boot_sql("(SELECT scenario, method, seed, wvr FROM runs)", "scenario, method", 2000, "seed", "avg(wvr)").replace("range(100000) p(i)", "range(64) p(i)")), "runs")
 def st7(spark, sf):
     return PA.bootstrap(V.runs(spark, sf), ["scenario", "method"], "seed", ["wvr"], lambda m: m, 2000).select("scenario", "method", r("ci_lo", 5), r("ci_hi", 5))
 

@@ -28,12 +28,14 @@ def build_session(cores: int | str = "*", app: str = "capshare", shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a fresh local one only where none is set."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); a fresh local one only in local mode where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = current.get() if current.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
         spark.sparkContext.setCheckpointDir(path)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

@@ -233,10 +233,14 @@ def test_every_rule_is_feasible(spark):
         assert all(r.s <= V.CAPACITY + 1e-6 and r.lo >= 0 and r.over <= 1e-9 and not r.nan for r in g.collect()), name
 
 
-def test_search_finds_a_quadratic():
-    target = np.array([.6, .3, 0.0])
-    best, _ = search.cross_entropy(lambda p: ((p - target) ** 2).sum(1), [.5, .5, .5], [.3, .3, .3], [0, 0, -1], [1, 1, 1], 12, 24, 6)
-    assert np.abs(best - target).max() < 0.08
+def test_search_finds_a_quadratic(spark):
+    box = spark.createDataFrame([(s, p, lo, 1.0, .5 + .1 * s, .3) for s in (0, 1) for p, lo in (("a", 0.), ("b", 0.), ("c", -1.))],
+                                "start int, param string, lo double, hi double, centre double, width double")
+    cost = F.pow(F.col("a") - .6, 2) + F.pow(F.col("b") - .3, 2) + F.pow("c", 2)
+    seen = search.cross_entropy(spark, lambda p: p.withColumn("cost", cost), box, 6, 24, 6).toPandas()
+    last = seen[seen.generation == 6]
+    assert len(seen) == 2 * (6 * 24 + 1) and len(last) == 2 and np.abs(last[["a", "b", "c"]].to_numpy() - [.6, .3, 0]).max() < 0.15
+    assert seen["c"].min() >= -1 and seen[["a", "b"]].min().min() >= 0 and seen[["a", "b", "c"]].max().max() <= 1
 
 
 def test_signed_rank_and_erf(spark):
@@ -321,3 +325,30 @@ def test_deep_trees_are_walked_to_the_leaf():
     tree = [{"feature": 0, "threshold": float(i), "left": 2 * i + 1, "right": 2 * i + 2} if k == 0 else {"value": float(i)} for i in range(100) for k in (0, 1)] + [{"value": 100.0}]
     # node 2 i is inner and sends larger values to node 2 i + 2
     assert B._leaf_of(tree, np.array([[1000.0], [-1.0]])).tolist() == [200, 1]
+
+
+def test_draws_of_large_samples_are_apart(spark):
+    n = 2500
+    d = spark.range(40).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"))
+    got = d.select("rep", "i", PA.draw(F.col("rep"), F.col("i"), F.lit(n)).alias("x")).toPandas().pivot(index="rep", columns="i", values="x").to_numpy()
+    assert got.min() >= 0 and got.max() < n
+    assert max((got[:-1, k:] == got[1:, :n - k]).mean() for k in (0, 1, 7, 1009)) < 4 / n
+    assert abs(np.mean([len(np.unique(r)) / n for r in got]) - (1 - np.exp(-1))) < 0.01
+
+
+def test_one_pair_has_no_interval_and_large_ids_do_not_overflow(spark):
+    from capshare.operators import predicates as P
+    one_pair = spark.createDataFrame([("s", "b", 1, 2.0, 1.0, 1.0)], "scenario string, baseline string, seed int, o double, r double, diff double")
+    r = PA.bootstrap_reduction(one_pair, 50).first()
+    assert r.ci_lo is None and r.ci_hi is None
+    big = spark.range(10 ** 12, 10 ** 12 + 50).select(F.lit("k").alias("k"), "id", F.lit(1).cast("long").alias("v"))
+    assert P.thin_to_share(big, ["k"], "id", "v", 0.5).count() == 25
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace as N
+    from capshare.session import shared_dir
+    none = N(isDefined=lambda: False)
+    fake = N(conf=N(get=lambda k, d: d), sparkContext=N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: none))))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(fake)
