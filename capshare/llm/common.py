@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from capshare.session import shared_dir
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Paths of the tables written on the way to the result that is being built.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +30,37 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and every later read sees the same rows (row ids included)."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``settle(build())``, after which the tables that ``build`` settled on its way are removed. The result must be all that is read later."""
+    outer, inner = _made.get(), []
+    mark = _made.set(inner)
+    try:
+        out = settle(build(), name)
+    finally:
+        _made.reset(mark)
+    kept = inner.pop()
+    for path in inner:
+        remove(spark, path)
+    if outer is not None:
+        outer.append(kept)
+    return out
+
+
+def repeatable(df: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """``df``, a projection of ``docs`` with row numbers. A table just read from files numbers its rows alike in every scan; any other is written first."""
+    return df if docs._jdf.queryExecution().optimizedPlan().nodeName() == "LogicalRelation" else settle(df, name)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, even where ``body`` reads it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import repeatable, settle, settled
 from .graph import components
 
 SKETCH, RUNS, SPLITS = 64, 8, 16
@@ -242,10 +242,14 @@ def join(docs: DataFrame, threshold: float = 0.8, limit: int = 1000, least: floa
     place = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rowid").alias("rowid"))
     texts = settle(sig.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("rep"), F.first("n").alias("n"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
                    .withColumn("uid", F.monotonically_increasing_id()), "texts")
-    leaves = _blocked(settle(buckets(texts, limit), "leaves"), limit).join(texts.select("uid", "n", "sketch"), "uid")
-    by = ["bucket", "a", "b"]
-    drawn = leaves.select(*by, "chunk", "uid", "n", "sketch").repartition(*by).sortWithinPartitions(*by, "uid").mapInPandas(_sketched(least), "a long, b long")
-    groups = components(settle(drawn, "drawn"))
+
+    def drawn() -> DataFrame:
+        leaves = _blocked(settle(buckets(texts, limit), "leaves"), limit).join(texts.select("uid", "n", "sketch"), "uid")
+        by = ["bucket", "a", "b"]
+        near = leaves.select(*by, "chunk", "uid", "n", "sketch").repartition(*by).sortWithinPartitions(*by, "uid").mapInPandas(_sketched(least), "a long, b long")
+        return components(settle(near, "drawn"))
+
+    groups = settled(docs.sparkSession, "groups", drawn)
     size = settle(groups.groupBy("label").agg(F.count("*").alias("size")), "sizes")
     chosen = settle(groups.join(size, "label").select(F.col("node").alias("uid"), F.col("label").alias("cid"), "size").join(texts.select("uid", "copies", "rep.rowid"), "uid"), "chosen")
     # grows with the documents: never broadcast, so that small inputs run the plan that large ones need
@@ -253,7 +257,7 @@ def join(docs: DataFrame, threshold: float = 0.8, limit: int = 1000, least: floa
     by = ["cid", "a", "b"]
     checked = _blocked(whole, limit // 2).select(*by, "chunk", "uid", "copies", "text").repartition(*by).sortWithinPartitions(*by, "uid")
     links = settle(checked.mapInPandas(_verified(threshold), "uid long, root long, text_links long, links long"), "links")
-    label = components(links.select(F.col("uid").alias("a"), F.col("root").alias("b")))
+    label = settled(docs.sparkSession, "labels", lambda: components(links.select(F.col("uid").alias("a"), F.col("root").alias("b"))))
     degree = links.groupBy("uid").agg(F.sum("text_links").alias("text_links"), F.sum("links").alias("links"))
     result = texts.select("uid", "key", "copies", "rep").join(degree, "uid", "left").join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     result = settle(result, "result")
@@ -268,6 +272,7 @@ def join(docs: DataFrame, threshold: float = 0.8, limit: int = 1000, least: floa
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """The documents, one of each class (the smallest id)."""
-    held = settle(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), "docs")
-    stay = join(held.select("row.*"), **kw).where("first").select("rowid")
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    held = repeatable(held, docs, "docs")
+    stay = settled(docs.sparkSession, "stay", lambda: join(held.select("row.*"), **kw).where("first").select("rowid"))
     return held.select(F.monotonically_increasing_id().alias("rowid"), "row").join(stay, "rowid").select("row.*")

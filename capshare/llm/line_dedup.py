@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, let, settle
+from .common import hash128, let, repeatable, settle, settled
 
 
 def line_windows(rows: DataFrame, size: int = 3) -> DataFrame:
@@ -40,8 +40,9 @@ def later_positions(windows: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """Per input row: ``row`` (all its columns as a struct), ``text`` without repeated windows, ``n_lines``, ``n_removed``."""
-    rows = settle(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")), "lines")
-    gone = later_positions(settle(line_windows(rows, size), "windows"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"))
+    rows = repeatable(rows, docs, "lines")
+    gone = settled(docs.sparkSession, "gone", lambda: later_positions(settle(line_windows(rows, size), "windows")))
     every = F.split("text", "\n")
 
     def rest(lines):

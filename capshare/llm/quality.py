@@ -84,16 +84,18 @@ def common_counts(text: Column) -> Column:
     return let(flat, lambda s: F.array(*[((F.length(s) - F.length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in COMMON]))
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """uid, id, lang, n_words, base counts, base_failed and the histograms; no text."""
-    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
+    """uid, id, lang, n_words, base counts, base_failed and the histograms; with ``whole``, also ``row``, all columns of the input as a struct."""
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole else []
+    more = ["row"] if whole else []
+    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *row)
     t, k, zero = F.col("t"), len(CLASSES) + 1, F.lit(0).cast("long")
     pair = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).cast("long").alias("r")))
-    rows = src.select("uid", "id", "lang", F.length(t).cast("long").alias("chars"), line_repeats(t).alias("n_dup_lines"), pair.alias("pair"), class_counts(t).alias("counts"), common_counts(t).alias("hits"))
+    rows = src.select("uid", "id", "lang", F.length(t).cast("long").alias("chars"), line_repeats(t).alias("n_dup_lines"), pair.alias("pair"), class_counts(t).alias("counts"), common_counts(t).alias("hits"), *more)
     n, r = F.col("pair.n"), F.col("pair.r")
     other = F.greatest(zero, n - F.aggregate("hits", zero, lambda x, y: x + y))
     return rows.select("uid", "id", "lang", n.alias("n_words"), (F.col("chars") - F.element_at("counts", 2)).alias("word_chars"), F.element_at("counts", k + 1).alias("n_symbols"), "n_dup_lines",
-                       r.alias("n_repeat_words"), ((n < 50) | (100 * r > 50 * n)).alias("base_failed"), F.slice("counts", 1, k).alias("classes"), F.concat("hits", F.array(other)).alias("common"))
+                       r.alias("n_repeat_words"), ((n < 50) | (100 * r > 50 * n)).alias("base_failed"), F.slice("counts", 1, k).alias("classes"), F.concat("hits", F.array(other)).alias("common"), *more)
 
 
 def references(feats: DataFrame) -> dict[str, dict[str, list[float]]]:
@@ -134,7 +136,5 @@ def judge(docs: DataFrame, class_limit: float = 0.16, word_limit: float = 0.17,
 
 
 def kept_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    held = settle(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), "docs")
-    good = judge(held.select("row.*"), **kw).where("kept").select("uid")
-    return held.select(F.monotonically_increasing_id().alias("uid"), "row").join(good, "uid").select("row.*")
+    """The documents that pass, with all their columns: they are written next to their counts, so nothing is shuffled or joined."""
+    return judge(docs, whole=True, **kw).where("kept").select("row.*")
