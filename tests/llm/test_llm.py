@@ -223,3 +223,21 @@ def test_pipeline(spark):
     empty = docs.where("false")
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_tables_on_the_way_are_removed(spark):
+    from pathlib import Path
+    from capshare.llm.common import repeatable, settle, settled
+    seen = []
+
+    def build():
+        inner = settle(spark.range(5).toDF("x"), "inner")
+        seen.append(inner.inputFiles()[0])
+        return inner.where("x > 1")
+
+    out = settled(spark, "outer", build)
+    assert sorted(r.x for r in out.collect()) == [2, 3, 4] and not Path(seen[0].removeprefix("file://")).exists()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert repeatable(docs, docs, "t") is docs
+    shuffled = docs.distinct()
+    assert repeatable(shuffled, shuffled, "t") is not shuffled
