@@ -40,17 +40,18 @@ def _spans(q: Column, levels=QUANTILE_LEVELS) -> Column:
                    span(levels[last], 1.0, at[last], tail), *inner, span(-9.0, levels[0], at[0], zero))
 
 
-def with_level(df: DataFrame, back, weight, delta, floor, group: Sequence[str] = GROUP, q="q", out: str = "level") -> DataFrame:
+def with_level(df: DataFrame, back, weight, delta, floor, group: Sequence[str] = GROUP, q="q", out: str = "level",
+               levels: Sequence[float] = QUANTILE_LEVELS) -> DataFrame:
     """Add the smallest level whose total budget is within the capacity.
 
     Each cell becomes the value changes of its piecewise-linear budget, the first of which carries the cell's row; a running
     sum over (group, level) finds the crossing and the carried rows come back with it: one shuffle, no join.
     """
-    w = F.col("_w")
+    w, final = F.col("_w"), len(levels) + 1
     keep = [c for c in df.columns if c not in group]
     rows = df.select(*group, F.col("capacity").alias("_c"), F.col("cap").alias("_cap"), col(back).alias("_b"), col(weight).alias("_w"),
                      col(delta).cast("double").alias("_d"), col(floor).cast("double").alias("_f"),
-                     F.struct(*keep).alias("_row"), F.posexplode(_spans(col(q))).alias("_i", "_s"))
+                     F.struct(*keep).alias("_row"), F.posexplode(_spans(col(q), levels)).alias("_i", "_s"))
     zero = F.lit(0.0)
     # budget = icpt + slope * level on [lo, hi)
     rows = rows.select(
@@ -59,7 +60,7 @@ def with_level(df: DataFrame, back, weight, delta, floor, group: Sequence[str] =
         F.least(F.greatest(w * (F.lit(1.0) - F.col("_s.p_lo") + F.col("_d")), zero), w).alias("_hi"),
         (F.col("_b") + F.col("_s.value") + F.col("_s.slope") * (F.lit(1.0) - F.col("_s.p_lo") + F.col("_d"))).alias("_icpt"),
         (-F.col("_s.slope") / w).alias("_m"))
-    rows = rows.where("_lo < _hi or _i in (0, 7)")
+    rows = rows.where(f"_lo < _hi or _i in (0, {final})")
     flat = F.col("_m") == 0
     rows = rows.withColumns({
         "_tocap": F.when(flat, F.when(F.col("_icpt") > F.col("_cap"), F.col("_hi")).otherwise(F.col("_lo")))
@@ -78,7 +79,7 @@ def with_level(df: DataFrame, back, weight, delta, floor, group: Sequence[str] =
     nothing = piece(zero, zero)
     first = F.when(lo >= hi, nothing).when(x > lo, piece(cap, zero)).when(y > lo, piece(icpt, m)).otherwise(piece(f, zero))
     last = F.when(lo >= hi, nothing).when(y < hi, piece(f, zero)).when(x < hi, piece(icpt, m)).otherwise(piece(cap, zero))
-    keep_floor = F.when(F.col("_i") == 7, f).otherwise(zero)
+    keep_floor = F.when(F.col("_i") == final, f).otherwise(zero)
     rows = rows.withColumns({"_first": first, "_last": last})
 
     def change(at, da, dm):

@@ -65,6 +65,12 @@ def erf(x: Column, terms: int = 120) -> Column:
     return F.when(x > 6, F.lit(1.0)).otherwise(F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-x * x) * s)
 
 
+def erfc(x: Column, depth: int = 100) -> Column:
+    """Complementary error function for x >= 0: 1 - erf below 2, beyond it the continued fraction, evaluated from its end, so that tails keep their digits."""
+    tail = F.aggregate(F.sequence(F.lit(depth), F.lit(1), F.lit(-1)), x, lambda a, k: x + k / (2 * a))
+    return F.when(x < 2, F.lit(1.0) - erf(x)).otherwise(F.exp(-x * x) / (F.lit(math.sqrt(math.pi)) * tail))
+
+
 def null_counts(spark, limit: int = EXACT_LIMIT) -> DataFrame:
     """(n, cum): cumulative number of sign patterns with rank sum 0, 1, .. for every n up to the limit (a rule, not data)."""
     rows, counts = [], [1]
@@ -101,7 +107,7 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str] = PAIR, min_n: int = 6) ->
     n = F.col("n").cast("double")
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - 0.5 * F.col("ties")) / 24)
     j = j.withColumn("_z", F.abs((stat - n * (n + 1) / 4) / se) / F.lit(math.sqrt(2.0)))
-    p = F.when((F.col("n") <= EXACT_LIMIT) & (F.col("ties") == 0), exact).otherwise(F.lit(1.0) - erf(F.col("_z")))
+    p = F.when((F.col("n") <= EXACT_LIMIT) & (F.col("ties") == 0), exact).otherwise(erfc(F.col("_z")))
     return j.select(*keys, F.when((F.col("_pairs") >= min_n) & (F.coalesce(F.col("n"), F.lit(0)) > 0), p).alias("p"))
 
 

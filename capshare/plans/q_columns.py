@@ -75,10 +75,15 @@ def prj7(spark, sf):
 
 
 
+def observed():
+    """Epochs that have seen one whole horizon; before it a forecast repeats one partial rate."""
+    return series.enough_history(V.FAST, 1)
+
+
 @query("prj_8_tidy_quantiles", "SELECT cell_id, epoch, " + ", ".join(f"round(s[{i}], 6) AS q{i}" for i in range(1, 7))
-       + " FROM (SELECT cell_id, epoch, list_sort(list_transform(q, lambda x: greatest(15 - x, 0.0))) AS s FROM fc5 WHERE obs_slot >= 35)", "fc5")
+       + " FROM (SELECT cell_id, epoch, list_sort(list_transform(q, lambda x: greatest(15 - x, 0.0))) AS s FROM fc5)", "fc5")
 def prj8(spark, sf):
-    f = series.window_forecast(V.packed(spark, sf), V.FAST).where(series.enough_history(V.FAST))
+    f = series.window_forecast(V.packed(spark, sf), V.FAST).where(observed())
     f = f.withColumn("s", Q.tidy(F.transform("q", lambda x: F.lit(15.0) - x)))
     return f.select("cell_id", "epoch", *[F.round(F.get("s", F.lit(i)), 6).alias(f"q{i + 1}") for i in range(6)])
 
@@ -225,23 +230,23 @@ def flt8b(spark, sf):
 _P = "((cell_id % 21) / 20.0)::DOUBLE"
 
 
-@query("sc_1_inverse_cdf", f"SELECT link_id, cell_id, epoch, round({sql_interp('q', _P, True)} + 1e-9, 6) AS rate FROM fc5 WHERE obs_slot >= 35", "fc5")
+@query("sc_1_inverse_cdf", f"SELECT link_id, cell_id, epoch, round({sql_interp('q', _P, True)} + 1e-9, 6) AS rate FROM fc5", "fc5")
 def sc1(spark, sf):
-    f = series.window_forecast(V.packed(spark, sf), V.FAST).where(series.enough_history(V.FAST))
+    f = series.window_forecast(V.packed(spark, sf), V.FAST).where(observed())
     return f.select("link_id", "cell_id", "epoch", F.round(Q.inverse_cdf("q", (F.col("cell_id") % 21) / 20.0) + 1e-9, 6).alias("rate"))
 
 
-@query("sc_2_interp", f"SELECT link_id, cell_id, epoch, round({sql_interp('q', _P, False)} + 1e-9, 6) AS rate FROM fc5 WHERE obs_slot >= 35", "fc5")
+@query("sc_2_interp", f"SELECT link_id, cell_id, epoch, round({sql_interp('q', _P, False)} + 1e-9, 6) AS rate FROM fc5", "fc5")
 def sc2(spark, sf):
-    f = series.window_forecast(V.packed(spark, sf), V.FAST).where(series.enough_history(V.FAST))
+    f = series.window_forecast(V.packed(spark, sf), V.FAST).where(observed())
     return f.select("link_id", "cell_id", "epoch", F.round(Q.interp("q", (F.col("cell_id") % 21) / 20.0) + 1e-9, 6).alias("rate"))
 
 
 @query("sc_3_shift_levels", "SELECT link_id, cell_id, epoch, " + ", ".join(
     f"round({sql_interp('q', f'least(greatest({a}::DOUBLE + -0.2::DOUBLE, 0.05), 0.95)', False)}, 6) AS q{i + 1}" for i, a in enumerate(_KNOTS))
-    + " FROM fc5 WHERE obs_slot >= 35", "fc5")
+    + " FROM fc5", "fc5")
 def sc3(spark, sf):
-    f = series.window_forecast(V.packed(spark, sf), V.FAST).where(series.enough_history(V.FAST)).withColumn("s", Q.shift_levels("q", F.lit(-0.2)))
+    f = series.window_forecast(V.packed(spark, sf), V.FAST).where(observed()).withColumn("s", Q.shift_levels("q", F.lit(-0.2)))
     return f.select("link_id", "cell_id", "epoch", *[F.round(F.get("s", F.lit(i)), 6).alias(f"q{i + 1}") for i in range(6)])
 
 
@@ -250,10 +255,10 @@ def sc3(spark, sf):
       WHEN (g + 0.5) / 99 <= 0.5 THEN q[2] + ((g + 0.5) / 99 - 0.25) / 0.25 * (q[3] - q[2])
       WHEN (g + 0.5) / 99 <= 0.75 THEN q[3] + ((g + 0.5) / 99 - 0.5) / 0.25 * (q[4] - q[3])
       WHEN (g + 0.5) / 99 <= 0.9 THEN q[4] + ((g + 0.5) / 99 - 0.75) / (0.9 - 0.75) * (q[5] - q[4])
-      ELSE q[5] + ((g + 0.5) / 99 - 0.9) / (0.95 - 0.9) * (q[6] - q[5]) END)) AS v FROM fc5 WHERE obs_slot >= 35)
+      ELSE q[5] + ((g + 0.5) / 99 - 0.9) / (0.95 - 0.9) * (q[6] - q[5]) END)) AS v FROM fc5)
     SELECT link_id, epoch, """ + ", ".join(f"round(greatest(quantile_cont(v, {a}), 0.0) + 1e-9, 5) AS q{i + 1}" for i, a in enumerate(_KNOTS)) + " FROM m GROUP BY ALL", "fc5")
 def sc4(spark, sf):
-    f = series.window_forecast(V.packed(spark, sf), V.FAST).where(series.enough_history(V.FAST))
+    f = series.window_forecast(V.packed(spark, sf), V.FAST).where(observed())
     return P.mixture(f, ["link_id", "epoch"], "q").select(
         "link_id", "epoch", *[F.round(F.get("q", F.lit(i)) + 1e-9, 5).alias(f"q{i + 1}") for i in range(6)])
 

@@ -211,15 +211,15 @@ def ag19(spark, sf):
     return RP.histogram(li, ["flag"], "l_extendedprice", 60).select("flag", "bin", "count", F.round(F.col("density") * 1e6, 6).alias("density"))
 
 
-_PH = """, cuts AS (SELECT cell_id, quantile_cont(bits, 0.45) AS c1, quantile_cont(bits, 0.85) AS c2, count(*) AS w FROM event_slots WHERE slot >= 100 GROUP BY cell_id),
-    ph AS (SELECT e.cell_id, e.slot, e.bits, (c1 <= bits)::INT + (c2 <= bits)::INT AS phase FROM event_slots e JOIN cuts USING (cell_id) WHERE slot >= 100),
+_PH = """, cuts AS (SELECT cell_id, quantile_cont(bits, 0.45) AS c1, quantile_cont(bits, 0.85) AS c2, count(*) AS w FROM event_slots GROUP BY cell_id),
+    ph AS (SELECT e.cell_id, e.slot, e.bits, (c1 <= bits)::INT + (c2 <= bits)::INT AS phase FROM event_slots e JOIN cuts USING (cell_id)),
     cnt AS (SELECT a.cell_id, a.phase AS f, b.phase AS t, count(*) AS n FROM ph a JOIN ph b ON a.cell_id = b.cell_id AND b.slot = a.slot + 1 GROUP BY ALL),
     tr AS (SELECT c.cell_id, f.f, t.t, (coalesce(n, 0) + 0.5) / sum(coalesce(n, 0) + 0.5) OVER (PARTITION BY c.cell_id, f.f) AS p
       FROM cuts c CROSS JOIN range(3) f(f) CROSS JOIN range(3) t(t) LEFT JOIN cnt ON cnt.cell_id = c.cell_id AND cnt.f = f.f AND cnt.t = t.t)"""
 
 
 def phased(spark, sf):
-    return PH.assign(V.event_slots(spark, sf).where("slot >= 100"), ["cell_id"], "bits")
+    return PH.assign(V.event_slots(spark, sf), ["cell_id"], "bits")
 
 
 @query("ag_20_phase_transitions", _PH + " SELECT cell_id, f AS from_phase, t AS to_phase, round(p, 6) AS p FROM tr", "event_slots")

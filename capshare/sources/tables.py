@@ -74,15 +74,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def write_documents(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """One JSON document per row, in directories named by the key parts."""
+def write_documents(df: DataFrame, path: str, partition_by: Sequence[str], pretty: bool = False) -> None:
+    """One JSON document per row, in directories named by the key parts; ``pretty`` indents them over several lines."""
     body = [c for c in df.columns if c not in partition_by]
-    (df.select(*partition_by, F.to_json(F.struct(*body)).alias("value"))
+    (df.select(*partition_by, F.to_json(F.struct(*body), {"pretty": str(pretty).lower()}).alias("value"))
      .write.mode("overwrite").partitionBy(*partition_by).text(path))
 
 
-def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Documents written by ``write_documents`` (one JSON object per line, directory columns restored)."""
+def read_documents(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """Documents in directories named by key parts, which come back as columns: one JSON object per line, or with ``multi_line`` one per file."""
+    if multi_line:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
     raw = spark.read.text(path)
     keys = [c for c in raw.columns if c != "value"]
     return raw.select(*keys, F.from_json("value", schema).alias("d")).select(*keys, "d.*")

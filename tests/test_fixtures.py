@@ -352,3 +352,13 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     fake = N(conf=N(get=lambda k, d: d), sparkContext=N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: none))))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(fake)
+
+
+def test_complementary_error_function_keeps_its_tail(spark):
+    import math
+
+    from capshare.operators.paired import erfc
+    xs = [0.0, 0.3, 1.0, 1.999, 2.0, 3.5, 6.0, 9.0, 20.0]
+    got = {r.x: r.y for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc(F.col("x")).alias("y")).collect()}
+    for x in xs:
+        assert math.isclose(got[x], math.erfc(x), rel_tol=1e-12), (x, got[x], math.erfc(x))
