@@ -4,7 +4,8 @@ A text is the set of its word five-grams (of all its words, if they are fewer).
 sampled min-wise token; buckets above ``limit`` are split again on further sampled tokens; small buckets are brute-forced with
 64-byte sketches. A bucket most of which shares a child is dense, and splitting it again would not help: its members meet in blocks of ``limit``, each
 block pair a group of its own. A pair at Jaccard J shares a bucket of one run with probability J or so, and ``runs``
-repeats: 1 - 0.2^8 > 0.99999 at 0.8 (0.36^8 < 0.0003 are missed inside dense buckets). What the sketches join into candidate groups is verified exactly, every
+repeats: 1 - 0.2^8 > 0.99999 at 0.8 (0.36^8 < 0.0003 are missed inside dense buckets). Sketches miss a pair at the threshold with less than 2 in a million
+(``least_of``); pairs whose sets differ too much in size to reach it are left out. What the sketches join into candidate groups is verified exactly, every
 pair of a group once, in blocks; links are counted, never listed.
 
 * null or empty texts, or texts of white space: no set, no link, a class of their own.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import md5
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -75,8 +77,26 @@ def shingles(texts: list[str | None], size: int = 5) -> tuple[np.ndarray, np.nda
     return _mixed(h + whole[start].astype(np.uint64)), np.where(count > 0, count - np.minimum(count, size) + 1, 0)
 
 
+def distinct_counts(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sizes of the sets of n-grams: ``n`` without repeats."""
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return np.bincount(row[new], minlength=len(n))
+
+
+def least_of(threshold: float, miss: float = 2e-6) -> float:
+    """Share of equal sketch bytes that a pair at the threshold falls below with probability ``miss`` at most."""
+    p, tail, k = threshold + (1 - threshold) / 256, 0.0, 0
+    while k < SKETCH and (tail := tail + comb(SKETCH, k) * p ** k * (1 - p) ** (SKETCH - k)) < miss:
+        k += 1
+    return k / SKETCH
+
+
 def signatures(docs: DataFrame, id_type: str) -> DataFrame:
-    """``docs`` (rowid, id, text): rowid, id, key (MD5 of the text), n (n-grams), path array<long>, sketch."""
+    """``docs`` (rowid, id, text): rowid, id, key (MD5 of the text), n (distinct n-grams), path array<long>, sketch."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -90,7 +110,7 @@ def signatures(docs: DataFrame, id_type: str) -> DataFrame:
                     for k in range(SKETCH):
                         x = (h ^ _XOR[k]) * _MIX[k]
                         mins[some, k] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
-                yield pd.DataFrame({"rowid": part["rowid"], "id": part["id"].astype(object), "key": [md5((t or "").encode("utf-8")).digest() for t in part["text"]], "n": n, "path": list(mins[:, :RUNS + SPLITS].view(np.int64)), "sketch": [r.tobytes() for r in (mins >> np.uint64(7)).astype(np.uint8)]})
+                yield pd.DataFrame({"rowid": part["rowid"], "id": part["id"].astype(object), "key": [md5((t or "").encode("utf-8")).digest() for t in part["text"]], "n": distinct_counts(h, n), "path": list(mins[:, :RUNS + SPLITS].view(np.int64)), "sketch": [r.tobytes() for r in (mins >> np.uint64(7)).astype(np.uint8)]})
 
     found = docs.select("rowid", F.col("id").cast("string").alias("id"), "text").mapInPandas(run, "rowid long, id string, key binary, n long, path array<long>, sketch binary")
     return found.withColumn("id", F.col("id").cast(id_type))
@@ -131,7 +151,7 @@ def _group_of(by: list[str], pdf: pd.DataFrame) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((v[1:] != v[:-1]).any(axis=1))])
 
 
-def _sketched(least: float):
+def _sketched(least: float, threshold: float):
     by = ["bucket", "a", "b"]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +163,7 @@ def _sketched(least: float):
                 at = at[at + lag < len(pdf)]
                 at = at[g[at] == g[at + lag]]
                 i, j = at, at + lag
-                ok = (~cross[i] | (chunk[i] != chunk[j])) & (np.minimum(n[i], n[j]) >= 0.5 * np.maximum(n[i], n[j]))
+                ok = (~cross[i] | (chunk[i] != chunk[j])) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
                 i, j = i[ok], j[ok]
                 near = (s[i] == s[j]).mean(axis=1) >= least
                 left.append(i[near])
@@ -234,7 +254,7 @@ def _verified(threshold: float):
     return run
 
 
-def join(docs: DataFrame, threshold: float = 0.8, limit: int = 1000, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, limit: int = 1000, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: rowid, id, text_id (smallest id with the same text), class_id (smallest id linked directly or not), n_links, n_text_links, first (whether the row stands for its class)."""
     id_type = dict(docs.dtypes)[id_col]
     src = docs.select(F.monotonically_increasing_id().alias("rowid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -246,7 +266,7 @@ def join(docs: DataFrame, threshold: float = 0.8, limit: int = 1000, least: floa
     def drawn() -> DataFrame:
         leaves = _blocked(settle(buckets(texts, limit), "leaves"), limit).join(texts.select("uid", "n", "sketch"), "uid")
         by = ["bucket", "a", "b"]
-        near = leaves.select(*by, "chunk", "uid", "n", "sketch").repartition(*by).sortWithinPartitions(*by, "uid").mapInPandas(_sketched(least), "a long, b long")
+        near = leaves.select(*by, "chunk", "uid", "n", "sketch").repartition(*by).sortWithinPartitions(*by, "uid").mapInPandas(_sketched(least_of(threshold) if least is None else least, threshold), "a long, b long")
         return components(settle(near, "drawn"))
 
     groups = settled(docs.sparkSession, "groups", drawn)
