@@ -193,12 +193,12 @@ def buckets(texts: DataFrame, limit: int, branches: int = 4, depth: int = 8) ->
             return _all(leaves)
         pick = lambda j: RUNS + 1 + F.pmod(F.xxhash64("bucket", F.lit(j)), F.lit(SPLITS)).cast("int")
         child = F.array(*[F.struct(F.lit(j).alias("j"), F.xxhash64("bucket", F.lit(j), F.element_at("path", pick(j))).alias("child")) for j in range(branches)])
-        split = settle(big.join(texts.select("uid", "path"), "uid").select("uid", F.col("size").alias("parent"), F.explode(child).alias("c")).select("uid", "parent", "c.j", F.col("c.child").alias("bucket")), "split")
-        split = sized(split).withColumn("dense", F.col("size") * 2 >= F.col("parent"))
+        split = settle(big.join(texts.select("uid", "path"), "uid").select("uid", F.col("bucket").alias("parent"), F.col("size").alias("whole"), F.explode(child).alias("c")).select("uid", "parent", "whole", "c.j", F.col("c.child").alias("bucket")), "split")
+        split = sized(split).withColumn("dense", F.col("size") * 2 >= F.col("whole"))
         split = settle(split, "split")
         # a text in dense children stays in the first of them and in no other child of that parent
-        first = split.where("dense").groupBy("uid").agg(F.min("j").alias("keep"))
-        kept = settle(split.join(first, "uid", "left"), "split")
+        first = split.where("dense").groupBy("uid", "parent").agg(F.min("j").alias("keep"))
+        kept = settle(split.join(first, ["uid", "parent"], "left"), "split")
         leaves.append(kept.where((F.col("dense")) & (F.col("j") == F.col("keep"))).select("uid", "bucket", "size"))
         now = kept.where(F.col("keep").isNull()).select("uid", "bucket", "size")
     return _all([*leaves, now.select("uid", "bucket", "size")])

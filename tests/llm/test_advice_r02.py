@@ -14,3 +14,25 @@ def test_join_counts_distinct_ngrams(spark):
 def test_sketches_miss_less_than_the_runs():
     k, rng = J.least_of(0.8) * J.SKETCH, np.random.default_rng(0)
     assert k == 35 and (rng.binomial(J.SKETCH, 0.8 + 0.2 / 256, 1_000_000) < k).mean() < 1e-5
+
+
+def test_dense_child_settles_its_own_parent_only(spark):
+    """x is in a dense child in runs 0 and 3, y and x are alone together in large buckets of runs 1 and 2, z and y in one of run 4."""
+    rng = np.random.default_rng(1)
+    fresh = lambda n: rng.integers(1, 2 ** 62, n).tolist()
+    tail, paths = fresh(J.SPLITS), []
+    x, y, z = fresh(J.RUNS), fresh(J.RUNS), fresh(J.RUNS)
+    for run in (1, 2):
+        y[run] = x[run]
+    z[4] = y[4]
+    paths += [x + tail, y + tail, z + tail]
+    for run, v, own in [(0, x, tail), (3, x, tail), (1, x, None), (2, x, None), (4, z, None)]:
+        for _ in range(30):
+            head = fresh(J.RUNS)
+            head[run] = v[run]
+            paths.append(head + (own or fresh(J.SPLITS)))
+    rows = J.buckets(spark.createDataFrame(list(enumerate(paths)), "uid bigint, path array<bigint>"), limit=16).where("uid < 3").collect()
+    meet = {}
+    for r in rows:
+        meet.setdefault(r.bucket, set()).add(r.uid)
+    assert {0, 1} in meet.values() and {1, 2} in meet.values() and sum({0, 1} == m for m in meet.values()) >= 2
