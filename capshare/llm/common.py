@@ -5,6 +5,7 @@ import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +52,30 @@ def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> D
     return out
 
 
+def _from_files(docs: DataFrame) -> bool:
+    return docs._jdf.queryExecution().optimizedPlan().nodeName() == "LogicalRelation"
+
+
 def repeatable(df: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """``df``, a projection of ``docs`` with row numbers. A table just read from files numbers its rows alike in every scan; any other is written first."""
-    return df if docs._jdf.queryExecution().optimizedPlan().nodeName() == "LogicalRelation" else settle(df, name)
+    """``df``, a projection of ``docs`` without row numbers (``numbered`` has them): a table just read from files is left there, any other is written first."""
+    return df if _from_files(docs) else settle(df, name)
+
+
+def numbered(docs: DataFrame, cols: list[Column], row: str, name: str) -> DataFrame:
+    """``cols`` of ``docs`` behind a number of the row (``row``) that is the same in every scan. Rows just read from Parquet are numbered by file and place in the
+    file, which no split of the files changes, and stay there; the rows of any other table are written with their numbers."""
+    if _from_files(docs):
+        place = docs.metadataColumn("_metadata")
+        try:
+            rows = docs.select(place["file_path"].alias("_path"), place["row_index"].alias("_index"), *cols)
+        except AnalysisException:       # no places in files of this format
+            rows = None
+        if rows is not None:
+            # one row a file, as in the driver's own listing of the files
+            paths = sorted(r[0] for r in rows.select("_path").distinct().collect())
+            files = docs.sparkSession.createDataFrame([(p, i) for i, p in enumerate(paths)], "_path string, _file long")
+            return rows.join(F.broadcast(files), "_path").select((F.shiftleft("_file", 40) + F.col("_index")).alias(row), *rows.columns[2:])
+    return settle(docs.select(F.monotonically_increasing_id().alias(row), *cols), name)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import repeatable, settle, settled
+from .common import numbered, settle, settled
 from .graph import components
 
 SKETCH, RUNS, SPLITS = 64, 8, 16
@@ -256,8 +256,12 @@ def _verified(threshold: float):
 
 def join(docs: DataFrame, threshold: float = 0.8, limit: int = 1000, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: rowid, id, text_id (smallest id with the same text), class_id (smallest id linked directly or not), n_links, n_text_links, first (whether the row stands for its class)."""
-    id_type = dict(docs.dtypes)[id_col]
-    src = docs.select(F.monotonically_increasing_id().alias("rowid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _joined(numbered(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("text")], "rowid", "texts"), threshold, limit, least)
+
+
+def _joined(src: DataFrame, threshold: float = 0.8, limit: int = 1000, least: float | None = None) -> DataFrame:
+    """``join`` of ``src`` (rowid, id, text), whose row numbers are the same in every scan."""
+    id_type = dict(src.dtypes)["id"]
     sig = settle(signatures(src, id_type), "signatures")
     place = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rowid").alias("rowid"))
     texts = settle(sig.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("rep"), F.first("n").alias("n"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
@@ -269,7 +273,7 @@ def join(docs: DataFrame, threshold: float = 0.8, limit: int = 1000, least: floa
         near = leaves.select(*by, "chunk", "uid", "n", "sketch").repartition(*by).sortWithinPartitions(*by, "uid").mapInPandas(_sketched(least_of(threshold) if least is None else least, threshold), "a long, b long")
         return components(settle(near, "drawn"))
 
-    groups = settled(docs.sparkSession, "groups", drawn)
+    groups = settled(src.sparkSession, "groups", drawn)
     size = settle(groups.groupBy("label").agg(F.count("*").alias("size")), "sizes")
     chosen = settle(groups.join(size, "label").select(F.col("node").alias("uid"), F.col("label").alias("cid"), "size").join(texts.select("uid", "copies", "rep.rowid"), "uid"), "chosen")
     # grows with the documents: never broadcast, so that small inputs run the plan that large ones need
@@ -277,7 +281,7 @@ def join(docs: DataFrame, threshold: float = 0.8, limit: int = 1000, least: floa
     by = ["cid", "a", "b"]
     checked = _blocked(whole, limit // 2).select(*by, "chunk", "uid", "copies", "text").repartition(*by).sortWithinPartitions(*by, "uid")
     links = settle(checked.mapInPandas(_verified(threshold), "uid long, root long, text_links long, links long"), "links")
-    label = settled(docs.sparkSession, "labels", lambda: components(links.select(F.col("uid").alias("a"), F.col("root").alias("b"))))
+    label = settled(src.sparkSession, "labels", lambda: components(links.select(F.col("uid").alias("a"), F.col("root").alias("b"))))
     degree = links.groupBy("uid").agg(F.sum("text_links").alias("text_links"), F.sum("links").alias("links"))
     result = texts.select("uid", "key", "copies", "rep").join(degree, "uid", "left").join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     result = settle(result, "result")
@@ -290,9 +294,10 @@ def join(docs: DataFrame, threshold: float = 0.8, limit: int = 1000, least: floa
                       (~has | (F.col("rowid") == F.col("class.rowid"))).alias("first"))
 
 
-def one_of_each(docs: DataFrame, **kw) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The documents, one of each class (the smallest id)."""
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    held = repeatable(held, docs, "docs")
-    stay = settled(docs.sparkSession, "stay", lambda: join(held.select("row.*"), **kw).where("first").select("rowid"))
-    return held.select(F.monotonically_increasing_id().alias("rowid"), "row").join(stay, "rowid").select("row.*")
+    held = numbered(docs, [F.struct(*[docs[c] for c in docs.columns]).alias("row")], "rowid", "docs")
+    src = held.select("rowid", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"))
+    stay = settled(docs.sparkSession, "stay", lambda: _joined(src, **kw).where("first").select("rowid"))
+    # grows with the documents: never broadcast, so that small inputs run the plan that large ones need
+    return held.join(stay.hint("merge"), "rowid").select("row.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, let, repeatable, settle, settled
+from .common import hash128, let, numbered, settle, settled
 
 
 def line_windows(rows: DataFrame, size: int = 3) -> DataFrame:
@@ -40,8 +40,7 @@ def later_positions(windows: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """Per input row: ``row`` (all its columns as a struct), ``text`` without repeated windows, ``n_lines``, ``n_removed``."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"))
-    rows = repeatable(rows, docs, "lines")
+    rows = numbered(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")], "uid", "lines")
     gone = settled(docs.sparkSession, "gone", lambda: later_positions(settle(line_windows(rows, size), "windows")))
     every = F.split("text", "\n")
 
@@ -49,7 +48,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
-    joined = rows.join(gone, "uid", "left")
+    # grows with the documents: never broadcast, so that small inputs run the plan that large ones need
+    joined = rows.join(gone.hint("merge"), "uid", "left")
     return joined.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(every, rest)).alias("text"),
                          F.coalesce(F.size(every), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 

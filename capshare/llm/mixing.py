@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, repeatable, settle, settled, unit
+from .common import WORD, n_words, numbered, settle, settled, unit
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
@@ -63,8 +63,8 @@ def draw(base: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
     return placed.withColumn("copies", (epochs + F.when(drawn, 1).otherwise(0)).cast("int")).drop("src", "bucket", "start", "before", "key")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+def _row(docs: DataFrame) -> Column:
+    return F.struct(*[docs[c] for c in docs.columns]).alias("row")
 
 
 def _base(held: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
@@ -76,14 +76,15 @@ def _base(held: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0, **cols) -> DataFrame:
     """Per document: id, source, size, source_size, target, copies."""
-    return draw(_base(_numbered(docs), **cols), weights, most)
+    return draw(_base(docs.select(F.monotonically_increasing_id().alias("uid"), _row(docs)), **cols), weights, most)
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0, **cols) -> DataFrame:
     """The mixture itself: every document as often as it is taken."""
-    held = repeatable(_numbered(docs), docs, "docs")
+    held = numbered(docs, [_row(docs)], "uid", "docs")
     copies = settled(docs.sparkSession, "copies", lambda: draw(_base(held, **cols), weights, most).select("uid", "copies").where("copies > 0"))
-    return held.join(copies, "uid").withColumn("n", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    # grows with the documents: never broadcast, so that small inputs run the plan that large ones need
+    return held.join(copies.hint("merge"), "uid").withColumn("n", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 SQL = rf"""

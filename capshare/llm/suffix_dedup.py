@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import numbered, settle
 from .jaccard_join import _groups, _mixed, _powers
 
 _rng = np.random.default_rng(77)
@@ -351,7 +351,7 @@ def _counted(length: int):
 
 def repeats(docs: DataFrame, length: int = 200, gram: int = 32, limit: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: rowid, id, text, whole (goes altogether), spans (arrays lo, hi of places that repeat, overlapping)."""
-    src = docs.select(F.monotonically_increasing_id().alias("rowid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = numbered(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("text")], "rowid", "texts")
     scan = settle(src.select("rowid", "text").mapInPandas(_scan(length, gram), "rowid long, key binary, n_bytes long, at array<int>, h array<long>"), "scan")
     many = settle(scan.groupBy("key").agg(F.count("*").alias("copies"), F.min("rowid").alias("rep")).where("copies > 1"), "copies")
     # one row for each distinct text stands for all; the others of long equal texts go whole

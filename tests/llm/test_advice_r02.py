@@ -1,7 +1,9 @@
 """Findings of the second review: each of these failed before."""
 import numpy as np
+import pytest
 
-from capshare.llm import jaccard_join as J
+from capshare.llm import jaccard_join as J, line_dedup, mixing, suffix_dedup
+from capshare.llm.common import numbered
 
 
 def test_join_counts_distinct_ngrams(spark):
@@ -36,3 +38,35 @@ def test_dense_child_settles_its_own_parent_only(spark):
     for r in rows:
         meet.setdefault(r.bucket, set()).add(r.uid)
     assert {0, 1} in meet.values() and {1, 2} in meet.values() and sum({0, 1} == m for m in meet.values()) >= 2
+
+
+@pytest.fixture
+def moved(spark, tmp_path):
+    """Six files of four rows, rows 0..11 again as 12..23, and a function that moves the splits: from a file each to all files in one."""
+    text = lambda i: "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(20)) for j in range(4))
+    rows = [(i, text(i % 12), "en", f"s{i % 2}", i) for i in range(24)] + [(i, text(i), "de", "s0", i) for i in range(24, 32)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int").repartitionByRange(6, "doc_id").write.parquet(str(tmp_path / "docs"))
+    keys = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0"}
+
+    def move():
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+
+    yield spark.read.parquet(str(tmp_path / "docs")), move
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def test_row_numbers_when_splits_move(moved):
+    docs, move = moved
+    numbers = numbered(docs, [docs["doc_id"]], "n", "t")
+    lines, one, mixture, spans = line_dedup.dedup_lines(docs), J.one_of_each(docs), mixing.mixed(docs), suffix_dedup.dedup(docs)
+    before, n = {r.doc_id: r.n for r in numbers.collect()}, docs.rdd.getNumPartitions()
+    drawn = sorted(r.doc_id for r in mixture.collect())
+    move()
+    assert docs.select("*").rdd.getNumPartitions() < n
+    assert {r.doc_id: r.n for r in numbers.select("*").collect()} == before and len(set(before.values())) == 32
+    assert {r.doc_id: r.n_removed for r in lines.select("row.doc_id", "n_removed").collect()} == {i: 4 * (12 <= i < 24) for i in range(32)}
+    assert sorted(r.doc_id for r in one.select("*").collect()) == [*range(12), *range(24, 32)]
+    assert sorted(r.doc_id for r in mixture.select("*").collect()) == drawn
+    assert {r.id: r.n_removed > 0 for r in spans.select("*").collect()} == {i: i < 24 for i in range(32)}
