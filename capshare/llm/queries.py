@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_dedup, mixing, packing, quality, sharding, suffix_dedup, topk, toxicity, warc
+from . import code_compression, decontamination, jaccard_join, line_dedup, mixing, packing, quality, sharding, suffix_dedup, topk, toxicity, turn_trie, warc
 from .common import shared_path, table
 from .registry import ORACLE, QUERIES, query
 from .sql import LINES_SQL, QUALITY_SQL, TOPK_SQL, WARC_SQL
@@ -78,3 +78,20 @@ def op9_ngram_jaccard_join(spark, sf):
 def op6_suffix_dedup(spark, sf):
     out = suffix_dedup.dedup(table(spark, sf, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_prefix_trie", turn_trie.SQL)
+def op11_prefix_trie(spark, sf):
+    turns = table(spark, sf, "conversations")
+    return turn_trie.trie(turn_trie.grafted(turn_trie.sequences(turns, F.col("conv_id") - F.col("conv_id") % 20), F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4))
+
+
+@query("op12_vector_codes", code_compression.SQL)
+def op12_vector_codes(spark, sf):
+    return code_compression.compress(table(spark, sf, "embeddings"))
+
+
+@query("op13_decontamination", decontamination.SQL)
+def op13_decontamination(spark, sf):
+    out = decontamination.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
