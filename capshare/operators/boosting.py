@@ -1,28 +1,37 @@
 """Quantile gradient boosting on Spark and scoring of tree ensembles.
 
-Rows stay where they are: every task turns its rows into gradient histograms and only those (levels x nodes x features x bins)
-are shuffled and merged.  The driver picks splits from the merged histograms and holds nothing that grows with the data.
-All quantile levels grow together, one pass per depth.
+Trees grow leaf by leaf: a priority queue on the driver splits the leaf of the highest gain until ``max_leaves`` are reached. Gains come from merged
+histograms (level, node, feature, bin) of integer counts, to which every task adds its rows; rows never move. One pass over the rows serves all levels and
+all leaves that the queue may still split, counts only the smaller child of each, and gets the sibling by subtraction. So a tree costs about
+as many passes as it is deep, and driver and tasks exchange nothing that grows with the data.
+
+Rows are packed once into blocks of bin numbers (a byte a feature), labels and predictions. Predictions advance once per round, and blocks are written
+to the checkpoint folder every ``checkpoint_every`` rounds: a lost executor repeats at most so many rounds of its own rows.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import QUANTILE_LEVELS
 from ..session import shared_dir
 
 Tree = list[dict]          # nodes: {"feature", "threshold", "left", "right"} or {"value"}
+BLOCK_ROWS, TASK_ROWS = 100_000, 25_000
+SUMMARY = 2048             # points that stand for the residuals of a leaf; exact up to so many rows a block
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> np.ndarray:
-    """Approximate quantile edges per feature from one aggregate of mergeable sketches."""
+    """Approximate quantile edges per feature from one aggregate of mergeable sketches; a feature without values gets edges at 0."""
     probs = F.array(*[F.lit((i + 1) / bins) for i in range(bins - 1)])
-    row = df.agg(*[F.percentile_approx(f, probs, 1000).alias(f) for f in features]).first()
-    return np.array([row[f] for f in features], dtype=float)
+    row = df.agg(*[F.percentile_approx(f, probs, 10 * bins).alias(str(i)) for i, f in enumerate(features)]).first()
+    return np.array([row[i] or [0.0] * (bins - 1) for i in range(len(features))], dtype=float)
 
 
 def _leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
@@ -42,82 +51,266 @@ def _values(tree: Tree, x: np.ndarray) -> np.ndarray:
     return np.array([n.get("value", 0.0) for n in tree])[_leaf_of(tree, x)]
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str = "y", levels=QUANTILE_LEVELS, rounds: int = 20, rate: float = 0.2,
-        depth: int = 3, bins: int = 32, min_leaf: int = 40, l2: float = 1.0) -> list[dict]:
-    """One ensemble per level: ``[{"level", "base", "trees": [Tree]}]``.
+class _Grown:
+    """A tree of one level while it grows: every node that has been counted, with its histogram and best split."""
+
+    def __init__(self, shape: tuple[int, int], min_leaf: int, l2: float, level: float):
+        self.shape, self.min_leaf, self.l2, self.level = shape, min_leaf, l2, level
+        self.split, self.kids, self.gain, self.hist, self.size = [], [], [], [], []
+
+    def add(self, hist: np.ndarray) -> int:
+        """``hist``: rows and rows at or below their prediction, by (feature, bin)."""
+        n, under = hist.astype(np.float64)
+        g = under - self.level * n          # the gradient is 1 - level at or below the prediction, else -level
+        nl, gl = n.cumsum(1)[:, :-1], g.cumsum(1)[:, :-1]
+        n, g = n[0].sum(), g[0].sum()
+        gain = gl ** 2 / (nl + self.l2) + (g - gl) ** 2 / (n - nl + self.l2) - g ** 2 / (n + self.l2)
+        gain[(nl < self.min_leaf) | (n - nl < self.min_leaf)] = -np.inf
+        f, b = np.unravel_index(int(gain.argmax()), gain.shape) if gain.size else (0, 0)
+        best = float(gain[f, b]) if gain.size else -np.inf
+        self.split.append((int(f), int(b)))
+        self.gain.append(best if best > 1e-12 else -np.inf)
+        self.kids.append(None)
+        self.hist.append(hist if best > 1e-12 else None)
+        self.size.append(int(n))
+        return len(self.kids) - 1
+
+    def grow(self, leaves: int) -> tuple[list[int], list[int]]:
+        """Splits in the order of the queue as far as children are known, and the leaves to be counted before it can go on."""
+        queue, done, total = [(-self.gain[0], 0)], [], 1
+        blocked = []
+        while queue and total < leaves:
+            gain, node = heapq.heappop(queue)
+            if gain == np.inf:
+                break
+            if self.kids[node] is None:
+                # this leaf is split for certain, and of those behind it no more than splits are left
+                blocked = [node] + [k for g, k in sorted(queue) if g < np.inf and self.kids[k] is None]
+                return done, blocked[:leaves - total]
+            done.append(node)
+            total += 1
+            for k in self.kids[node]:
+                heapq.heappush(queue, (-self.gain[k], k))
+        return done, []
+
+    def arrays(self, nodes: Sequence[int] | None = None) -> np.ndarray:
+        """feature, bin, left, right by node; nodes that are not split (or not in ``nodes``) have feature -1."""
+        keep = None if nodes is None else set(nodes)
+        return np.array([[*self.split[i], *k] if (k := self.kids[i]) and (keep is None or i in keep) else [-1, 0, 0, 0] for i in range(len(self.kids))], np.int64)
+
+
+def _nodes(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where the rows of bin numbers end up."""
+    node = np.zeros(len(x), np.int64)
+    live = np.arange(len(x)) if tree[0, 0] >= 0 else np.zeros(0, np.int64)
+    while len(live):
+        f, b, left, right = tree[node[live]].T
+        node[live] = np.where(x[live, f] <= b, left, right)
+        live = live[tree[node[live], 0] >= 0]
+    return node
+
+
+def _packed(df: DataFrame, names: list[str], label: str, edges: np.ndarray, holdout: Column) -> RDD:
+    """Blocks (bin numbers, labels, held out)."""
+    cols = df.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in names]).alias("x"), F.col(label).cast("double").alias("y"),
+                     F.coalesce(holdout, F.lit(False)).alias("out")).where(F.col("y").isNotNull() & ~F.isnan("y"))
+    width = len(names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").flatten().to_numpy().reshape(-1, width)
+            at = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(width)], axis=1).astype(np.uint8)      # NaN: behind all edges
+            out = [at.tobytes(), b.column("y").to_numpy().tobytes(), b.column("out").to_numpy(zero_copy_only=False).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in out], ["x", "y", "out"])
+
+    def gather(rows):
+        part, n = [], 0
+        for r in rows:
+            part.append((np.frombuffer(r.x, np.uint8).reshape(-1, width), np.frombuffer(r.y), np.frombuffer(r.out, bool)))
+            n += len(part[-1][1])
+            if n >= BLOCK_ROWS:
+                yield tuple(np.concatenate(c) for c in zip(*part, strict=True))
+                part, n = [], 0
+        if part:
+            yield tuple(np.concatenate(c) for c in zip(*part, strict=True))
+
+    return cols.mapInArrow(pack, "x binary, y binary, out binary").rdd.mapPartitions(gather)
+
+
+def _merged(parts: RDD, add):
+    """Sum over the partitions: by way of a tree where there are many."""
+    return parts.treeReduce(add) if parts.getNumPartitions() > 32 else parts.reduce(add)
+
+
+def _add(a: dict, b: dict) -> dict:
+    for k, v in b.items():
+        a[k] = a[k] + v if k in a else v
+    return a
+
+
+def _counts(state: RDD, trees: dict[int, np.ndarray], wanted: dict[int, list[int]], shape: tuple[int, int], losses: np.ndarray | None = None) -> dict:
+    """Histograms of the wanted nodes of each level; with ``losses`` (the levels) also pinball sum and number of the held-out rows, under the level's number."""
+    width, bins = shape
 
-    Predictions of finished rounds are stored with the rows (``pred``) and cut from the lineage after every round.
+    def part(blocks):
+        acc: dict = {}
+        for x, y, out, pred in blocks:
+            for k, nodes in wanted.items():
+                if losses is not None:
+                    d = y[out] - pred[out, k]
+                    _add(acc, {k: np.array([np.maximum(losses[k] * d, (losses[k] - 1) * d).sum(), len(d)])})
+                place = np.full(len(trees[k]), -1)
+                place[nodes] = np.arange(len(nodes))
+                where = place[_nodes(trees[k], x)]
+                rows = np.flatnonzero((where >= 0) & ~out)
+                at = ((where[rows, None] * width + np.arange(width)) * bins + x[rows]).ravel()
+                size = len(nodes) * width * bins
+                n = np.bincount(at, minlength=size)
+                under = np.bincount(at, weights=np.repeat(y[rows] <= pred[rows, k], width), minlength=size).astype(np.int64)
+                _add(acc, {(k, node): h for node, h in zip(nodes, np.stack([n, under]).reshape(2, len(nodes), width, bins).swapaxes(0, 1), strict=True)})
+        yield acc
+
+    return _merged(state.mapPartitions(part), _add)
+
+
+def _summary(v: np.ndarray, w: np.ndarray, most: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` sorted values of equal weight that stand for (v, w): ranks move by at most 1 / ``most`` of the weight."""
+    order = np.argsort(v, kind="stable")
+    v, w = v[order], w[order]
+    if len(v) <= most:
+        return v, w
+    upto, total = np.cumsum(w), w.sum()
+    return v[np.searchsorted(upto, (np.arange(most) + 0.5) / most * total)], np.full(most, total / most)
+
+
+def _leaf_values(state: RDD, trees: dict[int, np.ndarray], levels: np.ndarray) -> dict:
+    """(level number, leaf) -> quantile of the residuals at the level."""
+
+    def join(a: dict, b: dict) -> dict:
+        for k, (v, w) in b.items():
+            a[k] = _summary(np.concatenate([a[k][0], v]), np.concatenate([a[k][1], w]), 4 * SUMMARY) if k in a else (v, w)
+        return a
+
+    def part(blocks):
+        acc: dict = {}
+        for x, y, out, pred in blocks:
+            for k, tree in trees.items():
+                leaf, resid = _nodes(tree, x[~out]), (y - pred[:, k])[~out]
+                order = np.argsort(leaf, kind="stable")
+                ids, start = np.unique(leaf[order], return_index=True)
+                acc = join(acc, {(k, int(i)): _summary(r, np.ones(len(r))) for i, r in zip(ids, np.split(resid[order], start[1:]), strict=True)})
+        yield acc
+
+    def quantile(v, w, level):
+        order = np.argsort(v, kind="stable")
+        upto = np.cumsum(w[order])
+        return float(v[order][min(np.searchsorted(upto, level * upto[-1] - 1e-9), len(v) - 1)])
+
+    return {k: quantile(v, w, levels[k[0]]) for k, (v, w) in _merged(state.mapPartitions(part), join).items()}
+
+
+def fit(df: DataFrame, features: Sequence[str], label: str = "y", levels=QUANTILE_LEVELS, rounds: int = 300, rate: float = 0.05, max_leaves: int = 15, bins: int = 128,
+        min_leaf: int = 40, l2: float = 1.0, holdout: Column | None = None, patience: int = 10, tolerance: float = 1e-7, checkpoint_every: int = 20) -> list[dict]:
+    """One ensemble per level: ``[{"level", "base", "trees": [Tree], "losses"}]``.
+
+    Rows where ``holdout`` holds (default: a tenth, by hash of features and label) fit nothing; a level ends when their pinball loss has not
+    become better by ``tolerance`` for ``patience`` rounds, and keeps its trees up to the best round. ``losses`` are those of the held-out rows before each
+    round. No held-out rows: all rounds. Null features count as larger than all values, rows with a null label take no part, no row: no ensemble.
     """
+    if not 2 <= bins <= 256:
+        raise ValueError("bins must be 2 to 256")
     shared_dir(df.sparkSession)
     names = list(features)
-    edges = bin_edges(df, names, bins)
-    base = df.agg(F.percentile_approx(label, F.array(*[F.lit(a) for a in levels]), 10000).alias("b")).first()["b"]
-    models = [{"level": a, "base": float(b), "trees": []} for a, b in zip(levels, base)]
-    rows = df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("x"), F.col(label).alias("y"),
-                     F.array(*[F.lit(float(b)) for b in base]).alias("pred")).checkpoint()
-    lv, nf = np.array(levels), len(names)
-
-    def histograms(trees: list[Tree]):
-        """Merged (level, leaf, feature, bin) -> (gradient sum, count) of the leaves of the growing trees."""
-        def partial(batches):
-            acc: dict = {}
-            for b in batches:
-                x, y, pred = np.stack(b["x"].to_numpy()), b["y"].to_numpy(), np.stack(b["pred"].to_numpy())
-                where = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(nf)], axis=1)
-                for k in range(len(lv)):
-                    leaf, g = _leaf_of(trees[k], x), (y < pred[:, k]) - lv[k]
-                    for node in np.unique(leaf):
-                        m = leaf == node
-                        h = acc.setdefault((k, int(node)), np.zeros((2, nf, bins)))
-                        for j in range(nf):
-                            h[0, j] += np.bincount(where[m, j], weights=g[m], minlength=bins)
-                            h[1, j] += np.bincount(where[m, j], minlength=bins)
-            if acc:
-                yield pd.DataFrame([(k, n, j, h[0, j], h[1, j]) for (k, n), h in acc.items() for j in range(nf)], columns=["k", "node", "f", "g", "n"])
-
-        part = rows.mapInPandas(partial, "k int, node int, f int, g array<double>, n array<double>")
-        long = part.select("k", "node", "f", F.posexplode(F.arrays_zip("g", "n")).alias("b", "z"))
-        return long.groupBy("k", "node", "f", "b").agg(F.sum("z.g").alias("g"), F.sum("z.n").alias("n")).collect()
-
-    for _ in range(rounds):
-        trees: list[Tree] = [[{"value": 0.0}] for _ in levels]
-        for _ in range(depth):
-            merged: dict = {}
-            for r in histograms(trees):
-                merged.setdefault((r.k, r.node), np.zeros((2, nf, bins)))[:, r.f, r.b] = (r.g, r.n)
-            for (k, node), h in merged.items():
-                gl, nl = h[0].cumsum(1)[:, :-1], h[1].cumsum(1)[:, :-1]
-                g, n = h[0].sum(1, keepdims=True), h[1].sum(1, keepdims=True)
-                gain = gl ** 2 / (nl + l2) + (g - gl) ** 2 / (n - nl + l2) - g ** 2 / (n + l2)
-                gain[(nl < min_leaf) | (n - nl < min_leaf)] = -np.inf
-                j, b = np.unravel_index(int(gain.argmax()), gain.shape)
-                if gain[j, b] > 1e-12:
-                    t = trees[k]
-                    t[node] = {"feature": int(j), "threshold": float(edges[j, b]), "left": len(t), "right": len(t) + 1}
-                    t += [{"value": 0.0}, {"value": 0.0}]
-
-        def leaves(x: pd.Series) -> pd.Series:
-            m = np.stack(x.to_numpy())
-            return pd.Series(list(np.stack([_leaf_of(t, m) for t in trees], axis=1)))
-
-        leaf = F.pandas_udf(leaves, "array<bigint>")
-        resid = rows.select(F.posexplode(F.arrays_zip("pred", leaf("x").alias("leaf"))).alias("k", "z"), "y")
-        resid = resid.select("k", F.col("z.leaf").alias("leaf"), (F.col("y") - F.col("z.pred")).alias("r"))
-        probs = F.array(*[F.lit(a) for a in levels])
-        got = resid.groupBy("k", "leaf").agg(F.percentile_approx("r", probs, 10000).alias("q")).collect()
-        for r in got:
-            trees[r.k][r.leaf]["value"] = rate * float(r.q[r.k])
-        for m, t in zip(models, trees):
-            m["trees"].append(t)
-
-        def added(x: pd.Series, pred: pd.Series) -> pd.Series:
-            m = np.stack(x.to_numpy())
-            return pd.Series(list(np.stack(pred.to_numpy()) + np.stack([_values(t, m) for t in trees], axis=1)))
-
-        rows = rows.select("x", "y", F.pandas_udf(added, "array<double>")("x", "pred").alias("pred")).checkpoint()
+    if holdout is None:
+        holdout = F.pmod(F.xxhash64(*[F.col(c).cast("double") for c in names], F.col(label)), F.lit(10)) == 0
+    fitting = df.where(~F.coalesce(holdout, F.lit(False)))
+    edges = bin_edges(fitting, names, bins)
+    base, size = fitting.agg(F.percentile_approx(label, F.array(*[F.lit(float(a)) for a in levels]), 10000).alias("b"), F.count("*").alias("n")).first()
+    if base is None:
+        return []
+    models = [{"level": a, "base": float(b), "trees": [], "losses": []} for a, b in zip(levels, base, strict=True)]
+    lv, shape, start = np.array(levels, float), (len(names), bins), np.array(base, float)
+    # passes are many and short: no more tasks than rows keep busy
+    rows = _packed(df, names, label, edges, holdout)
+    rows = rows.coalesce(max(1, min(rows.getNumPartitions(), -(-size // TASK_ROWS))))
+    state = rows.map(lambda b: (*b, np.tile(start, (len(b[1]), 1)))).persist(StorageLevel.MEMORY_AND_DISK)
+    active, before = list(range(len(lv))), None
+    for number in range(rounds + 1):
+        roots = _counts(state, {k: np.array([[-1, 0, 0, 0]]) for k in active}, {k: [0] for k in active}, shape, lv)
+        if before is not None:
+            before.unpersist()
+        for k in active:
+            if k in roots and roots[k][1]:
+                models[k]["losses"].append(float(roots[k][0] / roots[k][1]))
+        active = [k for k in active if len(ls := models[k]["losses"]) <= patience or min(ls[-patience:]) < min(ls[:-patience]) - tolerance]
+        if not active or number == rounds:
+            break
+        trees = {k: _Grown(shape, min_leaf, l2, lv[k]) for k in active}
+        for k in active:
+            if (k, 0) in roots:
+                trees[k].add(roots[k, 0])
+        active = [k for k in active if trees[k].gain and trees[k].gain[0] > -np.inf]
+        if not active:
+            break
+        chosen: dict[int, list[int]] = {}
+        while True:
+            asked, wanted = {}, {}
+            for k in active:
+                chosen[k], asked[k] = trees[k].grow(max_leaves)
+                t = trees[k]
+                for node in asked[k]:
+                    f, b = t.split[node]
+                    small_left = 2 * t.hist[node][0, f, :b + 1].sum() <= t.size[node]
+                    at = len(t.kids) + 2 * len(wanted.get(k, ()))
+                    t.kids[node] = (at, at + 1)
+                    wanted.setdefault(k, []).append(at if small_left else at + 1)
+            if not wanted:
+                break
+            grown = {k: np.concatenate([trees[k].arrays(), np.full((2 * len(wanted[k]), 4), [-1, 0, 0, 0])]) for k in wanted}
+            found = _counts(state, grown, wanted, shape)
+            for k, nodes in wanted.items():
+                t = trees[k]
+                for node, small in zip(asked[k], nodes, strict=True):
+                    one = found[k, small]
+                    for kid in t.kids[node]:
+                        t.add(one if kid == small else t.hist[node] - one)
+                    t.hist[node] = None
+        final = {k: trees[k].arrays(chosen[k]) for k in active}
+        values = _leaf_values(state, final, lv)
+        steps = {}
+        for k in active:
+            step = np.array([rate * values.get((k, i), 0.0) for i in range(len(final[k]))])
+            steps[k] = (final[k], step)
+            models[k]["trees"].append(_as_tree(final[k], step, edges))
+
+        def advance(block, steps=steps):
+            x, y, out, p = block
+            p = p.copy()
+            for k, (tree, step) in steps.items():
+                p[:, k] += step[_nodes(tree, x)]
+            return x, y, out, p
+
+        before, state = state, state.map(advance).persist(StorageLevel.MEMORY_AND_DISK)
+        if (number + 1) % checkpoint_every == 0:
+            state.checkpoint()
+    state.unpersist()
+    for m in models:
+        if m["losses"]:
+            m["trees"] = m["trees"][:int(np.argmin(m["losses"]))]
     return models
 
 
+def _as_tree(nodes: np.ndarray, values: np.ndarray, edges: np.ndarray) -> Tree:
+    """The reachable nodes, root first."""
+    order, place = [0], {}
+    for i in order:
+        place[i] = len(place)
+        if nodes[i, 0] >= 0:
+            order += [int(nodes[i, 2]), int(nodes[i, 3])]
+    return [{"feature": int(nodes[i, 0]), "threshold": float(edges[nodes[i, 0], nodes[i, 1]]), "left": place[int(nodes[i, 2])], "right": place[int(nodes[i, 3])]}
+            if nodes[i, 0] >= 0 else {"value": float(values[i])} for i in order]
+
+
 def tree_column(tree: Tree, features: Sequence[str], node: int = 0) -> Column:
     """A tree as nested conditionals, compiled by Spark together with the rest of the projection."""
     n = tree[node]

@@ -61,13 +61,14 @@ def ml2(spark, sf):
 
 @query("ml_3_quantile_boosting")
 def ml3(spark, sf):
-    """Fit on the first 60 % of the epochs, score the rest."""
+    """Fit at full strength on the first 60 % of the epochs, score the rest."""
     t = train(spark, sf).select(*ID, *ALL, "y")
     path = scratch(spark, "boost")
     t.write.parquet(path)
     t = spark.read.parquet(path)
-    models = B.fit(t.where("epoch < 220"), ALL, rounds=4, rate=0.3, depth=3)
-    s = B.score_arrow(t.where("epoch >= 220"), models, ALL)
+    cut = F.lit(0.6 * (t.agg(F.max("epoch")).first()[0] or 0))
+    models = B.fit(t.where(F.col("epoch") < cut), ALL)
+    s = B.score_arrow(t.where(F.col("epoch") >= cut), models, ALL)
     return SC.forecast_scores(s.withColumn("grp", F.col("cell_id") % 8 < 3), ["grp"], "y", "q")
 
 

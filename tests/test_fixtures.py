@@ -257,7 +257,7 @@ def test_boosting_beats_constant_and_scorers_agree(spark):
     x = rng.random((3000, 3))
     y = 2 * x[:, 0] + x[:, 1] * rng.random(3000)
     df = spark.createDataFrame([(float(a), float(b), float(c), float(t)) for (a, b, c), t in zip(x, y)], "a double, b double, c double, y double")
-    m = B.fit(df, ["a", "b", "c"], rounds=6, rate=.3, depth=2)
+    m = B.fit(df, ["a", "b", "c"], rounds=6, rate=.3, max_leaves=4)
     s = B.score_arrow(B.score_columns(df, m, ["a", "b", "c"], "q1"), m, ["a", "b", "c"], "q2")
     r = s.agg(F.max(F.abs(F.get("q1", F.lit(2)) - F.get("q2", F.lit(2)))).alias("d"), F.avg(F.abs(F.col("y") - F.get("q1", F.lit(2)))).alias("mae")).first()
     assert r.d < 1e-9 and r.mae < 0.7 * np.abs(y - np.median(y)).mean()
