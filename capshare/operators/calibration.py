@@ -1,17 +1,20 @@
 """Online calibration of a quantile level per key.
 
 After a horizon is fully observed the key's offset moves: ``d <- clip(d + gamma (miss - (1 - level)), lo, hi)``.  A clipped step
-is a clamp of a shift, and such maps compose into one clamp of a shift, so a long key is folded chunk by chunk: chunk
-summaries first, their composition per key, then the offsets inside each chunk.
+is a clamp of a shift, and such maps compose into one clamp of a shift, so a long key is scanned in levels: chunks of ``FAN`` epochs are composed in parallel,
+then groups of ``FAN`` chunks, and so on; offsets run down the same levels, each group from the offset it starts with. No array and no frame has more than
+``FAN`` parts, except the few groups of the top level.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..session import shared_dir
+
+FAN = 64
 
 
 def maturity(interval: int, delay: int) -> int:
@@ -19,11 +22,35 @@ def maturity(interval: int, delay: int) -> int:
     return 1 + math.ceil(delay / interval)
 
 
+def _applied(x: Column, s: Column) -> Column:
+    """The offset behind a summary (shift ``a``, then clamp to ``b`` .. ``c``)."""
+    return F.least(F.greatest(x + s["a"], s["b"]), s["c"])
+
+
+def _running(parts: Column, start: Column, through) -> Column:
+    """Offsets before each part, in order, from the offset at the start."""
+    state = lambda x, out: F.struct(x.cast("double").alias("x"), out.alias("out"))
+    return F.aggregate(parts, state(start, F.array().cast("array<double>")), lambda acc, p: state(through(acc["x"], p), F.concat(acc["out"], F.array(acc["x"]))))["out"]
+
+
+def _starts(chunks: DataFrame, keys: list[str], compose, unit: Column, levels: int) -> DataFrame:
+    """(keys, _c, _s) -> (keys, _c, _start): the offset before each chunk, chunks of a key in order of ``_c``."""
+    up = F.floor(F.col("_c") / FAN).cast("bigint") if levels else F.lit(0).cast("bigint")
+    packs = chunks.groupBy(*keys, up.alias("_g")).agg(F.sort_array(F.collect_list(F.struct("_c", "_s"))).alias("_r"))
+    if levels:
+        above = packs.select(*keys, F.col("_g").alias("_c"), F.aggregate("_r", unit, lambda acc, r: compose(acc, r["_s"])).alias("_s"))
+        packs = packs.join(_starts(above, keys, compose, unit, levels - 1).withColumnRenamed("_c", "_g"), [*keys, "_g"])
+    else:
+        packs = packs.withColumn("_start", F.lit(0.0))
+    each = F.arrays_zip(F.col("_r._c").alias("c"), _running(F.col("_r._s"), F.col("_start"), _applied).alias("d"))
+    return packs.select(*keys, F.explode(each).alias("_o")).select(*keys, F.col("_o.c").alias("_c"), F.col("_o.d").alias("_start"))
+
+
 def offsets(epochs: DataFrame, keys: Sequence[str], order: str, miss: str, lag: int, gamma: float = 0.02, level: float = 0.9,
-            lo: float = -0.3, hi: float = 0.3, chunk: int = 256) -> DataFrame:
-    """Offset in force at each epoch. ``order`` counts epochs 0, 1, .. without gaps per key; ``miss`` is 1 when y exceeded the target."""
-    def clip(x):
-        return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+            lo: float = -0.3, hi: float = 0.3, chunk: int = FAN, levels: int = 2) -> DataFrame:
+    """Offset in force at each epoch. ``order`` counts the epochs per key; ``miss`` is 1 when y exceeded the target (null: no step). ``levels`` of
+    groups lie above the chunks, so the top level holds one summary for each ``chunk * FAN ** levels`` epochs of a key."""
+    keys = list(keys)
 
     # an epoch sees outcomes up to ``lag`` epochs back: its step is placed at the epoch where it becomes visible, before that
     # epoch's own entry (side 1, no step)
@@ -33,29 +60,21 @@ def offsets(epochs: DataFrame, keys: Sequence[str], order: str, miss: str, lag:
     rows = epochs.select(*keys, F.explode(entries).alias("e")).withColumn("_c", F.floor(F.col("e.k") / chunk).cast("bigint"))
     packs = rows.groupBy(*keys, "_c").agg(F.sort_array(F.collect_list("e")).alias("_r"))
 
-    def compose(acc, r):
-        g = r["g"]
-        return F.when(g.isNull(), acc).otherwise(F.struct((acc["a"] + g).alias("a"), clip(acc["b"] + g).alias("b"), clip(acc["c"] + g).alias("c")))
-
-    unit = F.struct(F.lit(0.0).alias("a"), F.lit(lo).alias("b"), F.lit(hi).alias("c"))
-    packs = packs.withColumn("_s", F.aggregate("_r", unit, compose))
-    # the summaries of a key are one small array; its running composition gives every chunk's start
-    w = W.partitionBy(*keys).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
-    start = F.aggregate(F.collect_list("_s").over(w), F.lit(0.0), lambda x, s: F.least(F.greatest(x + s["a"], s["b"]), s["c"]))
-    packs = packs.withColumn("_start", start)
-
-    def walk(steps: pd.Series, start: pd.Series) -> pd.Series:
-        out = []
-        for g, d in zip(steps, start):
-            deltas = np.empty(len(g))
-            for i, x in enumerate(g):
-                if x == x:                      # NaN marks an epoch of its own
-                    d = min(max(d + x, lo), hi)
-                deltas[i] = d
-            out.append(deltas)
-        return pd.Series(out)
-
-    g = F.transform("_r", lambda r: F.coalesce(r["g"], F.lit(float("nan"))))
-    packs = packs.withColumn("_d", F.pandas_udf(walk, "array<double>")(g, "_start"))
-    out = packs.select(*keys, F.explode(F.arrays_zip(F.col("_r").alias("r"), F.col("_d").alias("d"))).alias("_o")).where("_o.r.side = 1")
+    def summary(a, b, c):
+        return F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
+
+    def compose(acc, s):
+        return summary(acc["a"] + s["a"], _applied(acc["b"], s), _applied(acc["c"], s))
+
+    def single(g):
+        return summary(g, F.lit(lo), F.lit(hi))
+
+    unit = summary(F.lit(0.0), F.lit(lo), F.lit(hi))
+    # read by the levels above and by the walk below: stored, so that nothing before it runs again
+    shared_dir(epochs.sparkSession)
+    packs = packs.withColumn("_s", F.aggregate("_r", unit, lambda acc, r: F.when(r["g"].isNull(), acc).otherwise(compose(acc, single(r["g"]))))).checkpoint()
+    packs = packs.join(_starts(packs.select(*keys, "_c", "_s"), keys, compose, unit, levels), [*keys, "_c"])
+    # the offset before an epoch's own entry, which makes no step, is the one in force
+    walked = _running(F.col("_r"), F.col("_start"), lambda x, r: F.when(r["g"].isNull(), x).otherwise(_applied(x, single(r["g"]))))
+    out = packs.select(*keys, F.explode(F.arrays_zip(F.col("_r").alias("r"), walked.alias("d"))).alias("_o")).where("_o.r.side = 1")
     return out.select(*keys, F.col("_o.r.k").alias(order), F.col("_o.d").alias("delta"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import shared_dir
 from .relational import paired
 
 EXACT_LIMIT = 25
@@ -21,36 +24,80 @@ def differences(pairs: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
         F.when(o > 0, 100 * F.avg("diff") / o).alias("rel_reduction_pct"), F.sum((F.col("diff") > 0).cast("bigint")).alias("wins"))
 
 
-def draw(rep: Column, i: Column, n: Column) -> Column:
-    """Deterministic resample index in [0, n): integer arithmetic that any engine repeats exactly (products below 2^63)."""
-    m = F.lit(2147483647)
-    a = (rep % m * F.lit(1103515245) + F.lit(12345)) % m
-    b = (i % m * F.lit(69621) + F.lit(7919)) % m
-    x = F.shiftright(a * a, 15).bitwiseXOR(F.shiftright(b * b, 13)) % m
-    y = ((x + a) % m * F.lit(48271) + b) % m
-    return F.shiftright(y * y, 16) % m * F.lit(16807) % m % n
-
-
-def resample_weights(sizes: DataFrame, replicates: int) -> DataFrame:
-    """(n, rep, pos, w): how often each position is drawn. Built once per distinct sample size and shared by all pairs of that size."""
-    grid = (sizes.select("n", F.explode(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))).alias("rep"))
-        .select("n", "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i")))
-    return grid.groupBy("n", "rep", draw(F.col("rep"), F.col("i"), F.col("n")).alias("pos")).agg(F.count("*").alias("w"))
+def draw(rep, i, n):
+    """Resample index in [0, n), the same for arrays and columns: integer arithmetic that any engine repeats exactly (products below 2^63)."""
+    m = 2147483647
+    a = (rep % m * 1103515245 + 12345) % m
+    b = (i % m * 69621 + 7919) % m
+    column = isinstance(a, Column)
+    shift = F.shiftright if column else np.right_shift
+    x = (shift(a * a, 15).bitwiseXOR(shift(b * b, 13)) if column else shift(a * a, 15) ^ shift(b * b, 13)) % m
+    y = ((x + a) % m * 48271 + b) % m
+    return shift(y * y, 16) % m * 16807 % m % n
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """``pos`` (from 0, by ``order``) and ``n`` of each row within its key. A key spreads over as many ranges of ``order`` as it fills: rows are numbered inside
+    ranges, and only the counts of the ranges run through one window."""
+    shared_dir(df.sparkSession)
+    keys = list(keys)
+    cut = df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    w = W.partitionBy(*keys)
+    sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(
+        *keys, "_range", (F.sum("_n").over(w.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("n"))
+    local = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(order)) - 1
+    return cut.withColumn("_local", local).join(sizes, [*keys, "_range"]).withColumn("pos", F.col("_before") + F.col("_local")).drop("_range", "_local", "_before")
+
+
+def block_counts(sizes: DataFrame, replicates: int, block: int) -> DataFrame:
+    """(n, block, m): how many of the n draws of each replicate (in order) fall into a block of positions. The counts are multinomial and depend on n and the
+    replicate alone; a sample size needs replicates x blocks of them."""
+
+    def split(n: pd.Series, rep: pd.Series) -> pd.Series:
+        out = []
+        for size, seed in zip(n, rep, strict=True):
+            ends = np.minimum(np.arange(1, -(-size // block) + 1) * block, size)
+            out.append(np.random.default_rng([size, seed]).multinomial(size, np.diff(ends, prepend=0) / size))
+        return pd.Series(out)
+
+    small = sizes.where(F.col("n") <= block).select("n", F.lit(0).alias("block"), F.array_repeat("n", replicates).alias("m"))
+    reps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint")))
+    large = sizes.where(F.col("n") > block).select("n", reps.alias("rep")).select("n", "rep", F.posexplode(F.pandas_udf(split, "array<bigint>")("n", "rep")).alias("block", "m"))
+    packed = large.groupBy("n", "block").agg(F.sort_array(F.collect_list(F.struct("rep", "m")))["m"].alias("m"))
+    return small.unionByName(packed)
+
+
+def _replicate_sums(block: pd.Series, m: pd.Series, *columns: pd.Series) -> pd.Series:
+    """Sums of the drawn values of a block, by column and replicate. Draws are made for as many replicates at once as fill about two million."""
+    out = []
+    for b, counts, *values in zip(block, m, *columns, strict=True):
+        values, size = np.stack([np.asarray(v, float) for v in values], axis=1), len(values[0])
+        sums, most = np.zeros((len(counts), values.shape[1])), max(1, 2_000_000 // size)
+        for start in range(0, len(counts), most):
+            n = counts[start:start + most]
+            rep = np.repeat(np.arange(len(n)), n)
+            i = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+            at = draw(rep + start + int(b) * len(counts), i, size)
+            sums[start:start + most] = np.bincount(rep * size + at, minlength=len(n) * size).reshape(len(n), size) @ values
+        out.append(list(sums.T))
+    return pd.Series(out)
 
 
 def bootstrap(values: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], statistic, replicates: int,
-              probs=(0.025, 0.975)) -> DataFrame:
+              probs=(0.025, 0.975), block: int = 4096) -> DataFrame:
     """Percentile interval of ``statistic(means)`` with the same draws for every column.
 
-    Sums per replicate combine before the shuffle, so a large sample is never gathered.
+    A replicate first splits its draws over blocks of positions, then draws inside each block, where the block's values are one array. What is built and
+    shuffled is an array of replicates per block; no table has a row or an element per draw.
     """
-    pos = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
-    n = F.count("*").over(W.partitionBy(*keys))
-    v = values.select(*keys, *columns, pos.cast("bigint").alias("pos"), n.alias("n"))
-    w = resample_weights(v.select("n").distinct(), replicates)
-    sums = v.join(w, ["n", "pos"]).groupBy(*keys, "rep", "n").agg(*[(F.sum(F.col("w") * F.col(c)) / F.col("n")).alias(c) for c in columns])
-    return sums.groupBy(*keys).agg(F.percentile(statistic(*[F.col(c) for c in columns]), F.array(*[F.lit(p) for p in probs])).alias("_q"), F.max("n").alias("_n")).select(
+    v = positions(values.select(*keys, order, *columns), keys, order)
+    packs = v.groupBy(*keys, "n", F.floor(F.col("pos") / block).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("_v")).checkpoint()
+    j = packs.join(block_counts(packs.select("n").distinct(), replicates, block), ["n", "block"])
+    sums = F.pandas_udf(_replicate_sums, "array<array<double>>")("block", "m", *[F.col("_v")[c].cast("array<double>") for c in columns])
+    each = F.arrays_zip(*[F.get("_s", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    reps = j.select(*keys, "n", sums.alias("_s")).select(*keys, "n", F.posexplode(each).alias("rep", "_e"))
+    means = reps.groupBy(*keys, "rep", "n").agg(*[(F.sum(F.col("_e")[c]) / F.col("n")).alias(c) for c in columns])
+    return means.groupBy(*keys).agg(F.percentile(statistic(*[F.col(c) for c in columns]), F.array(*[F.lit(p) for p in probs])).alias("_q"), F.max("n").alias("_n")).select(
         *keys, *[F.when(F.col("_n") > 1, F.get("_q", F.lit(i))).alias(c) for i, c in enumerate(("ci_lo", "ci_hi"))])   # one value has no interval
 
 

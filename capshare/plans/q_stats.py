@@ -250,7 +250,7 @@ _CAL = """, m AS (SELECT cell_id, epoch, (row_number() OVER (PARTITION BY cell_i
       FROM cal c JOIN m h ON h.cell_id = c.cell_id AND h.k = c.k + 1 LEFT JOIN m g ON g.cell_id = c.cell_id AND g.k = c.k + 1 - 2)"""
 
 
-def calibrated(spark, sf, chunk=256):
+def calibrated(spark, sf, chunk=CAL.FAN):
     d = V.decisions(spark, sf).withColumns({"k": ((F.col("epoch") - 36) / 4).cast("bigint"), "miss": (F.col("label") > F.get("q", F.lit(4))).cast("int")})
     return d, CAL.offsets(d.select("cell_id", "k", "miss"), ["cell_id"], "k", "miss", CAL.maturity(V.FAST.interval, V.FAST.delay), lo=-0.05, hi=0.1, chunk=chunk)
 

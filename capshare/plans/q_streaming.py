@@ -23,6 +23,10 @@ def hours(c):
     return F.floor((F.unix_micros(c) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / F.lit(3_600_000_000)).cast("bigint")
 
 
+def at_hour(c):
+    return F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + (F.col(c) if isinstance(c, str) else c) * F.lit(3_600_000_000))
+
+
 @query("str_1_tumbling_slots", """SELECT user_id AS cell_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS slot, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS bits FROM events
     GROUP BY ALL HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def str1(spark, sf):
@@ -54,40 +58,53 @@ def str3(spark, sf):
 
 @query("str_4_fifo_stream", _FIFO + " SELECT cell_id, slot, round(served, 6) AS served, round(violated, 6) AS violated, round(queue, 6) AS queue, hol FROM ff WHERE slot >= 0", "slots", recursive=True)
 def str4(spark, sf):
-    """The replay as keyed state, three files of slots one after the other."""
+    """The replay as keyed state, three batches of slots one after the other."""
+    feed = fifo_feed(spark, sf)
+    return run.run_append(stateful.fifo(feed.stream()), "fifo", stateful=True, feed=feed).select("cell_id", "slot", r("served"), r("violated"), r("queue"), "hol")
+
+
+def fifo_feed(spark, sf):
     rows = replay_input(spark, sf).select("cell_id", "slot", "deadline", F.col("arrived").cast("double").alias("arrived"), "allowed")
-    s = run.file_stream(spark, run.stage(rows, "fifo-in", "slot", 3))
-    return run.run_append(stateful.fifo(s), "fifo", stateful=True).select("cell_id", "slot", r("served"), r("violated"), r("queue"), "hol")
+    return run.Replay(rows, "fifo-in", "slot", 3)
+
+
+@query("str_4_delay_histogram_stream", _FIFO + """, ex AS (SELECT cell_id, unnest(range(len(taken))) AS age, unnest(taken) AS b FROM ff WHERE slot >= 0)
+    SELECT cell_id, age, round(sum(b), 5) AS bits FROM ex GROUP BY ALL""", "slots", recursive=True)
+def str4h(spark, sf):
+    """Bits served by age, summed over what the stream emits."""
+    feed = fifo_feed(spark, sf)
+    h = stateful.delay_histogram(run.run_append(stateful.fifo(feed.stream()), "fifo", stateful=True, feed=feed))
+    return h.select("cell_id", F.col("age").cast("bigint").alias("age"), r("bits", 5))
 
 
-@query("str_5_calibration_stream", _CAL + " SELECT cell_id, k, round(delta, 6) AS delta FROM cal", "dec", recursive=True)
+@query("str_5_calibration_stream", _CAL + " SELECT cell_id, k, round(delta, 6) AS delta, 0::BIGINT AS late FROM cal", "dec", recursive=True)
 def str5(spark, sf):
+    """Epochs open and outcomes arrive as rows of one stream; an outcome comes when its horizon has been observed, just before epoch k + lag opens."""
     d, _ = calibrated(spark, sf)
-    s = run.file_stream(spark, run.stage(d.select("cell_id", "k", "miss"), "cal-in", "k", 3))
     lag = CAL.maturity(V.FAST.interval, V.FAST.delay)
-    return run.run_append(stateful.calibrate(s, lag, lo=-0.05, hi=0.1), "cal", stateful=True).select("cell_id", "k", r("delta"))
+    minute = F.make_dt_interval(mins=F.lit(1))
+    kinds = F.array(F.struct(F.lit("open").alias("kind"), at_hour("k").alias("ts")), F.struct(F.lit("outcome").alias("kind"), (at_hour(F.col("k") + lag) - minute).alias("ts")))
+    rows = d.select("cell_id", "k", "miss", F.explode(kinds).alias("e")).select("cell_id", "k", F.when(F.col("e.kind") == "outcome", F.col("miss")).alias("miss"), "e.*")
+    feed = run.Replay(rows, "cal-in", "ts", 3)
+    return run.run_append(stateful.calibrate(feed.stream(), lag, lo=-0.05, hi=0.1), "cal", stateful=True, feed=feed).select("cell_id", "k", r("delta"), "late")
 
 
 @query("str_6_late_labels", "SELECT link_id, cell_id, epoch, round(q[5], 6) AS target, round(label, 6) AS label, (label > q[5])::INT AS miss FROM dec", "dec")
 def str6(spark, sf):
     """Forecasts and outcomes as two streams; an outcome comes a horizon after its forecast."""
-    t0 = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
-    hour = F.lit(3_600_000_000)
-    d = V.decisions(spark, sf).select("link_id", "cell_id", "epoch", F.timestamp_micros(t0 + F.col("epoch") * hour).alias("fts"),
-                                      F.timestamp_micros(t0 + (F.col("epoch") + 4) * hour).alias("ots"), F.get("q", F.lit(4)).alias("target"), "label")
-    path = run.stage(d, "labels-in", "epoch", 2)
-    f = run.file_stream(spark, path, 2).select("link_id", "cell_id", "epoch", "fts", "target")
-    o = run.file_stream(spark, path, 2).select("link_id", "cell_id", "epoch", "ots", "label")
+    d = V.decisions(spark, sf).select("link_id", "cell_id", "epoch", at_hour("epoch").alias("fts"), at_hour(F.col("epoch") + 4).alias("ots"), F.get("q", F.lit(4)).alias("target"), "label")
+    feed = run.Replay(d, "labels-in", "epoch", 2)
+    f = feed.stream().select("link_id", "cell_id", "epoch", "fts", "target")
+    o = feed.stream().select("link_id", "cell_id", "epoch", "ots", "label")
     m = TE.match_labels(f, o, ["link_id", "cell_id", "epoch"], "12 hours")
-    out = run.run_append(m.select("link_id", "cell_id", "epoch", "target", "label"), "labels")
+    out = run.run_append(m.select("link_id", "cell_id", "epoch", "target", "label"), "labels", feed=feed)
     return out.select("link_id", "cell_id", "epoch", r("target"), r("label"), (F.col("label") > F.col("target")).cast("int").alias("miss"))
 
 
 @query("str_7_running_kpis", """SELECT link_id, slot // 8 AS win, round(sum(priority * violated) / greatest(sum(priority * arrived), 1e-9), 6) AS weighted_violation_ratio, sum(served)::BIGINT AS used, count(*)::BIGINT AS rows
     FROM run_slots GROUP BY ALL""", "run_slots")
 def str7(spark, sf):
-    t0 = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
-    rows = V.run_slots(spark, sf).select("link_id", "slot", F.timestamp_micros(t0 + F.col("slot") * F.lit(3_600_000_000)).alias("ts"), "priority", "arrived", "violated", "served")
-    s = run.file_stream(spark, run.stage(rows, "kpi-in", "slot", 3))
-    k = TE.running_kpis(s, "ts", "8 hours", "1 hour").select("link_id", (hours(F.col("window.start")) / 8).cast("bigint").alias("win"), "weighted_violation_ratio", "used", "rows")
-    return run.run_update(k, "kpi", ["link_id", "win"]).select("link_id", "win", r("weighted_violation_ratio"), "used", "rows")
+    rows = V.run_slots(spark, sf).select("link_id", "slot", at_hour("slot").alias("ts"), "priority", "arrived", "violated", "served")
+    feed = run.Replay(rows, "kpi-in", "slot", 3)
+    k = TE.running_kpis(feed.stream(), "ts", "8 hours", "1 hour").select("link_id", (hours(F.col("window.start")) / 8).cast("bigint").alias("win"), "weighted_violation_ratio", "used", "rows")
+    return run.run_update(k, "kpi", ["link_id", "win"], feed).select("link_id", "win", r("weighted_violation_ratio"), "used", "rows")

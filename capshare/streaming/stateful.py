@@ -1,105 +1,131 @@
 """Keyed state: first-in-first-out replay with deadline drops, and online calibration.
 
-Both keep a fixed-size state per key plus a buffer of rows that came before their turn; slots of a key are consumed strictly in
-order, so results do not depend on how the stream is cut into batches.
+State per key is of fixed size plus rows that came before their turn. Rows are taken in the order of their slots or epochs, and what is missing holds a key up
+for a bounded time only. Rows that come after their turn are counted (``late``, so far) and not applied. So results do not depend on how a stream is cut into
+batches, as long as no row is late.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.replay import step
 
-FIFO_OUT = "cell_id bigint, slot bigint, served double, violated double, queue double, hol bigint, late bigint"
-CAL_OUT = "cell_id bigint, k bigint, delta double"
+FIFO_OUT = "cell_id bigint, slot bigint, served double, violated double, queue double, hol bigint, taken array<double>, late bigint"
+CAL_OUT = "cell_id bigint, k bigint, delta double, late bigint"
 
 
 class FifoProcessor(StatefulProcessor):
-    """State: next slot, the D + 1 age counters, and rows that arrived ahead of their turn."""
+    """State: next slot, newest slot seen, the D + 1 age counters, late rows so far, and rows that arrived ahead of their turn."""
+
+    def __init__(self, patience: int):
+        self.patience = patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("queue", "next bigint, ages array<double>")
+        self.state = handle.getValueState("queue", "next bigint, newest bigint, ages array<double>, late bigint")
         self.ahead = handle.getMapState("ahead", "slot bigint", "arrived double, allowed double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        cell = key[0]
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows))
-        deadline = int(got["deadline"].iloc[0])
-        if self.state.exists():
-            nxt, ages = self.state.get()
-            ages = np.array([list(ages)], dtype=float)
-        else:
-            nxt, ages = 0, np.zeros((1, deadline + 1))
-        late = 0
-        todo = {}
-        for slot, arrived, allowed in zip(got["slot"], got["arrived"], got["allowed"]):
+        nxt, newest, ages, late = self.state.get() if self.state.exists() else (0, -1, [0.0] * (int(got["deadline"].iloc[0]) + 1), 0)
+        ages = np.array([list(ages)], float)
+        before = {k[0]: tuple(v) for k, v in self.ahead.iterator()}
+        todo = dict(before)
+        for slot, arrived, allowed in zip(got["slot"], got["arrived"], got["allowed"], strict=True):
             if slot < nxt:
                 late += 1
             else:
                 todo[int(slot)] = (float(arrived), float(allowed))
+        newest = max(newest, int(got["slot"].max()))
         out = []
-        while True:
-            if nxt in todo:
-                arrived, allowed = todo.pop(nxt)
-            elif self.ahead.containsKey((nxt,)):
-                arrived, allowed = self.ahead.getValue((nxt,))
-                self.ahead.removeKey((nxt,))
-            else:
-                break
-            ages, taken, dropped = step(ages, np.array([arrived]), np.array([allowed]), np.array([deadline]))
+        # nothing arrives and nothing is allowed in a slot that has not come ``patience`` slots later
+        while nxt in todo or nxt < newest - self.patience:
+            arrived, allowed = todo.pop(nxt, (0.0, 0.0))
+            ages, taken, dropped = step(ages, np.array([arrived]), np.array([allowed]), np.array([ages.shape[1] - 1]))
             waiting = np.nonzero(ages[0] > 0)[0]
-            out.append((cell, nxt, float(taken.sum()), float(dropped[0]), float(ages.sum()), int(waiting.max()) if len(waiting) else 0, late))
-            late = 0
+            out.append((key[0], nxt, float(taken.sum()), float(dropped[0]), float(ages.sum()), int(waiting.max()) if len(waiting) else 0, [float(t) for t in taken[0]], late))
             nxt += 1
-        for slot, value in todo.items():
-            self.ahead.updateValue((slot,), value)
-        self.state.update((nxt, [float(x) for x in ages[0]]))
-        yield pd.DataFrame(out, columns=["cell_id", "slot", "served", "violated", "queue", "hol", "late"])
+        for slot in before.keys() - todo.keys():
+            self.ahead.removeKey((slot,))
+        for slot in todo.keys() - before.keys():
+            self.ahead.updateValue((slot,), todo[slot])
+        self.state.update((nxt, newest, [float(x) for x in ages[0]], late))
+        yield pd.DataFrame(out, columns=["cell_id", "slot", "served", "violated", "queue", "hol", "taken", "late"])
 
     def close(self) -> None:
         pass
 
 
-def fifo(stream: DataFrame, key: str = "cell_id") -> DataFrame:
-    """Replay of (key, slot, deadline, arrived, allowed) rows; slots of a key count 0, 1, .. without gaps."""
-    return stream.groupBy(key).transformWithStateInPandas(FifoProcessor(), FIFO_OUT, "Append", "None")
+def fifo(stream: DataFrame, key: str = "cell_id", patience: int = 64) -> DataFrame:
+    """Replay of (key, slot, deadline, arrived, allowed) rows; slots of a key count from 0. A missing slot is waited for until a row ``patience`` slots newer
+    has come. ``taken``: served by age."""
+    return stream.groupBy(key).transformWithStateInPandas(FifoProcessor(patience), FIFO_OUT, "Append", "None")
+
+
+def delay_histogram(rows: DataFrame, key: str = "cell_id") -> DataFrame:
+    """Bits served by age, from the rows of ``fifo``."""
+    return rows.select(key, F.posexplode("taken").alias("age", "bits")).groupBy(key, "age").agg(F.sum("bits").alias("bits"))
 
 
 class CalibrationProcessor(StatefulProcessor):
-    """State: next epoch, the offset, and misses that are not visible yet (at most ``lag`` of them once in order)."""
+    """State: the offset, the last epoch whose outcome was due, late outcomes so far, opened epochs that wait for their moment, outcomes that are not due."""
 
     def __init__(self, lag: int, gamma: float, level: float, lo: float, hi: float):
         self.lag, self.gamma, self.level, self.lo, self.hi = lag, gamma, level, lo, hi
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("offset", "next bigint, delta double")
-        self.pending = handle.getMapState("pending", "k bigint", "miss int")
+        self.handle = handle
+        self.state = handle.getValueState("offset", "delta double, due bigint, late bigint, opens array<bigint>, times array<bigint>, epochs array<bigint>, misses array<int>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        nxt, delta = self.state.get() if self.state.exists() else (0, 0.0)
+    def _get(self):
+        return self.state.get() if self.state.exists() else (0.0, -1, 0, [], [], [], [])
+
+    def _put(self, delta, due, late, opens, pending) -> None:
+        self.state.update((delta, due, late, [k for _, k in opens], [t for t, _ in opens], list(pending), list(pending.values())))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        delta, due, late, ks, ts, epochs, misses = self._get()
+        opens, pending = set(zip(ts, ks, strict=True)), dict(zip(epochs, misses, strict=True))
         for got in rows:
-            for k, miss in zip(got["k"], got["miss"]):
-                if k >= nxt:
-                    self.pending.updateValue((int(k),), (int(miss),))
-        out = []
-        while self.pending.containsKey((nxt,)):
-            due = nxt - self.lag
-            if due >= 0 and self.pending.containsKey((due,)):
-                miss = self.pending.getValue((due,))[0]
-                delta = min(max(delta + self.gamma * (miss - (1.0 - self.level)), self.lo), self.hi)
-                self.pending.removeKey((due,))
-            out.append((key[0], nxt, float(delta)))
-            nxt += 1
-        self.state.update((nxt, float(delta)))
-        yield pd.DataFrame(out, columns=["cell_id", "k", "delta"])
+            for kind, k, miss, ms in zip(got["kind"], got["k"], got["miss"], got["ms"], strict=True):
+                if kind == "open":
+                    opens.add((int(ms), int(k)))
+                elif k <= due:
+                    late += 1
+                else:
+                    pending[int(k)] = int(miss)
+        opens = sorted(opens)
+        if opens:       # it opens once all that happened before it is known
+            self.handle.registerTimer(opens[0][0])
+        self._put(delta, due, late, opens, pending)
+        yield pd.DataFrame({"cell_id": [], "k": [], "delta": [], "late": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        delta, due, late, ks, ts, epochs, misses = self._get()
+        opens, pending, out = list(zip(ts, ks, strict=True)), dict(zip(epochs, misses, strict=True)), []
+        now = timerValues.getCurrentWatermarkInMs()
+        while opens and opens[0][0] <= now:
+            k = opens.pop(0)[1]
+            for j in sorted(j for j in pending if j <= k - self.lag):
+                delta = min(max(delta + self.gamma * (pending.pop(j) - (1.0 - self.level)), self.lo), self.hi)
+            due = max(due, k - self.lag)
+            out.append((key[0], k, float(delta), late))
+        if opens:
+            self.handle.registerTimer(opens[0][0])
+        self._put(delta, due, late, opens, pending)
+        yield pd.DataFrame(out, columns=["cell_id", "k", "delta", "late"])
 
     def close(self) -> None:
         pass
 
 
-def calibrate(stream: DataFrame, lag: int, gamma: float = 0.02, level: float = 0.9, lo: float = -0.3, hi: float = 0.3, key: str = "cell_id") -> DataFrame:
-    return stream.groupBy(key).transformWithStateInPandas(CalibrationProcessor(lag, gamma, level, lo, hi), CAL_OUT, "Append", "None")
+def calibrate(stream: DataFrame, lag: int, gamma: float = 0.02, level: float = 0.9, lo: float = -0.3, hi: float = 0.3, key: str = "cell_id", ts: str = "ts", late: str = "0 seconds") -> DataFrame:
+    """Two kinds of rows (key, kind, k, miss, ts): 'open' when epoch k opens (at ``ts``), 'outcome' when its horizon has been observed. The offset in force at
+    epoch k leaves as soon as the watermark of the openings reaches k's, without any later outcome; an outcome that comes when its step was due already is counted
+    and not applied. Only openings have an event time, so that the watermark drops no outcome unseen."""
+    rows = stream.withColumn("clock", F.when(F.col("kind") == "open", F.col(ts))).withWatermark("clock", late).withColumn("ms", F.unix_millis("clock"))
+    return rows.groupBy(key).transformWithStateInPandas(CalibrationProcessor(lag, gamma, level, lo, hi), CAL_OUT, "Append", "EventTime")
