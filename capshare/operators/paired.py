@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import shared_dir
+from .ranks import ranked
 from .relational import paired
 
 EXACT_LIMIT = 25
@@ -36,19 +36,6 @@ def draw(rep, i, n):
     return shift(y * y, 16) % m * 16807 % m % n
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """``pos`` (from 0, by ``order``) and ``n`` of each row within its key. A key spreads over as many ranges of ``order`` as it fills: rows are numbered inside
-    ranges, and only the counts of the ranges run through one window."""
-    shared_dir(df.sparkSession)
-    keys = list(keys)
-    cut = df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()).checkpoint()
-    w = W.partitionBy(*keys)
-    sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(
-        *keys, "_range", (F.sum("_n").over(w.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("n"))
-    local = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(order)) - 1
-    return cut.withColumn("_local", local).join(sizes, [*keys, "_range"]).withColumn("pos", F.col("_before") + F.col("_local")).drop("_range", "_local", "_before")
-
-
 def block_counts(sizes: DataFrame, replicates: int, block: int) -> DataFrame:
     """(n, block, m): how many of the n draws of each replicate (in order) fall into a block of positions. The counts are multinomial and depend on n and the
     replicate alone; a sample size needs replicates x blocks of them."""
@@ -90,7 +77,7 @@ def bootstrap(values: DataFrame, keys: Sequence[str], order: str, columns: Seque
     A replicate first splits its draws over blocks of positions, then draws inside each block, where the block's values are one array. What is built and
     shuffled is an array of replicates per block; no table has a row or an element per draw.
     """
-    v = positions(values.select(*keys, order, *columns), keys, order)
+    v = ranked(values.select(*keys, order, *columns), keys, order)
     packs = v.groupBy(*keys, "n", F.floor(F.col("pos") / block).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("_v")).checkpoint()
     j = packs.join(block_counts(packs.select("n").distinct(), replicates, block), ["n", "block"])
     sums = F.pandas_udf(_replicate_sums, "array<array<double>>")("block", "m", *[F.col("_v")[c].cast("array<double>") for c in columns])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import constants as K
 from ..functions.demand import rolling_rates
 from ..functions.quantiles import sorted_quantiles
+from ..session import shared_dir
 
 KEYS = ("link_id", "cell_id")
 
@@ -310,19 +311,35 @@ def hold_last(df: DataFrame, keys: Sequence[str], order: str, value: str, every:
     return df.join(fresh, [*keys, "_a"], "left").drop("_a")
 
 
-def sojourns(df: DataFrame, keys: Sequence[str], order: str, state: str, chunk: int) -> DataFrame:
-    """Runs of equal state: (keys, state, start, length). Runs are closed per chunk, then stitched across borders."""
-    w = W.partitionBy(*keys, "_c").orderBy(order)
-    marked = (df.withColumn("_c", F.floor(F.col(order) / chunk).cast("bigint"))
-              .withColumn("_new", F.coalesce((F.lag(state).over(w) != F.col(state)).cast("int"), F.lit(1)))
-              .withColumn("_i", F.sum("_new").over(w)))
-    runs = marked.groupBy(*keys, "_c", "_i", state).agg(F.min(order).alias("_s"), F.max(order).alias("_e"))
-    # what is left per key is one row per run: stitch runs that touch a chunk border and share the state
-    v = W.partitionBy(*keys).orderBy("_s")
-    glued = (F.lag(state).over(v) == F.col(state)) & (F.lag("_e").over(v) == F.col("_s") - 1)
-    runs = runs.withColumn("_g", F.sum(F.when(glued, 0).otherwise(1)).over(v))
-    return (runs.groupBy(*keys, "_g", state).agg(F.min("_s").alias("start"), F.max("_e").alias("_end"))
-            .select(*keys, state, "start", (F.col("_end") - F.col("start") + 1).alias("length")))
+def _glued(runs: DataFrame, keys: Sequence[str], state: str, width: int | None) -> DataFrame:
+    """Touching runs (_s .. _e) of equal state joined inside each stretch of ``width`` (none: of a key); ``_border``: first or last run of its stretch."""
+    part = [*keys] if width is None else [*keys, "_c"]
+    runs = runs if width is None else runs.withColumn("_c", F.floor(F.col("_s") / width).cast("bigint"))
+    w = W.partitionBy(*part).orderBy("_s")
+    touches = F.lag(state).over(w).eqNullSafe(F.col(state)) & (F.lag("_e").over(w) == F.col("_s") - 1)
+    runs = runs.withColumn("_g", F.sum(F.when(touches, 0).otherwise(1)).over(w))
+    joined = runs.groupBy(*part, "_g", state).agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    border = (F.col("_g") == 1) | (F.col("_g") == F.max("_g").over(W.partitionBy(*part)))
+    return joined.withColumn("_border", border).select(*keys, state, "_s", "_e", "_border")
+
+
+def sojourns(df: DataFrame, keys: Sequence[str], order: str, state: str, chunk: int, levels: int = 1, fan: int = 64) -> DataFrame:
+    """Runs of equal state along an integer order: (keys, state, start, length). A null state is a state; a gap in the order ends a run.
+
+    A chunk is summed up as its first run, its last run and the runs between, which are closed. Only the two border runs go on: to stretches of ``fan`` chunks,
+    ``levels`` times, and at last to their key. So a key of any length meets in one window with two rows per ``chunk * fan ** levels`` of its order.
+    """
+    shared_dir(df.sparkSession)
+    runs = df.select(*keys, state, F.col(order).alias("_s"), F.col(order).alias("_e"))
+    closed = []
+    for level in range(levels + 1):
+        runs = _glued(runs, keys, state, chunk * fan ** level).checkpoint()      # read twice: what is closed, and what goes on
+        closed.append(runs.where(~F.col("_border")))
+        runs = runs.where("_border").drop("_border")
+    out = _glued(runs, keys, state, None)
+    for c in closed:
+        out = out.unionByName(c)
+    return out.select(*keys, state, F.col("_s").alias("start"), (F.col("_e") - F.col("_s") + 1).alias("length"))
 
 
 def state_ages(slots: DataFrame, clock: Clock, keys: Sequence[str] = KEYS, value: str = "fh_bits", recent: int = 3,

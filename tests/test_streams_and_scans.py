@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from capshare.operators import calibration as CAL, paired as PA
+from capshare.operators import calibration as CAL, paired as PA, ranks, series
 from capshare.streaming import run, stateful, telemetry as TE
 
 T0 = dt.datetime(2024, 1, 1)
@@ -88,7 +88,7 @@ def test_calibration_scan_is_the_plain_fold(spark, chunk, levels):
 
 def test_positions_of_a_key_over_many_ranges(spark):
     df = spark.range(0, 20_000).select((F.col("id") % 10 == 0).cast("int").alias("key"), ((F.col("id") * 7919) % 20_011).alias("o"))
-    got = PA.positions(df, ["key"], "o").toPandas()
+    got = ranks.ranked(df, ["key"], "o").toPandas()
     for _, g in got.groupby("key"):
         g = g.sort_values("o")
         assert (g.pos.to_numpy() == np.arange(len(g))).all() and (g.n == len(g)).all()
@@ -106,3 +106,27 @@ def test_bootstrap_over_many_blocks(spark):
     half = 1.96 * v.std() / np.sqrt(len(v))
     assert got["a"].ci_lo == pytest.approx(v.mean() - half, abs=0.35 * half) and got["a"].ci_hi == pytest.approx(v.mean() + half, abs=0.35 * half)
     assert got["b"].ci_lo is None
+
+
+def test_percentiles_of_large_and_odd_groups(spark):
+    rng = np.random.default_rng(6)
+    groups = {"big": rng.integers(0, 4000, 20_000) / 8, "one": np.array([3.0]), "ties": np.repeat([1.0, 2.0], 50), None: rng.random(11)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("big", None), ("empty", None)], "k string, v double")
+    probs = (0.0, 0.05, 0.5, 0.77, 1.0)
+    got = {r.k: r.q for r in ranks.percentiles(df, ["k"], "v", probs).collect()}
+    assert set(got) == set(groups) and all(got[k] == pytest.approx(list(np.quantile(v, probs))) for k, v in groups.items())
+
+
+@pytest.mark.parametrize("chunk, levels", [(256, 2), (7, 1), (50, 0)])
+def test_sojourns_of_a_hot_key(spark, chunk, levels):
+    rng = np.random.default_rng(8)
+    n = 2_000_000 if chunk == 256 else 20_000
+    state = np.concatenate([rng.integers(0, 2, n - 5000), np.ones(5000, int)])
+    import pandas as pd
+    df = spark.createDataFrame(pd.DataFrame({"key": 1, "slot": np.arange(n), "s": state})).union(spark.createDataFrame([(2, 5, 1), (2, 6, 1), (2, 9, 1), (2, 10, 0), (2, 300, None), (2, 301, None)], "key long, slot long, s long")).repartition(8)
+    got = series.sojourns(df, ["key"], "slot", "s", chunk, levels)
+    hot = got.where("key = 1").orderBy("start").toPandas()
+    start = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]]))
+    assert (hot.start.to_numpy() == start).all() and (hot.length.to_numpy() == np.diff(np.append(start, n))).all() and (hot.s.to_numpy() == state[start]).all()
+    assert len(start) > (900_000 if chunk == 256 else 5000)
+    assert sorted((r.start, r.length, r.s) for r in got.where("key = 2").collect()) == [(5, 2, 1), (9, 1, 1), (10, 1, 0), (300, 2, None)]
