@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import code_compression, decontamination, jaccard_join, line_dedup, mixing, packing, quality, sharding, suffix_dedup, topk, toxicity, turn_trie, warc
-from .common import shared_path, table
+from .common import settle, shared_path, table
 from .registry import ORACLE, QUERIES, query
 from .sql import LINES_SQL, QUALITY_SQL, TOPK_SQL, WARC_SQL
 
@@ -19,7 +19,7 @@ def oracle_sql() -> dict[str, str]:
 
 @query("op2_topk_search", TOPK_SQL)
 def op2_topk_search(spark, sf):
-    vectors = topk.quantised(table(spark, sf, "embeddings"))
+    vectors = settle(topk.quantised(table(spark, sf, "embeddings")), "vectors")
     return topk.search(vectors.where("id % 20 = 0"), vectors, k=20)
 
 

@@ -6,7 +6,8 @@ ids locate the last id that is taken. A last pass keeps what lies above both mar
 many ties there are. Only histograms and marks travel: their size is queries x bins, never pairs.
 
 * null vectors and vectors with null or non-finite components take no part; neither do rows with a null id.
-* shorter vectors count as padded with zeros; rows that repeat an id are taken once (the smallest vector by order).
+* shorter vectors count as padded with zeros. Rows that repeat an id stay separate: each is a candidate, and each is a query that leaves out itself alone. They
+  are told apart by a row number that grows with (id, vector), so ties go to the smaller id.
 * fewer than k other rows: all are returned. Empty tables, or no query: empty result. Extra columns are ignored.
 * scores are sums of products of 64-bit integers. They are computed in single or double precision only where the largest norms prove that
   to be exact, else in integers (which wrap beyond 64 bits).
@@ -20,17 +21,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from capshare.operators.ranks import ranked
+
 from .common import settle
 
 BLOCK, Q_BLOCK, BINS = 8192, 1024, 1024
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """(id, v array<bigint>) of the usable rows, v = floor(scale * x)."""
+    """(row, id, v array<bigint>) of the usable rows, v = floor(scale * x); ``row`` counts them in the order of (id, v)."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
-    return rows.groupBy("id").agg(F.min("v").alias("v")).select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
+    rows = rows.select(F.struct("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"), F.monotonically_increasing_id().alias("place")).alias("o"))
+    return ranked(rows, [], "o").select(F.col("pos").alias("row"), "o.id", "o.v")
 
 
 def blocks(rows: DataFrame, dim: int, size: int, kind) -> DataFrame:
@@ -116,7 +120,15 @@ def _packed_marks(marks: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
-    """Both (id, v array<bigint>): query_id, rank, vec_id, score. A candidate with the id of the query is the query itself."""
+    """Both (row, id, v array<bigint>): query_id, rank, vec_id, score. A candidate with the row number of the query is the query itself."""
+    found = _search(queries.select(F.col("row").alias("id"), "v"), candidates.select(F.col("row").alias("id"), "v"), k)
+    names = [d.select(F.col("row").alias(row), F.col("id").alias(name)) for d, row, name in ((queries, "q", "query_id"), (candidates, "c", "vec_id"))]
+    out = found.select(F.col("query_id").alias("q"), "rank", F.col("vec_id").alias("c"), "score")
+    return out.join(names[0], "q").join(names[1], "c").select("query_id", "rank", "vec_id", "score")
+
+
+def _search(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """The same for unique ids (id, v)."""
     spark = candidates.sparkSession
     candidates, queries = settle(candidates, "vectors"), settle(queries, "queries")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
