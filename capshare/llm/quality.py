@@ -1,13 +1,14 @@
 """Quality rules by distribution divergence.
 
 Every document gets two histograms: character classes, and common words of four languages (with all other words as one bin). References are
-the summed histograms of the documents of a language that pass the base rules. The Jensen-Shannon distance (base 2, square root
-of the divergence) of a document to a reference is taken for both histograms; the nearest language counts, so a wrong label does no harm.
+the summed histograms of the documents of a language that pass the base rules: every language has one that has at least 20 such documents and a
+ten-thousandth of all, so there are at most 10,000. The Jensen-Shannon distance (base 2, square root of the divergence) of a document to a reference is taken
+for both histograms; the nearest counts of its own language and the four, so a wrong label among these does no harm.
 The verdict rejects a document whose distance exceeds the limit by more than what sampling explains: the limit is
-``limit + spread / sqrt(words)``, and documents shorter than ``least`` words are left to the base rules.
+``limit + spread / sqrt(words)``. Documents shorter than ``least`` words, and those of a language without a reference, are left to the base rules.
 
-* null or empty text: no words, base_failed, not kept. Null or unknown lang: compared like any other, but not part of a reference.
-* no reference at all (empty table, or nothing passes the base rules): the divergence rule is silent.
+* null or empty text: no words, base_failed, not kept. Null lang, or a lang without a reference: the divergence rule is silent.
+* empty table, or nothing passes the base rules: no reference, the divergence rule is silent.
 * repeated rows each count and each get the same verdict; very long texts are handled whole, by arrays of one row. Extra columns pass.
 
 ``n_repeat_words``: three-word windows are hashed and packed with their position into one sorted array; neighbours with equal hash
@@ -29,6 +30,8 @@ LANGUAGES = ("en", "de", "fr", "es")
 # Character classes; the last bin is everything else.
 CLASSES = (r"\p{Ll}", r"[ \t\n\x0B\f\r]", r"\p{Lu}", r"\p{Nd}", r"[.,;:'\"?!()-]")
 POS = 28
+#: Passing documents that make a reference; words below which the divergence rule is silent.
+ENOUGH, LEAST = 20, 64
 
 
 def _covered(at: Column) -> Column:
@@ -98,21 +101,24 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                        r.alias("n_repeat_words"), ((n < 50) | (100 * r > 50 * n)).alias("base_failed"), F.slice("counts", 1, k).alias("classes"), F.concat("hits", F.array(other)).alias("common"), *more)
 
 
-def references(feats: DataFrame) -> dict[str, dict[str, list[float]]]:
-    """Shares by language and histogram: one row a language, whatever the data."""
+def references(feats: DataFrame) -> DataFrame:
+    """(ref_lang, ref_classes, ref_common): shares by language, at most 10,000 rows."""
     sizes = {"classes": len(CLASSES) + 1, "common": len(COMMON) + 1}
+    passed = feats.where(~F.col("base_failed"))
     sums = [F.sum(F.get(h, F.lit(i))).alias(f"{h}_{i}") for h, k in sizes.items() for i in range(k)]
-    out = {}
-    for r in feats.where(~F.col("base_failed") & F.col("lang").isin(*LANGUAGES)).groupBy("lang").agg(*sums).collect():
-        both = {h: [r[f"{h}_{i}"] for i in range(k)] for h, k in sizes.items()}
-        if all(sum(v) for v in both.values()):
-            out[r["lang"]] = {h: [x / sum(v) for x in v] for h, v in both.items()}
-    return out
+    by_lang = passed.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), *sums).where(
+        (F.col("n") >= ENOUGH) & (F.col("n") * 10_000 >= F.lit(passed.count())))
 
+    def shares(h, k):
+        total = sum((F.col(f"{h}_{i}") for i in range(1, k)), F.col(f"{h}_0")).cast("double")
+        return F.array(*[F.col(f"{h}_{i}").cast("double") / total for i in range(k)]).alias(f"ref_{h}")
 
-def distance(hist: Column, ref: list[float]) -> Column:
+    return settle(by_lang.select(F.col("lang").alias("ref_lang"), *[shares(h, k) for h, k in sizes.items()]), "references")
+
+
+def distance(hist: Column, ref: list[float] | Column) -> Column:
     """Jensen-Shannon distance of a histogram of counts to shares; null for an empty histogram."""
-    q = F.array(*[F.lit(float(x)) for x in ref])
+    q = ref if isinstance(ref, Column) else F.array(*[F.lit(float(x)) for x in ref])
 
     def of(total):
         def term(x, y):
@@ -124,15 +130,21 @@ def distance(hist: Column, ref: list[float]) -> Column:
     return let(F.aggregate(hist, F.lit(0).cast("long"), lambda a, b: a + b), of)
 
 
-def judge(docs: DataFrame, class_limit: float = 0.16, word_limit: float = 0.17, spread: float = 1.0, least: int = 50, **cols) -> DataFrame:
+def judge(docs: DataFrame, class_limit: float = 0.16, word_limit: float = 0.17, spread: float = 1.0, least: int = LEAST, **cols) -> DataFrame:
     """Per row: uid, id, the base counts, base_failed, class_distance, word_distance, kept."""
     feats = settle(features(docs, **cols), "quality")
     refs = references(feats)
+    fixed = refs.where(F.col("ref_lang").isin(*LANGUAGES)).orderBy("ref_lang").collect()
     slack = F.lit(spread) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
-    near = lambda h: F.least(*[distance(F.col(h), r[h]) for r in refs.values()]) if len(refs) > 1 else distance(F.col(h), next(iter(refs.values()))[h]) if refs else F.lit(None).cast("double")
-    out = feats.withColumn("class_distance", F.round(near("classes"), 6)).withColumn("word_distance", F.round(near("common"), 6))
+    own = F.col("ref_lang").isNotNull()
+
+    def near(h):
+        other = F.when(own & ~F.col("ref_lang").isin(*LANGUAGES), distance(F.col(h), F.col(f"ref_{h}")))      # the four are in any case
+        return F.round(F.least(other, F.lit(None).cast("double"), *[distance(F.col(h), r[f"ref_{h}"]) for r in fixed]), 6)
+
+    out = feats.join(F.broadcast(refs), feats["lang"] == refs["ref_lang"], "left").withColumn("class_distance", near("classes")).withColumn("word_distance", near("common"))
     far = (F.col("class_distance") > F.lit(class_limit) + slack) | (F.col("word_distance") > F.lit(word_limit) + slack)
-    return out.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") < least) | ~F.coalesce(far, F.lit(False)))).drop("classes", "common")
+    return out.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") < least) | ~own | ~F.coalesce(far, F.lit(False)))).drop("classes", "common", "ref_lang", "ref_classes", "ref_common")
 
 
 def kept_documents(docs: DataFrame, **kw) -> DataFrame:

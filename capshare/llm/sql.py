@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from .common import WORD
-from .quality import CLASSES, COMMON, LANGUAGES
+from .quality import CLASSES, COMMON, ENOUGH, LANGUAGES, LEAST
 
 _BLANK = r"[^\x20\x09-\x0D]"
 
@@ -51,20 +51,21 @@ f AS (SELECT d.doc_id, d.uid, d.lang, CAST(len(w.a) AS BIGINT) AS n_words, CAST(
       FROM d JOIN w USING (uid) JOIN k2 USING (uid) LEFT JOIN y USING (uid) LEFT JOIN z USING (uid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 r AS (SELECT lang, {', '.join(f"sum(classes[{i}]) AS c{i}" for i in range(1, _C + 2))}, {', '.join(f"sum(common[{i}]) AS m{i}" for i in range(1, _K + 2))}
-      FROM b WHERE NOT base_failed AND lang IN ({', '.join(f"'{x}'" for x in LANGUAGES)}) GROUP BY lang),
+      FROM b WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= {ENOUGH} AND count(*) * 10000 >= (SELECT count(*) FROM b WHERE NOT base_failed)),
 q AS (SELECT lang, list_transform([{', '.join(f"c{i}" for i in range(1, _C + 2))}], lambda x: x::DOUBLE / ({' + '.join(f"c{i}" for i in range(1, _C + 2))})::DOUBLE) AS rc,
              list_transform([{', '.join(f"m{i}" for i in range(1, _K + 2))}], lambda x: x::DOUBLE / ({' + '.join(f"m{i}" for i in range(1, _K + 2))})::DOUBLE) AS rm FROM r),
-j AS (SELECT b.uid, min({_dist("b.classes", "q.rc", _C + 1)}) AS dc, min({_dist("b.common", "q.rm", _K + 1)}) AS dm FROM b, q GROUP BY b.uid)
+j AS (SELECT b.uid, min({_dist("b.classes", "q.rc", _C + 1)}) AS dc, min({_dist("b.common", "q.rm", _K + 1)}) AS dm, bool_or(q.lang = b.lang) AS own
+      FROM b JOIN q ON q.lang = b.lang OR q.lang IN ({', '.join(f"'{x}'" for x in LANGUAGES)}) GROUP BY b.uid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(dc, 6) AS class_distance, round(dm, 6) AS word_distance,
-       NOT base_failed AND NOT coalesce(round(dc, 6) > 0.16 + 1.0 / sqrt(greatest(n_words, 1)) OR round(dm, 6) > 0.17 + 1.0 / sqrt(greatest(n_words, 1)), false) AS kept
+       NOT base_failed AND NOT coalesce(own AND n_words >= {LEAST} AND (round(dc, 6) > 0.16 + 1.0 / sqrt(greatest(n_words, 1)) OR round(dm, 6) > 0.17 + 1.0 / sqrt(greatest(n_words, 1))), false) AS kept
 FROM b LEFT JOIN j USING (uid)
 """
 
 TOPK_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS uid, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+s AS (SELECT q.vec_id AS query_id, q.uid, c.vec_id, CAST(list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score FROM v q JOIN v c ON q.uid <> c.uid WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
