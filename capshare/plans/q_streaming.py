@@ -50,10 +50,19 @@ def str2(spark, sf):
 @query("str_3_delayed_telemetry", """WITH d AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), t AS (SELECT user_id, ts, CAST(round(value * 100) AS BIGINT) AS bits FROM events WHERE event_type != 'error')
     SELECT d.event_id, count(*)::BIGINT AS seen, sum(bits)::BIGINT AS bits FROM d JOIN t ON t.user_id = d.user_id AND t.ts <= d.ts - INTERVAL 2 HOUR AND t.ts > d.ts - INTERVAL 12 HOUR GROUP BY ALL""")
 def str3(spark, sf):
+    """Decisions that see nothing are left out, as by a join."""
+    e = events(spark, sf).select("cell_id", F.when(F.col("event_type") == "error", F.lit("decision")).otherwise(F.lit("telemetry")).alias("kind"), F.col("event_id").alias("id"), "bits", "ts")
+    out = run.run_append(stateful.delayed_sums(e, 2 * 3600, 12 * 3600, "1 hour"), "delayed", stateful=True)
+    return out.where("seen > 0").select(F.col("id").alias("event_id"), "seen", F.col("total").alias("bits"))
+
+
+@query("str_3_delayed_join", """WITH d AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), t AS (SELECT event_id, user_id, ts FROM events WHERE event_type != 'error')
+    SELECT d.event_id, t.event_id AS seen_id FROM d JOIN t ON t.user_id = d.user_id AND t.ts <= d.ts - INTERVAL 2 HOUR AND t.ts > d.ts - INTERVAL 12 HOUR""")
+def str3j(spark, sf):
+    """Where the rows themselves are wanted, not their sums: one row for each pair."""
     d = events(spark, sf).where("event_type = 'error'").select("event_id", "cell_id", F.col("ts").alias("dts"))
-    t = events(spark, sf).where("event_type != 'error'").select("cell_id", F.col("ts").alias("tts"), "bits")
-    j = run.run_append(TE.delayed_join(d, t, "cell_id", "2 HOURS", "12 HOURS", "1 hour").select("event_id", "bits"), "delayed")
-    return j.groupBy("event_id").agg(F.count("*").alias("seen"), F.sum("bits").alias("bits"))
+    t = events(spark, sf).where("event_type != 'error'").select("cell_id", F.col("ts").alias("tts"), F.col("event_id").alias("seen_id"))
+    return run.run_append(TE.delayed_join(d, t, "cell_id", "2 HOURS", "12 HOURS", "1 hour").select("event_id", "seen_id"), "delayed")
 
 
 @query("str_4_fifo_stream", _FIFO + " SELECT cell_id, slot, round(served, 6) AS served, round(violated, 6) AS violated, round(queue, 6) AS queue, hol FROM ff WHERE slot >= 0", "slots", recursive=True)

@@ -1,4 +1,4 @@
-"""Keyed state: first-in-first-out replay with deadline drops, and online calibration.
+"""Keyed state: first-in-first-out replay with deadline drops, online calibration, and sums of delayed telemetry.
 
 State per key is of fixed size plus rows that came before their turn. Rows are taken in the order of their slots or epochs, and what is missing holds a key up
 for a bounded time only. Rows that come after their turn are counted (``late``, so far) and not applied. So results do not depend on how a stream is cut into
@@ -17,6 +17,7 @@ from ..operators.replay import step
 
 FIFO_OUT = "cell_id bigint, slot bigint, served double, violated double, queue double, hol bigint, taken array<double>, late bigint"
 CAL_OUT = "cell_id bigint, k bigint, delta double, late bigint"
+SEEN_OUT = "cell_id bigint, id bigint, seen bigint, total bigint"
 
 
 class FifoProcessor(StatefulProcessor):
@@ -129,3 +130,55 @@ def calibrate(stream: DataFrame, lag: int, gamma: float = 0.02, level: float = 0
     and not applied. Only openings have an event time, so that the watermark drops no outcome unseen."""
     rows = stream.withColumn("clock", F.when(F.col("kind") == "open", F.col(ts))).withWatermark("clock", late).withColumn("ms", F.unix_millis("clock"))
     return rows.groupBy(key).transformWithStateInPandas(CalibrationProcessor(lag, gamma, level, lo, hi), CAL_OUT, "Append", "EventTime")
+
+
+class DelayedSums(StatefulProcessor):
+    """State: times and prefix sums of the telemetry that a decision may still see, and decisions whose telemetry may still come (all in microseconds)."""
+
+    def __init__(self, delay: int, span: int):
+        self.delay, self.span = delay, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("sums", "times array<bigint>, prefix array<bigint>, at array<bigint>, ids array<bigint>")
+
+    def _get(self):
+        times, prefix, at, ids = self.state.get() if self.state.exists() else ([], [0], [], [])
+        return np.array(times, np.int64), np.array(prefix, np.int64), list(zip(at, ids, strict=True))
+
+    def _go_on(self, key, times, prefix, waiting, watermark_ms: int) -> pd.DataFrame:
+        due = [d for d in waiting if d[0] - self.delay <= watermark_ms * 1000]
+        waiting = sorted(d for d in waiting if d[0] - self.delay > watermark_ms * 1000)
+        at = np.array([t for t, _ in due], np.int64)
+        lo, hi = np.searchsorted(times, at - self.span, "right"), np.searchsorted(times, at - self.delay, "right")
+        out = pd.DataFrame({"cell_id": key[0], "id": [i for _, i in due], "seen": hi - lo, "total": prefix[hi] - prefix[lo]})
+        # no decision to come is older than the watermark
+        old = int(np.searchsorted(times, min([t for t, _ in waiting[:1]] + [watermark_ms * 1000]) - self.span, "right"))
+        if waiting:
+            self.handle.registerTimer(-((self.delay - waiting[0][0]) // 1000))
+        self.state.update((times[old:].tolist(), prefix[old:].tolist(), [t for t, _ in waiting], [i for _, i in waiting]))
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times, prefix, waiting = self._get()
+        got = pd.concat(list(rows))
+        new = got[got["kind"] == "telemetry"]
+        waiting += [(int(t), int(i)) for t, i in got.loc[got["kind"] == "decision", ["us", "id"]].itertuples(index=False)]
+        both = np.concatenate([times, new["us"].to_numpy(np.int64)])
+        values = np.concatenate([np.diff(prefix), new["bits"].to_numpy(np.int64)])
+        order = np.argsort(both, kind="stable")
+        prefix = prefix[0] + np.concatenate([[0], np.cumsum(values[order])])
+        yield self._go_on(key, both[order], prefix, waiting, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._go_on(key, *self._get(), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def delayed_sums(stream: DataFrame, delay_s: int, span_s: int, late: str, key: str = "cell_id", ts: str = "ts") -> DataFrame:
+    """Rows (key, kind, id, bits, ts): each 'decision' gets number and sum of the 'telemetry' of its key that is at least ``delay_s`` and less than ``span_s``
+    seconds old. Two reads of a prefix sum a decision: work and state grow with the rows of a key, never with its pairs."""
+    rows = stream.withWatermark(ts, late).withColumn("us", F.unix_micros(ts))
+    return rows.groupBy(key).transformWithStateInPandas(DelayedSums(delay_s * 1_000_000, span_s * 1_000_000), SEEN_OUT, "Append", "EventTime")

@@ -130,3 +130,18 @@ def test_sojourns_of_a_hot_key(spark, chunk, levels):
     assert (hot.start.to_numpy() == start).all() and (hot.length.to_numpy() == np.diff(np.append(start, n))).all() and (hot.s.to_numpy() == state[start]).all()
     assert len(start) > (900_000 if chunk == 256 else 5000)
     assert sorted((r.start, r.length, r.s) for r in got.where("key = 2").collect()) == [(5, 2, 1), (9, 1, 1), (10, 1, 0), (300, 2, None)]
+
+
+def test_delayed_sums_of_a_hot_key(spark):
+    rng = np.random.default_rng(9)
+    at = lambda ms: T0 + dt.timedelta(milliseconds=int(ms))
+    tele = [(1 if i % 3 else 2, "telemetry", i, int(rng.integers(0, 50)), at(rng.integers(0, 3_600_000))) for i in range(6000)]
+    dec = [(1 + i % 3, "decision", 10_000 + i, None, at(rng.integers(0, 3_600_000))) for i in range(300)] + [(1, "decision", 20_000, None, tele[1][4] + dt.timedelta(seconds=60))]
+    cut = T0 + dt.timedelta(minutes=30)
+    parts = [[r for r in tele + dec if r[4] <= cut], [r for r in tele + dec if r[4] > cut], [(9, "telemetry", 0, 1, T0 + dt.timedelta(hours=2))]]
+    feed = staged(spark, parts, "cell_id long, kind string, id long, bits long, ts timestamp")
+    got = {r.id: (r.seen, r.total) for r in run.run_append(stateful.delayed_sums(feed.stream(), 60, 600, "0 seconds"), "seen", stateful=True, feed=feed).collect()}
+    assert len(got) == 301
+    for c, _, i, _, t in dec:
+        seen = [b for k, _, _, b, u in tele if k == c and t - dt.timedelta(seconds=600) < u <= t - dt.timedelta(seconds=60)]
+        assert got[i] == (len(seen), sum(seen))
