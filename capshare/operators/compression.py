@@ -6,6 +6,7 @@ stays inside a row and work across vectors is an aggregate over positions.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -120,11 +121,39 @@ def apply_basis(df: DataFrame, basis: np.ndarray, vec: str = "vec", out: str = "
     return df.withColumn("_k", kernel(vec)).select(*df.columns, F.col("_k.coef").alias(coef), F.col("_k.approx").alias(out))
 
 
-def quantised_basis(spark, basis: np.ndarray, width: int) -> np.ndarray:
-    """Rows of the n x r basis as they would be sent: block floating point along each row."""
-    rows = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(basis)], "i int, r array<double>")
-    got = {x.i: x.q for x in rows.select("i", block_float("r", F.lit(width)).alias("q")).collect()}
-    return np.array([got[i] for i in range(len(basis))])
+def block_float_array(m: np.ndarray, width: int, block: int = 16) -> np.ndarray:
+    """``block_float`` of every row of a matrix; width 0 leaves it as it is."""
+    if not width or not m.size:
+        return m
+    starts = np.arange(0, m.shape[1], block)
+    peak = np.repeat(np.maximum.reduceat(np.abs(m), starts, axis=1), np.diff(np.append(starts, m.shape[1])), axis=1)
+    scale = np.exp2(np.ceil(np.log2(np.where(peak > 0, peak, 1.0))))
+    levels = 2.0 ** (width - 1) - 1.0
+    return np.rint(m / scale * levels) / levels * scale
+
+
+def factor_errors(df: DataFrame, bases: dict[int, np.ndarray], widths: Sequence[int], vec: str = "vec") -> DataFrame:
+    """(rank, width, err, total): squared error of the table behind both factors as they are sent, for every rank (its n x rank basis) and width, in one pass.
+
+    Coefficients and rows of the basis go through block floating point before they are multiplied; width 0 leaves them exact. Every task adds up its rows, so
+    one row per task, rank and width is shuffled. ``total`` is the energy of the table.
+    """
+    sent = {(rank, width): block_float_array(basis, width) for rank, basis in bases.items() for width in widths}
+
+    def partial(batches):
+        err, total = dict.fromkeys(sent, 0.0), 0.0
+        for b in batches:
+            if not len(b):
+                continue
+            m = np.stack(b[vec].to_numpy())
+            total += float((m * m).sum())
+            for rank, basis in bases.items():
+                coef = m @ basis
+                for width in widths:
+                    err[rank, width] += float(((m - block_float_array(coef, width) @ sent[rank, width].T) ** 2).sum())
+        yield pd.DataFrame([(r, w, e, total) for (r, w), e in err.items()], columns=["rank", "width", "err", "total"])
+
+    return df.select(vec).mapInPandas(partial, "rank int, width int, err double, total double").groupBy("rank", "width").agg(F.sum("err").alias("err"), F.sum("total").alias("total"))
 
 
 def sketch_basis(df: DataFrame, rank: int, vec: str = "vec", row_id: str = "id") -> np.ndarray:
@@ -136,21 +165,13 @@ def sketch_basis(df: DataFrame, rank: int, vec: str = "vec", row_id: str = "id")
     return q
 
 
-def low_rank_ratio(rows: int, n: int, rank: int, width: int, sample_bits: int = 16) -> float:
+def low_rank_ratio(rows: int, n: int, rank, width: int, sample_bits: int = 16):
     return rows * n * sample_bits / (rank * width * (rows + n))
 
 
-def rank_width_grid(sigma: np.ndarray, rows: int, n: int, budget_bits: float, widths=(4, 6, 8, 12, 16)) -> list[tuple[int, int, float]]:
-    """(rank, width, modelled error) of every width whose largest affordable rank is at least one."""
-    total = float(np.sum(sigma ** 2))
-    out = []
-    for b in widths:
-        r = min(int(budget_bits // (2 * b * (rows + n))), len(sigma))
-        if r >= 1:
-            tail = float(np.sum(sigma[r:] ** 2)) / total
-            step = 2.0 ** (1 - b)
-            out.append((r, b, tail + step * step / 12.0))
-    return out
+def affordable(rows: int, n: int, budget_bits: float, widths: Sequence[int] = (4, 6, 8, 12, 16)) -> dict[int, int]:
+    """width -> largest rank whose two factors fit the budget, where it is at least one."""
+    return {b: r for b in widths if (r := min(int(budget_bits // (2 * b * (rows + n))), n)) >= 1}
 
 
 # --- transform and sparsify --------------------------------------------------------------------------------------
@@ -159,16 +180,31 @@ def dct(df: DataFrame, vec: str, out: str, inverse: bool = False) -> DataFrame:
     return (t.transform(df.withColumn("_v", array_to_vector(vec))).withColumn(out, vector_to_array("_t")).drop("_v", "_t"))
 
 
-def keep_largest(vec, k: int) -> Column:
+def keep_largest(vec, k: int | Column) -> Column:
     """Keep the k largest magnitudes of a row (first positions on ties), zero the rest."""
     def whole(v):
         ranked = F.sort_array(F.transform(v, lambda x, i: F.struct((-F.abs(x)).alias("m"), i.alias("i"))))
         # the k-th entry in (magnitude, position) order is the cut
-        return bind(F.get(ranked, F.lit(k - 1)), lambda cut: F.transform(v, lambda x, i: F.when(
+        return bind(F.get(ranked, (k if isinstance(k, Column) else F.lit(k)) - 1), lambda cut: F.transform(v, lambda x, i: F.when(
             F.struct((-F.abs(x)).alias("m"), i.alias("i")) <= cut, x).otherwise(F.lit(0.0))))
     return bind(vec, whole)
 
 
+def sparse_bound(vec, kept, width, block: int = 16) -> Column:
+    """Largest squared error that a sparsified row can have once its kept values are quantised: the energy left out, and half a step for every kept value."""
+    levels = F.pow(F.lit(2.0), col(width) - F.lit(1.0)) - F.lit(1.0)
+
+    def steps(v):
+        def of(part):
+            peak = F.array_max(F.transform(part, F.abs))
+            half = F.pow(F.lit(2.0), F.ceil(F.log2(peak))) / levels / 2
+            return F.when(peak > 0, F.size(F.filter(part, lambda x: x != 0)) * half * half).otherwise(F.lit(0.0))
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / F.lit(float(block))).cast("int") - 1), lambda b: F.slice(v, b * block + 1, F.lit(block)))
+        return F.aggregate(F.transform(parts, of), F.lit(0.0), lambda a, x: a + x)
+
+    return error_energy(vec, kept) + bind(kept, steps)
+
+
 def keep_top_positions(df: DataFrame, k: int, vec: str = "vec", out: str = "kept") -> DataFrame:
     """Keep the k positions with the most energy over the table; the pick is one small row and is broadcast."""
     e = df.select(F.posexplode(vec).alias("p", "x")).groupBy("p").agg(F.sum(F.col("x") * F.col("x")).alias("e"))
@@ -177,6 +213,6 @@ def keep_top_positions(df: DataFrame, k: int, vec: str = "vec", out: str = "kept
             .withColumn(out, F.transform(vec, lambda x, i: F.when(F.array_contains("_top", i), x).otherwise(F.lit(0.0)))).drop("_top"))
 
 
-def sparse_ratio(n: int, k: int, width: int, sample_bits: int = 16) -> float:
+def sparse_ratio(n: int, k, width: int, sample_bits: int = 16):
     """Each kept value costs its mantissa and its position."""
     return n * sample_bits / (k * (width + math.ceil(math.log2(n))))

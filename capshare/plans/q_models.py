@@ -164,24 +164,17 @@ def stored(spark, sf):
 @query("cp_2_low_rank")
 def cp2(spark, sf):
     v = stored(spark, sf)
-    sigma, basis = C.singular_values(v)
-    out = None
-    for rank in (4, 8, 16):
-        n = _nmse(C.apply_basis(v, basis[:, :rank]), "approx").withColumn("rank", F.lit(rank))
-        out = n if out is None else out.unionByName(n)
-    return out.select("rank", r("nmse_db", 5))
+    _, basis = C.singular_values(v)
+    e = C.factor_errors(v, {k: basis[:, :k] for k in (4, 8, 16)}, [0])
+    return e.select("rank", F.round(C.nmse_db("err", "total"), 5).alias("nmse_db"))
 
 
 @query("cp_3_sketch")
 def cp3(spark, sf):
     """Sketch, orthonormal basis, coefficients; both factors quantised."""
     v = stored(spark, sf)
-    basis = C.sketch_basis(v, 12)
-    coded = C.apply_basis(v, basis).withColumn("cq", C.block_float("coef", F.lit(8)))
-    dot = lambda a, c: F.aggregate(F.zip_with(a, c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = [F.array(*[F.lit(float(x)) for x in row]) for row in C.quantised_basis(spark, basis, 8)]
-    coded = coded.withColumn("rec", F.array(*[dot(F.col("cq"), row) for row in rows]))
-    return _nmse(coded, "rec").select(F.lit(12).alias("rank"), r("nmse_db", 5))
+    e = C.factor_errors(v, {12: C.sketch_basis(v, 12)}, [8])
+    return e.select("rank", F.round(C.nmse_db("err", "total"), 5).alias("nmse_db"))
 
 
 _DCT = """, k AS (SELECT unnest(range(64)) AS k), dc AS (SELECT id, k.k, sum(x * cos(pi() * (2 * pos + 1) * k.k / 128.0)) * CASE WHEN k.k = 0 THEN sqrt(1.0 / 64) ELSE sqrt(2.0 / 64) END AS c FROM coords CROSS JOIN k GROUP BY id, k.k)"""
@@ -195,6 +188,21 @@ def cp4(spark, sf):
     return _nmse(C.dct(d, "s", "rec", inverse=True), "rec").select(F.lit(20).alias("kept"), r("nmse_db", 4))
 
 
+@query("cp_4_sparse_quantised", _DCT + """, g AS (SELECT kept, width FROM (VALUES (8), (20), (40)) a(kept) CROSS JOIN (VALUES (6), (10)) b(width)),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(c) DESC, k) AS n FROM dc), s AS (SELECT kept, width, id, k, c, CASE WHEN n <= kept THEN c ELSE 0.0 END AS x FROM rk CROSS JOIN g),
+    p AS (SELECT *, max(abs(x)) OVER (PARTITION BY kept, width, id, k // 16) AS peak, pow(2.0, width - 1) - 1 AS lv FROM s), q AS (SELECT *, CASE WHEN peak > 0 THEN pow(2.0, ceil(log2(peak))) END AS sc FROM p)
+    SELECT kept, width, round(10 * log10(sum(pow(c - coalesce(round_even(x / sc * lv, 0) / lv * sc, x), 2)) / sum(c * c)), 4) AS nmse_db,
+      round(10 * log10(sum(CASE WHEN x = 0 THEN c * c ELSE pow(sc / lv / 2, 2) END) / sum(c * c)), 4) AS bound_db FROM q GROUP BY kept, width""", "coords")
+def cp4q(spark, sf):
+    """Kept coefficients quantised by block floating point, inverted, with the bound: energy left out plus half a step for each kept value."""
+    grid = dims.grid(spark, "kept", [8, 20, 40], "int").crossJoin(dims.grid(spark, "width", [6, 10], "int"))
+    d = C.dct(V.vectors(spark, sf), "vec", "t").crossJoin(F.broadcast(grid)).withColumn("s", C.keep_largest("t", F.col("kept")))
+    d = C.dct(d.withColumn("sq", C.block_float("s", "width")), "sq", "rec", inverse=True)
+    g = d.groupBy("kept", "width").agg(C.nmse_db(F.sum(C.error_energy("vec", "rec")), F.sum(C.energy("vec"))).alias("nmse_db"),
+                                       C.nmse_db(F.sum(C.sparse_bound("t", "s", "width")), F.sum(C.energy("vec"))).alias("bound_db"))
+    return g.select("kept", "width", r("nmse_db", 4), r("bound_db", 4))
+
+
 @query("cp_4_sparse_per_table", _DCT + """, e AS (SELECT k FROM dc GROUP BY k ORDER BY sum(c * c) DESC, k LIMIT 20)
     SELECT 20::INT AS kept, round(10 * log10(sum(CASE WHEN e.k IS NULL THEN c * c ELSE 0 END) / sum(c * c)), 4) AS nmse_db FROM dc LEFT JOIN e ON e.k = dc.k""", "coords")
 def cp4b(spark, sf):
@@ -220,21 +228,22 @@ def cp6(spark, sf):
 
 @query("cp_7_rate_distortion")
 def cp7(spark, sf):
-    """NMSE and ratio of every encoder over its parameters."""
+    """NMSE and ratio of every encoder over its parameters, factors and coefficients quantised to ten bits: four passes over the table."""
     v = stored(spark, sf)
-    n = 64
-    rows = v.count()
-    d = v.crossJoin(F.broadcast(dims.grid(spark, "param", [4, 6, 8, 12], "int")))
-    out = _nmse(d.withColumn("a", C.block_float("vec", "param")), "a", "param").select(
-        F.lit("block_float").alias("encoder"), "param", r("nmse_db", 5), F.round(C.block_ratio("param"), 5).alias("ratio"))
-    sigma, basis = C.singular_values(v)
-    parts = [("low_rank", k, C.apply_basis(v, basis[:, :k]), "approx", C.low_rank_ratio(rows, n, k, 8)) for k in (4, 12)]
-    parts += [("sketch", k, C.apply_basis(v, C.sketch_basis(v, k)), "approx", C.low_rank_ratio(rows, n, k, 8)) for k in (4, 12)]
-    t = C.dct(v, "vec", "t")
-    parts += [("sparse", k, C.dct(t.withColumn("s", C.block_float(C.keep_largest("t", k), F.lit(8))), "s", "rec", inverse=True), "rec", C.sparse_ratio(n, k, 8)) for k in (8, 24)]
-    for name, k, df, col, ratio in parts:
-        out = out.unionByName(_nmse(df, col).select(F.lit(name).alias("encoder"), F.lit(k).alias("param"), r("nmse_db", 5), F.round(F.lit(ratio), 5).alias("ratio")))
-    return out
+    rows, n = v.agg(F.count("*"), F.max(F.size("vec"))).first()
+
+    def curve(name, df, param, nmse, ratio):
+        return df.select(F.lit(name).alias("encoder"), F.col(param).cast("int").alias("param"), F.round(nmse, 5).alias("nmse_db"), F.round(ratio, 5).alias("ratio"))
+
+    d = v.crossJoin(F.broadcast(dims.grid(spark, "param", [4, 6, 8, 10, 12, 16], "int")))
+    out = curve("block_float", _nmse(d.withColumn("a", C.block_float("vec", "param")), "a", "param"), "param", F.col("nmse_db"), C.block_ratio("param"))
+    _, basis = C.singular_values(v)
+    for name, bases in (("low_rank", {k: basis[:, :k] for k in (2, 4, 8, 12, 16, 24, 32)}), ("sketch", {k: C.sketch_basis(v, k) for k in (2, 4, 8, 12, 16, 24)})):
+        e = C.factor_errors(v, bases, [10])
+        out = out.unionByName(curve(name, e, "rank", C.nmse_db("err", "total"), C.low_rank_ratio(rows, n, F.col("rank"), 10)))
+    t = C.dct(v, "vec", "t").crossJoin(F.broadcast(dims.grid(spark, "param", [2, 4, 6, 8, 12, 20, 32, 48], "int")))
+    s = C.dct(t.withColumn("s", C.block_float(C.keep_largest("t", F.col("param")), F.lit(10))), "s", "rec", inverse=True)
+    return out.unionByName(curve("sparse", _nmse(s, "rec", "param"), "param", F.col("nmse_db"), C.sparse_ratio(n, F.col("param"), 10)))
 
 
 @query("cp_8_precision_sweep", """, w AS (SELECT unnest([3, 5, 8, 11]) AS bits), q AS (SELECT bits, label, x, CASE WHEN x = 0 THEN 0.0 ELSE round_even(x * pow(2.0, bits - (floor(log2(abs(x))) + 1)), 0) * pow(2.0, (floor(log2(abs(x))) + 1) - bits) END AS y FROM coords CROSS JOIN w)
@@ -247,14 +256,12 @@ def cp8(spark, sf):
 
 @query("cp_9_rank_under_budget")
 def cp9(spark, sf):
-    """Rank and width that minimise tail plus rounding error within a bit budget."""
+    """Rank and width of the smallest error within a bit budget; every affordable pair is encoded, in one pass."""
     v = stored(spark, sf)
-    sigma, _ = C.singular_values(v)
-    rows, n = v.count(), len(sigma)
-    got = []
-    for share in (0.1, 0.25, 0.5):
-        grid = C.rank_width_grid(sigma, rows, n, share * rows * n * 32)
-        if grid:
-            best = min(grid, key=lambda g: (g[2], g[1]))
-            got.append((share, best[0], best[1], float(np.round(best[2], 9))))
-    return spark.createDataFrame(got, "budget_share double, rank int, width int, error double")
+    rows, n = v.agg(F.count("*"), F.max(F.size("vec"))).first()
+    _, basis = C.singular_values(v)
+    pairs = [(share, k, w) for share in (0.1, 0.25, 0.5) for w, k in C.affordable(rows, n, share * rows * n * 32).items()]
+    e = C.factor_errors(v, {k: basis[:, :k] for k in {k for _, k, _ in pairs}}, sorted({w for *_, w in pairs}))
+    grid = spark.createDataFrame(pairs, "budget_share double, rank int, width int").join(e, ["rank", "width"])
+    best = F.min(F.struct((F.col("err") / F.col("total")).alias("error"), "width", "rank")).alias("b")
+    return grid.groupBy("budget_share").agg(best).select("budget_share", "b.rank", "b.width", F.round("b.error", 9).alias("error"))
