@@ -17,7 +17,7 @@ HEADLINE = [
     "src_5_event_slots", "wn_5_required_rate", "wn_9_window_forecast", "ml_1_training_table", "ml_4_ensemble_scoring_arrow",
     "al_1_water_fill", "al_4_deadline_aware", "al_10_equal_risk", "al_12_two_stage_greedy", "str_4_fifo_replay", "str_5_calibration",
     "ag_1_violation_ratios", "ag_10_summary", "ag_15_forecast_scores", "st_2_bootstrap_reduction", "st_4_holm", "jn_2_as_of_events",
-    "cp_1_block_float", "cp_4_sparse_per_row", "ml_3_quantile_boosting", "st_8_grid_tuning", "wn_10_persistence", "str_1_tumbling_slots", "str_2_sliding_horizons"]
+    "cp_1_block_float", "cp_4_sparse_per_row", "st_8_grid_tuning", "wn_10_persistence", "str_1_tumbling_slots", "str_2_sliding_horizons"]
 
 
 def main() -> None:
