@@ -14,6 +14,7 @@ T0 = dt.datetime(2024, 1, 1)
 def test_twenty_replays_give_the_same_complete_rows(spark):
     light = spark.newSession()
     light.conf.set("spark.sql.shuffle.partitions", "1")
+    light.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     rows = [(i % 3, i // 3, T0 + dt.timedelta(hours=i // 3), 1.0, 2 + i % 5, i % 2, 1) for i in range(240)]
     df = light.createDataFrame(rows, "link_id long, slot long, ts timestamp, priority double, arrived long, violated long, served long").repartition(2).persist()
     want = {(i, w): sum(r[0] == i and r[1] // 8 == w for r in rows) for i in range(3) for w in range(10)}
