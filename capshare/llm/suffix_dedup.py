@@ -6,9 +6,9 @@ all anchors with one hash are brought together, equal surroundings once with the
 
 ``suffix_array`` is the linear grouping construction: suffixes are grouped by first symbol; groups are processed in descending order, every suffix
 finds its previous suffix in a lower group, and those predecessors are split off into higher groups by how often the group follows
-them, which leaves the groups of equal Lyndon prefixes; one ascending pass then emits the order of each group without renaming. Symbols are
-runs of bytes that end at the first of a set of rare bytes, so suffixes at symbol starts sort as bytes do; strings that start inside a
-symbol are matched through the suffix at its end and the bytes before it. Matches count only at equal distance to the anchor, so an occurrence never meets itself.
+them, which leaves the groups of equal Lyndon prefixes; one ascending pass then emits the order of each group without renaming. Matches count only at equal
+distance to the anchor, so an occurrence never meets itself, and symbols are blocks of bytes counted from the anchor; strings that start inside a
+symbol are matched through the suffix at its end and the bytes before it.
 
 * null or empty text, or shorter than ``length``: nothing to remove. Equal texts of ``length`` bytes or more go whole, all of them.
 * repeated rows are texts of their own. Texts of any length are handled; extra columns are ignored; null ids pass. An empty table gives an empty table.
@@ -159,75 +159,62 @@ def _surroundings(length: int, gram: int):
     return run
 
 
-def _tokens(regions: list[bytes], every: bool) -> tuple[list[np.ndarray], int]:
-    """Starts of the symbols of each region; a symbol ends at the first of the rarest bytes, which make up a sixteenth of all."""
-    joined = np.frombuffer(b"".join(regions), np.uint8)
-    counts = np.bincount(joined, minlength=256)
-    order = np.argsort(counts, kind="stable")
-    last = np.zeros(256, bool)
-    last[order[:np.searchsorted(np.cumsum(counts[order]), len(joined) / 16) + 1]] = True
-    if every:
-        last[:] = True
-    starts = []
-    for r in regions:
-        b = np.frombuffer(r, np.uint8)
-        s = np.concatenate([[0], np.flatnonzero(last[b]) + 1])
-        starts.append(s[s < len(b)])
-    return starts, max((int(np.diff(np.concatenate([s, [len(r)]])).max()) for s, r in zip(starts, regions) if len(r)), default=0)
-
-
-def repeated_starts(groups: np.ndarray, regions: list[bytes], offs: np.ndarray, length: int, every: bool = False) -> list[np.ndarray]:
+def _blocks(sizes: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Region and start of every symbol: runs of ``width`` bytes counted from the anchor, the last one of a region cut short. Matches lie at equal
+    distance to the anchor, so all occurrences of a string are cut alike, whatever their bytes are."""
+    first = offs % width
+    counts = np.maximum(-(-(sizes - first) // width), 0)
+    number = np.repeat(np.arange(len(sizes)), counts)
+    return number, first[number] + width * (np.arange(len(number)) - np.repeat(np.cumsum(counts) - counts, counts))
+
+
+def repeated_starts(groups: np.ndarray, regions: list[bytes], offs: np.ndarray, length: int, width: int = 32) -> list[np.ndarray]:
     """For each region, the places where a string of ``length`` bytes starts that another region of its group has at the same distance to the anchor."""
-    starts, longest = _tokens(regions, every)
-    if longest > length // 2:
-        return repeated_starts(groups, regions, offs, length, True)
     k = len(regions)
-    number = np.repeat(np.arange(k), [len(s) for s in starts])
-    begin = np.concatenate(starts)
-    sizes = np.array([len(r) for r in regions])
-    bounds = np.append(begin[1:], 0)
-    end = np.where(np.append(number[1:], -1) == number, bounds, sizes[number])
-    words = [regions[i][a:b] for i, a, b in zip(number.tolist(), begin.tolist(), end.tolist())]
-    rank = {w: i for i, w in enumerate(sorted(set(words)))}
-    # region ends are symbols of their own, below all others, the last one lowest
-    text, where, at = [], [], 0
-    for i, s in enumerate(starts):
-        text += [k + rank[w] for w in words[at:at + len(s)]]
-        text.append(k - 1 - i)
-        where += [*range(at, at + len(s)), -1]
-        at += len(s)
-    order = np.array(where)[suffix_array(text)]
-    order = order[order >= 0]
+    sizes = np.array([len(r) for r in regions], np.int64)
     flat = np.frombuffer(b"".join(regions) + bytes(2 * length), np.uint8)
     base = np.cumsum(sizes) - sizes
-    place = base[number] + begin
-    room = np.minimum(sizes[number] - begin, length)
+    number, begin = _blocks(sizes, offs, width)
+    if not len(number):
+        return [np.empty(0, np.int64)] * k
+    place, room = base[number] + begin, np.minimum(sizes[number] - begin, length)
+    # a symbol is its group, its place relative to the anchor and its bytes; what lies behind the end of the region counts as zeros
+    step = np.arange(width)
+    body = np.where(step < (sizes[number] - begin)[:, None], flat[place[:, None] + step], 0).astype(np.uint8)
+    block = ((begin - offs[number]) // width + (1 << 15)).astype(">u2").view(np.uint8).reshape(-1, 2)
+    name = np.concatenate([groups[number].astype(">u8").view(np.uint8).reshape(-1, 8), block, body], axis=1)
+    _, rank = np.unique(np.ascontiguousarray(name).view(f"S{width + 10}").ravel(), return_inverse=True)
+    # region ends are symbols of their own, below all others, the last one lowest
+    text, where = np.empty(len(number) + k, np.int64), np.full(len(number) + k, -1)
+    text[np.cumsum(np.bincount(number, minlength=k)) + np.arange(k)] = k - 1 - np.arange(k)
+    text[np.arange(len(number)) + number] = rank + k
+    where[np.arange(len(number)) + number] = np.arange(len(number))
+    order = where[suffix_array(text.tolist())]
+    order = order[order >= 0]
     x, y = order[:-1], order[1:]
     common = np.zeros(len(x), np.int64)
+    alike = np.flatnonzero(rank[x] == rank[y])
     step = np.arange(length)
-    for a in range(0, len(x), 4096):
-        p, q = place[x[a:a + 4096]], place[y[a:a + 4096]]
-        differ = flat[p[:, None] + step] != flat[q[:, None] + step]
-        common[a:a + 4096] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    for a in range(0, len(alike), 4096):
+        i = alike[a:a + 4096]
+        differ = flat[place[x[i]][:, None] + step] != flat[place[y[i]][:, None] + step]
+        common[i] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
     common = np.minimum(common, np.minimum(room[x], room[y]))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[flat[:sizes.sum()]] * _up(int(sizes.sum()))[0], dtype=np.uint64)])
     down = _up(int(sizes.sum()))[1]
-    inner = np.where(np.append(-1, number[:-1]) == number, begin - np.append(0, begin[:-1]), 1)
+    # a string that starts d bytes before a symbol: equal suffixes are neighbours, the d bytes are compared by hash; one that starts behind its anchor is judged at its own
+    back, near = np.minimum(width, begin + 1)[order], (begin - offs[number])[order]
+    best = np.maximum(np.append(common, 0), np.append(0, common))
     found_n, found_s = [], []
-    for d in range(int(inner.max(initial=1))):
-        run = np.concatenate([[0], np.cumsum(common < length - d)])
-        live = np.flatnonzero((inner[order] > d) & (room[order] >= length - d))
+    for d in range(width):
+        live = np.flatnonzero((back > d) & (best >= length - d) & (near <= d))
         if not len(live):
             continue
+        run = np.concatenate([[0], np.cumsum(common < length - d)])[live]
         s = order[live]
         head = (total[place[s]] - total[place[s] - d]) * down[place[s] - d]
-        rel = begin[s] - d - offs[number[s]]
-        key = _mixed(run[live].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mixed(head + (rel + length).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) + groups[number[s]].astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-        # strings that hold their anchor: others are judged at their own
-        inside = rel <= 0
-        key, s = key[inside], s[inside]
-        _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-        hit = s[n[back] > 1]
+        _, at, n = np.unique(_mixed(run.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mixed(head)), return_inverse=True, return_counts=True)
+        hit = s[n[at] > 1]
         found_n.append(number[hit])
         found_s.append(begin[hit] - d)
     if not found_n:
@@ -258,8 +245,9 @@ def _shared(group: np.ndarray, sides: list[bytes], most: int) -> np.ndarray:
     n = len(sides)
     size = np.array([len(x) for x in sides])
     flat = np.frombuffer(b"".join(x.ljust(most, b"\0") for x in sides), np.uint8).reshape(n, most)
-    keys = np.concatenate([group.astype(">u8").view(np.uint8).reshape(n, 8), flat], axis=1)
-    order = np.argsort(np.ascontiguousarray(keys).view(f"S{most + 8}").ravel(), kind="stable")
+    # the shorter first where only zeros are added, or it would part two that share zeros of their own
+    keys = np.concatenate([group.astype(">u8").view(np.uint8).reshape(n, 8), flat, size.astype(">u4").view(np.uint8).reshape(n, 4)], axis=1)
+    order = np.argsort(np.ascontiguousarray(keys).view(f"S{most + 12}").ravel(), kind="stable")
     best = np.zeros(n, np.int64)
     for a in range(0, n - 1, 8192):
         x, y = order[a:a + 8192][:n - 1 - a], order[a + 1:a + 8193]
@@ -271,7 +259,7 @@ def _shared(group: np.ndarray, sides: list[bytes], most: int) -> np.ndarray:
     return best
 
 
-def _trimmed(group: np.ndarray, regions: list[bytes], offs: np.ndarray, copies: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
+def _trimmed(group: np.ndarray, regions: list[bytes], offs: np.ndarray, copies: np.ndarray, length: int, gram: int, most: int = 2 << 20) -> list[np.ndarray]:
     """Spans per region of the groups. What a region shares with no other of its group on either side of the anchor is cut off first, and
     what is then equal becomes one: no repeated string is lost, since it lies in the shared part of all its occurrences."""
     side = length - gram
@@ -289,11 +277,18 @@ def _trimmed(group: np.ndarray, regions: list[bytes], offs: np.ndarray, copies:
     keys = list(number)
     groups = np.array([k[0] for k in keys], np.int64)
     own = [np.array([[0, len(k[2])]]) if len(u) > 1 or copies[u[0]] > 1 else np.empty((0, 2), np.int64) for k, u in zip(keys, users)]
-    several = np.flatnonzero(np.bincount(groups)[groups] > 1) if len(keys) else np.empty(0, np.int64)
-    if len(several):
-        found = repeated_starts(groups[several], [keys[i][2] for i in several], np.array([keys[i][1] for i in several]), length)
-        for i, s in zip(several.tolist(), found):
-            if not len(own[i]):
+    # groups of several, some of them not settled yet, as many at a time as make ``most`` bytes
+    whole = np.array([len(x) > 0 for x in own], bool)
+    several = np.flatnonzero((np.bincount(groups)[groups] > 1) & (np.bincount(groups, ~whole)[groups] > 0)) if len(keys) else np.empty(0, np.int64)
+    total = np.cumsum([len(keys[i][2]) for i in several.tolist()])
+    cuts, start = np.flatnonzero(np.diff(groups[several], append=-1)) + 1, 0
+    while start < len(several):
+        ends = cuts[cuts > start]
+        end = int(ends[max(np.searchsorted(total[ends - 1], most + (total[start - 1] if start else 0), "right") - 1, 0)])
+        part, start = several[start:end], end
+        found = repeated_starts(groups[part], [keys[i][2] for i in part.tolist()], np.array([keys[i][1] for i in part.tolist()]), length)
+        for i, s in zip(part.tolist(), found):
+            if not whole[i]:
                 own[i] = _spans(s, length)
     for k, u, spans in zip(keys, users, own):
         for i in u:
@@ -301,7 +296,7 @@ def _trimmed(group: np.ndarray, regions: list[bytes], offs: np.ndarray, copies:
     return out
 
 
-def _matched(length: int, gram: int, batch: int = 60_000):
+def _matched(length: int, gram: int, batch: int = 8192):
     """Rows sorted by h: per distinct surrounding the spans that repeat, relative to its anchor."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -323,12 +318,15 @@ def _matched(length: int, gram: int, batch: int = 60_000):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in _groups(it, ["h"]):
-            # whole groups, a batch at a time
-            cut = np.flatnonzero(np.concatenate([[True], pdf["h"].to_numpy()[1:] != pdf["h"].to_numpy()[:-1]]))
-            for a, b in zip(cut, np.append(cut[1:], len(pdf))):
-                held.append(pdf.iloc[a:b])
-                size += b - a
-                if size * 368 >= 25 * batch:
+            # whole groups, about ``batch`` rows at a time
+            h = pdf["h"].to_numpy()
+            ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+            start = 0
+            while start < len(h):
+                fit = max(int(np.searchsorted(ends, start + batch - size, "right")) - 1, int(np.searchsorted(ends, start, "right")))
+                held.append(pdf.iloc[start:ends[fit]])
+                size, start = size + int(ends[fit]) - start, int(ends[fit])
+                if size >= batch or start < len(h):
                     yield solve(pd.concat(held))
                     held, size = [], 0
         if held:

@@ -177,6 +177,30 @@ def test_suffix_dedup(spark, odd, none, limit):
     assert S.dedup(none).count() == 0
 
 
+def test_repeated_starts():
+    """Regions around one anchor, with NUL bytes, cut at any place, without any rare byte; groups dealt to several suffix arrays."""
+    rng = random.Random(5)
+    for _ in range(60):
+        groups, regions, offs = [], [], []
+        for g in range(rng.randint(1, 5)):
+            core = bytes(rng.choice(b"ab \0c") for _ in range(368))
+            for _ in range(rng.randint(1, 9)):
+                r = bytearray(core)
+                for x in (rng.randrange(368) for _ in range(rng.randint(0, 4))):
+                    if not 168 <= x < 200:
+                        r[x] = rng.choice(b"xyz\0")
+                lo, hi = rng.choice([0, 0, 50, rng.randint(0, 168)]), rng.choice([368, 368, rng.randint(200, 368)])
+                groups.append(g), regions.append(bytes(r[lo:hi])), offs.append(168 - lo)
+        starts = [range(min(o, len(r) - 200) + 1) for r, o in zip(regions, offs)]
+        seen = collections.Counter((g, s - o, r[s:s + 200]) for g, r, o, t in zip(groups, regions, offs, starts) for s in t)
+        want = [[s for s in t if seen[g, s - o, r[s:s + 200]] > 1] for g, r, o, t in zip(groups, regions, offs, starts)]
+        groups, offs = np.array(groups), np.array(offs)
+        assert [x.tolist() for x in S.repeated_starts(groups, regions, offs, 200)] == want
+        for most in (300, 3000, 1 << 20):
+            got = S._trimmed(groups, regions, offs, np.ones(len(groups), np.int64), 200, 32, most)
+            assert [{i for a, b in x.tolist() for i in range(a, b)} for x in got] == [{i for s in w for i in range(s, s + 200)} for w in want]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102)] + [(7, 7)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
