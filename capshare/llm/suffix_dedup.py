@@ -178,12 +178,12 @@ def repeated_starts(groups: np.ndarray, regions: list[bytes], offs: np.ndarray,
     if not len(number):
         return [np.empty(0, np.int64)] * k
     place, room = base[number] + begin, np.minimum(sizes[number] - begin, length)
-    # a symbol is its group, its place relative to the anchor and its bytes; what lies behind the end of the region counts as zeros
-    step = np.arange(width)
-    body = np.where(step < (sizes[number] - begin)[:, None], flat[place[:, None] + step], 0).astype(np.uint8)
+    # a symbol is its group, its place relative to the anchor and its bytes; one that its region cuts short stands before those that go on with zeros
+    step, held = np.arange(width), np.minimum(sizes[number] - begin, width)
+    body = np.where(step < held[:, None], flat[place[:, None] + step], 0).astype(np.uint8)
     block = ((begin - offs[number]) // width + (1 << 15)).astype(">u2").view(np.uint8).reshape(-1, 2)
-    name = np.concatenate([groups[number].astype(">u8").view(np.uint8).reshape(-1, 8), block, body], axis=1)
-    _, rank = np.unique(np.ascontiguousarray(name).view(f"S{width + 10}").ravel(), return_inverse=True)
+    name = np.concatenate([groups[number].astype(">u8").view(np.uint8).reshape(-1, 8), block, body, held.astype(">u2").view(np.uint8).reshape(-1, 2)], axis=1)
+    _, rank = np.unique(np.ascontiguousarray(name).view(f"S{width + 12}").ravel(), return_inverse=True)
     # region ends are symbols of their own, below all others, the last one lowest
     text, where = np.empty(len(number) + k, np.int64), np.full(len(number) + k, -1)
     text[np.cumsum(np.bincount(number, minlength=k)) + np.arange(k)] = k - 1 - np.arange(k)
