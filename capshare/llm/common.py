@@ -1,6 +1,7 @@
 """Shared small pieces of the corpus operators."""
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
@@ -83,6 +84,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a finished step once the driver's collector finds its plan dead. Look now, before the next large step needs the disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, even where ``body`` reads it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

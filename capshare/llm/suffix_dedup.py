@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, settle
+from .common import key_of, numbered, release, settle, settled
 from .jaccard_join import _groups, _mixed, _powers
 
 _rng = np.random.default_rng(77)
@@ -135,8 +135,8 @@ def _scan(length: int, gram: int):
                 for rowid, text in zip(pdf["rowid"].iloc[a:a + 200], pdf["text"].iloc[a:a + 200]):
                     data = (text or "").encode("utf-8")
                     pos, h = anchors(data, length, gram)
-                    out.append((rowid, hashlib.md5(data).digest(), len(data), pos.astype(np.int32), h))
-                yield pd.DataFrame(out, columns=["rowid", "key", "n_bytes", "at", "h"])
+                    out.append((rowid, pos.astype(np.int32), h))
+                yield pd.DataFrame(out, columns=["rowid", "at", "h"])
 
     return run
 
@@ -349,19 +349,30 @@ def _counted(length: int):
 
 def repeats(docs: DataFrame, length: int = 200, gram: int = 32, limit: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: rowid, id, text, whole (goes altogether), spans (arrays lo, hi of places that repeat, overlapping)."""
+    spark = docs.sparkSession
     src = numbered(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("text")], "rowid", "texts")
-    scan = settle(src.select("rowid", "text").mapInPandas(_scan(length, gram), "rowid long, key binary, n_bytes long, at array<int>, h array<long>"), "scan")
-    many = settle(scan.groupBy("key").agg(F.count("*").alias("copies"), F.min("rowid").alias("rep")).where("copies > 1"), "copies")
-    # one row for each distinct text stands for all; the others of long equal texts go whole
-    marked = settle(scan.select("rowid", "key", "n_bytes").join(many, "key", "left").select("rowid", F.coalesce("copies", F.lit(1)).alias("copies"), (F.col("rep").isNull() | (F.col("rep") == F.col("rowid"))).alias("stands"),
-                                                                                           ((F.col("copies") > 1) & (F.col("n_bytes") >= length)).alias("whole")), "marked")
-    stands = marked.where("stands").select("rowid", "copies")
-    grams = settle(scan.select("rowid", "at", "h").join(stands, "rowid").select("rowid", "copies", F.explode(F.arrays_zip("at", "h")).alias("x")).select("rowid", "copies", F.col("x.at").alias("p"), F.col("x.h").alias("h")), "grams")
-    again = settle(grams.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h"), "again")
-    by_text = grams.join(again, "h").groupBy("rowid", "copies").agg(F.collect_list(F.struct("p", "h")).alias("anchors"))
-    placed = src.select("rowid", "text").join(by_text, "rowid").mapInPandas(_surroundings(length, gram), "rowid long, p int, h long, rkey binary, off int, region binary, copies long")
-    placed = settle(placed, "surroundings")
+
+    def standing() -> DataFrame:
+        """One row for each distinct text stands for all; the others of long equal texts go whole."""
+        keys = settle(src.select("rowid", key_of(F.col("text")).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes")), "keys")
+        many = settle(keys.groupBy("key").agg(F.count("*").alias("copies"), F.min("rowid").alias("rep")).where("copies > 1"), "copies")
+        return keys.join(many, "key", "left").select("rowid", F.coalesce("copies", F.lit(1)).alias("copies"), (F.col("rep").isNull() | (F.col("rep") == F.col("rowid"))).alias("stands"),
+                                                     ((F.col("copies") > 1) & (F.col("n_bytes") >= length)).alias("whole"))
+
+    def around() -> DataFrame:
+        """The surroundings of every anchor whose hash is found again."""
+        scan = src.select("rowid", "text").mapInPandas(_scan(length, gram), "rowid long, at array<int>, h array<long>")
+        grams = scan.join(marked.where("stands").select("rowid", "copies"), "rowid").select("rowid", "copies", F.explode(F.arrays_zip("at", "h")).alias("x"))
+        grams = settle(grams.select("rowid", "copies", F.col("x.at").alias("p"), F.col("x.h").alias("h")), "grams")
+        again = settle(grams.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h"), "again")
+        by_text = grams.join(again, "h").groupBy("rowid", "copies").agg(F.collect_list(F.struct("p", "h")).alias("anchors"))
+        return src.select("rowid", "text").join(by_text, "rowid").mapInPandas(_surroundings(length, gram), "rowid long, p int, h long, rkey binary, off int, region binary, copies long")
+
+    marked = settled(spark, "marked", standing)
+    placed = settled(spark, "surroundings", around)
+    release(spark)
     distinct = settle(placed.groupBy("h", "rkey").agg(F.sum("copies").alias("copies"), F.first("off").alias("off"), F.first("region").alias("region")), "distinct")
+    release(spark)
     sizes = settle(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit), "hot")
     shape = "h long, rkey binary, lo array<int>, hi array<int>"
     if sizes.limit(1).count():
