@@ -365,6 +365,7 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 32, limit: int = 50_
         grams = scan.join(marked.where("stands").select("rowid", "copies"), "rowid").select("rowid", "copies", F.explode(F.arrays_zip("at", "h")).alias("x"))
         grams = settle(grams.select("rowid", "copies", F.col("x.at").alias("p"), F.col("x.h").alias("h")), "grams")
         again = settle(grams.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h"), "again")
+        release(spark)
         by_text = grams.join(again, "h").groupBy("rowid", "copies").agg(F.collect_list(F.struct("p", "h")).alias("anchors"))
         return src.select("rowid", "text").join(by_text, "rowid").mapInPandas(_surroundings(length, gram), "rowid long, p int, h long, rkey binary, off int, region binary, copies long")
 
@@ -385,9 +386,11 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 32, limit: int = 50_
         exact = None
     spans = distinct.repartition("h").sortWithinPartitions("h").mapInPandas(_matched(length, gram), shape)
     spans = settle(spans if exact is None else spans.union(exact), "spans")
+    release(spark)
     plus = lambda c: F.transform(c, lambda x: x + F.col("p"))
     single = placed.where("copies = 1").select("rowid", "p", "h", "rkey").join(spans, ["h", "rkey"]).select("rowid", plus("lo").alias("lo"), plus("hi").alias("hi"))
     per_row = settle(single.groupBy("rowid").agg(F.flatten(F.collect_list(F.arrays_zip("lo", "hi"))).alias("spans")), "rows")
+    release(spark)
     info = marked.select("rowid", "whole").join(per_row, "rowid", "left")
     return src.join(info, "rowid")
 
