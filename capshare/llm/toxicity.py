@@ -54,7 +54,8 @@ def select_terms(examples: DataFrame, most: int = 4096, chi: float = 30.0, lift:
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     c, d, all_ = n.pos - a, n.neg - b, float(n.pos + n.neg)
     stat = all_ * (a * d - b * c) ** 2 / F.nullif((a + b) * (c + d) * (a + c) * (b + d), F.lit(0.0))
-    rich = (a / (a + b)) >= lift * n.pos / all_
+    # ``lift`` times the rate, or half of what is left above it where that is less
+    rich = (a / (a + b)) >= min(lift * n.pos / all_, (1 + n.pos / all_) / 2)
     rows = counts.withColumn("chi", stat).where((F.col("chi") >= chi) & rich).orderBy(F.col("chi").desc(), "term").limit(most).collect()
     return sorted(r.term for r in rows)
 

@@ -233,9 +233,12 @@ def test_join(spark, odd, none):
     assert J.join(odd).count() == 9 and J.join(none).count() == 0 and J.one_of_each(odd).columns == odd.columns
 
 
-def test_toxicity(spark, odd, none):
+@pytest.mark.parametrize("tenths", [2, 5, 8])
+def test_toxicity(spark, odd, none, tenths):
+    """Also where half or most of the labels are toxic."""
     rng = random.Random(5)
-    rows = [(i, " ".join(rng.choice(["red", "blue", "green", "tree", "house"]) for _ in range(30)) + (f" vile{rng.choice('abcdefgh')}" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)]
+    bad = [i % 10 < tenths for i in range(400)]
+    rows = [(i, " ".join(rng.choice(["red", "blue", "green", "tree", "house"]) for _ in range(30)) + (f" vile{rng.choice('abcdefgh')}" if bad[i] else ""), int(bad[i])) for i in range(400)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").union(odd.select("doc_id", "text").where("doc_id is null or text is null"))
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(3, None), (None, 1)], "doc_id bigint, toxic int")
     got = {r.id: r for r in toxicity.score(docs, labels, F.col("doc_id") % 4 != 0).collect()}
