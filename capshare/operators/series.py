@@ -47,9 +47,10 @@ class Clock:
 
 
 def slot_events(events: DataFrame, keys: Sequence[str], ts: str, bits: str, origin: str, seconds: float,
-                n_slots: int) -> DataFrame:
-    """Sized events -> dense (key, slot, bits); out-of-range slots are dropped.
+                n_slots: int | None = None) -> DataFrame:
+    """Sized events -> dense (key, slot, bits), from slot 0 at ``origin`` to the last slot that holds an event.
 
+    ``n_slots`` cuts the range on purpose: events outside are then dropped. Events without a time belong to no slot.
     Zero rows for the dense grid are added by union before the one aggregation, so densifying costs no join.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.to_timestamp(F.lit(origin)))
@@ -58,8 +59,20 @@ def slot_events(events: DataFrame, keys: Sequence[str], ts: str, bits: str, orig
     return densify(hits, keys, "bits", n_slots)
 
 
-def densify(hits: DataFrame, keys: Sequence[str], value: str, n_slots: int) -> DataFrame:
-    """Sum of ``value`` per (key, slot) on the full grid 0..n_slots-1."""
+def span(hits: DataFrame) -> int:
+    """How many slots the events reach: last slot + 1, one aggregate. Events before slot 0 are refused, not dropped."""
+    ends = hits.agg(F.min("slot").alias("first"), F.max("slot").alias("last")).first()
+    if ends["last"] is None:
+        return 0
+    if ends["first"] < 0:
+        raise ValueError(f"events from slot {ends['first']}: give an earlier origin")
+    return int(ends["last"]) + 1
+
+
+def densify(hits: DataFrame, keys: Sequence[str], value: str, n_slots: int | None = None) -> DataFrame:
+    """Sum of ``value`` per (key, slot) on the full grid 0..n_slots-1, all slots of the events if not given."""
+    if n_slots is None:
+        n_slots = span(hits.select("slot"))
     hits = hits.where(F.col("slot").between(0, n_slots - 1)).select(*keys, "slot", value)
     grid = (hits.select(*keys).distinct()
             .select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_slots - 1).cast("bigint"))).alias("slot"),

@@ -12,7 +12,7 @@ _levels = "[0.05, 0.25, 0.5, 0.75, 0.9, 0.95]"
 def _roll(h: int) -> str:
     """Rate and critical length of the last ``h`` slots before boundary ``e`` (theta join over window pairs)."""
     return f"""SELECT cell_id, e, arg_max(len, k) AS crit, max(r) AS rate FROM (
-        SELECT a.cell_id, unnest(range(b.slot, least(a.slot + {h}, 358) + 1)) AS e, b.slot - a.slot AS len,
+        SELECT a.cell_id, unnest(range(b.slot, least(a.slot + {h}, (SELECT n FROM weeks)) + 1)) AS e, b.slot - a.slot AS len,
                (b.cs - a.cs) / (b.slot - a.slot + a.deadline)::DOUBLE AS r,
                {{'r': (b.cs - a.cs) / (b.slot - a.slot + a.deadline)::DOUBLE, 's': -a.slot, 'e': -b.slot}} AS k
         FROM pre a JOIN pre b ON a.cell_id = b.cell_id AND b.slot BETWEEN a.slot + 1 AND a.slot + {h}) GROUP BY ALL"""
@@ -45,18 +45,19 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "scenarios": ((), f"SELECT * FROM (VALUES {_scen}) v(scenario, family, load)"),
     "hits": ((), """SELECT l_suppkey AS cell_id, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) // 7 AS slot,
         CAST(round(l_quantity) AS BIGINT) AS fh_bits FROM lineitem"""),
-    "slots": (("hits", "classes"), """SELECT g.cell_id // 8 AS link_id, g.cell_id, g.slot, coalesce(h.fh_bits, 0)::BIGINT AS fh_bits,
+    "weeks": (("hits",), "SELECT max(slot) + 1 AS n FROM hits"),
+    "slots": (("hits", "classes", "weeks"), """SELECT g.cell_id // 8 AS link_id, g.cell_id, g.slot, coalesce(h.fh_bits, 0)::BIGINT AS fh_bits,
         c.class, c.name, c.deadline, c.priority, c.se, c.layers, (coalesce(h.fh_bits, 0) * 100)::BIGINT AS arrivals_bits
-        FROM (SELECT cell_id, s.slot FROM (SELECT DISTINCT cell_id FROM hits) CROSS JOIN range(358) s(slot)) g
+        FROM (SELECT cell_id, s.slot FROM (SELECT DISTINCT cell_id FROM hits) CROSS JOIN range((SELECT n FROM weeks)) s(slot)) g
         JOIN classes c ON c.class = g.cell_id % 8
         LEFT JOIN (SELECT cell_id, slot, sum(fh_bits) AS fh_bits FROM hits GROUP BY ALL) h ON h.cell_id = g.cell_id AND h.slot = g.slot"""),
     "event_hits": ((), """SELECT user_id AS cell_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS slot,
         CAST(round(value * 100) AS BIGINT) AS bits, event_type, event_id FROM events"""),
     "event_slots": (("event_hits",), """SELECT g.cell_id, g.slot, coalesce(h.bits, 0)::BIGINT AS bits
-        FROM (SELECT cell_id, s.slot FROM (SELECT DISTINCT cell_id FROM event_hits) CROSS JOIN range(720) s(slot)) g
+        FROM (SELECT cell_id, s.slot FROM (SELECT DISTINCT cell_id FROM event_hits) CROSS JOIN range((SELECT max(slot) + 1 FROM event_hits)) s(slot)) g
         LEFT JOIN (SELECT cell_id, slot, sum(bits) AS bits FROM event_hits GROUP BY ALL) h ON h.cell_id = g.cell_id AND h.slot = g.slot"""),
     "pre": (("slots",), """SELECT cell_id, deadline, slot, sum(fh_bits) OVER (PARTITION BY cell_id ORDER BY slot)::BIGINT - fh_bits AS cs FROM slots
-        UNION ALL SELECT cell_id, any_value(deadline), 358, sum(fh_bits)::BIGINT FROM slots GROUP BY cell_id"""),
+        UNION ALL SELECT cell_id, any_value(deadline), (SELECT n FROM weeks), sum(fh_bits)::BIGINT FROM slots GROUP BY cell_id"""),
     "roll5": (("pre",), _roll(5)),
     "roll22": (("pre",), _roll(22)),
     "feat5": (("slots", "roll5"), _feat(4, 1, "roll5")),
@@ -87,17 +88,17 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         JOIN ewma5 w ON w.cell_id = o.cell_id AND w.epoch = o.epoch
         JOIN roll5 p ON p.cell_id = o.cell_id AND p.e = o.obs_slot
         JOIN roll5 l ON l.cell_id = o.cell_id AND l.e = o.obs_slot + 5
-        WHERE o.obs_slot >= 35 AND o.epoch <= 358 - 4 - 1) d"""),
+        WHERE o.obs_slot >= 35 AND o.epoch <= (SELECT n FROM weeks) - 4 - 1) d"""),
     "runs": ((), """SELECT o_orderpriority AS scenario, c_mktsegment AS method, o_orderkey % 20 AS seed,
         sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / count(*) / 5e8 AS wvr,
         sum(CAST(round(c_acctbal * 100) AS BIGINT))::DOUBLE / count(*) / 1e7 AS vr,
         max(CAST(round(o_totalprice * 100) AS BIGINT)) / 1e8 AS ll, min(CAST(round(o_totalprice * 100) AS BIGINT)) / 1e8 AS embb,
         count(*)::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""),
-    "run_slots": (("classes",), """SELECT l_suppkey // 8 AS link_id, l_suppkey AS cell_id, slot, age, deadline, priority, name, bits AS arrived,
+    "run_slots": (("classes", "weeks"), """SELECT l_suppkey // 8 AS link_id, l_suppkey AS cell_id, slot, age, deadline, priority, name, bits AS arrived,
         CASE WHEN l_returnflag = 'R' THEN bits ELSE 0 END AS violated, CASE WHEN l_returnflag = 'R' THEN 0 ELSE bits END AS served FROM (
         SELECT l_suppkey, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) // 7 AS slot,
         CAST(round(l_quantity) AS BIGINT) AS bits, l_returnflag, l_linenumber AS age FROM lineitem) JOIN classes c ON c.class = l_suppkey % 8
-        WHERE slot BETWEEN 0 AND 357"""),
+        WHERE slot >= 0"""),
     "bench_rows": ((), """SELECT l_linenumber::BIGINT AS dim, l_returnflag AS method, l_extendedprice AS ms, l_discount AS residual, l_tax AS rel_err FROM lineitem"""),
     "vectors": ((), "SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings"),
     "coords": (("vectors",), "SELECT id, label, unnest(range(64)) AS pos, unnest(vec) AS x FROM vectors"),

@@ -24,11 +24,11 @@ def r(name, n=6):
 
 _TRAIN = (", ".join(f"{c} / 150.0 AS {c}" for c in NAMES) + ", 1.0::DOUBLE AS se_rel, deadline / 5.0::DOUBLE AS deadline_rel, "
           + ", ".join(f"(cell_id % 8 = {i})::INT::DOUBLE AS cell_{i}" for i in range(8)) + ", label / 150.0 AS y")
-_TR = f", tr AS (SELECT link_id, cell_id, epoch, {_TRAIN} FROM feat5 WHERE obs_slot >= 35 AND epoch < 358 - 4)"
+_TR = f", tr AS (SELECT link_id, cell_id, epoch, {_TRAIN} FROM feat5 WHERE obs_slot >= 35 AND epoch < (SELECT n FROM weeks) - 4)"
 
 
 def train(spark, sf, sustain=False):
-    return TR.training_table(V.epochs_features(spark, sf), V.FAST, F.lit(V.CELL_CAP), V.N_WEEKS, sustain)
+    return TR.training_table(V.epochs_features(spark, sf), V.FAST, F.lit(V.CELL_CAP), V.weeks(spark, sf), sustain)
 
 
 @query("ml_1_training_table", _TR + "SELECT link_id, cell_id, epoch, " + ", ".join(f"round({c}, 6) AS {c}" for c in ALL + ["y"]) + " FROM tr", "feat5")
@@ -39,7 +39,7 @@ def ml1(spark, sf):
     return spark.read.parquet(path).select(*ID, *[r(c) for c in ALL + ["y"]])
 
 
-@query("ml_1_training_table_sustain", "SELECT link_id, cell_id, epoch, round(greatest(label, label_mean) / 150.0, 6) AS y FROM feat5 WHERE obs_slot >= 35 AND epoch < 358 - 4", "feat5")
+@query("ml_1_training_table_sustain", "SELECT link_id, cell_id, epoch, round(greatest(label, label_mean) / 150.0, 6) AS y FROM feat5 WHERE obs_slot >= 35 AND epoch < (SELECT n FROM weeks) - 4", "feat5")
 def ml1b(spark, sf):
     return train(spark, sf, True).select(*ID, r("y"))
 
@@ -101,31 +101,35 @@ def ml4b(spark, sf):
     return s.select(*ID, *[F.round(F.get("q", F.lit(i)), 6).alias(f"q{i + 1}") for i in range(6)])
 
 
-@query("ml_5_window_forecast_scores", """, e AS (SELECT link_id, cell_id, slot AS o, slot + 2 AS epoch FROM slots WHERE slot >= 154 AND (slot - 154) % 20 = 0 AND slot + 2 < 358 - 20),
+@query("ml_5_window_forecast_scores", """, e AS (SELECT link_id, cell_id, slot AS o, slot + 2 AS epoch FROM slots WHERE slot >= 154 AND (slot - 154) % 20 = 0 AND slot + 2 < (SELECT n FROM weeks) - 20),
     f AS (SELECT e.link_id, e.cell_id, e.epoch, e.o, list_transform(quantile_cont(r.rate, [0.05, 0.25, 0.5, 0.75, 0.9, 0.95]), lambda v: v / 150.0) AS q FROM e JOIN roll22 r ON r.cell_id = e.cell_id AND r.e <= e.o AND r.e >= 22 AND (e.o - r.e) % 22 = 0 AND r.e > e.o - 660 GROUP BY ALL),
     fy AS (SELECT f.*, l.rate / 150.0 AS y FROM f JOIN roll22 l ON l.cell_id = f.cell_id AND l.e = f.o + 22) """ + score_sql("fy", "link_id"), "slots roll22")
 def ml5(spark, sf):
     """The evaluation protocol: epochs every T slots from 7 H + tau on."""
     clock = series.Clock(20, 2, (7 * 22 + 2) % 20)
     rates = V.rates(spark, sf, clock)
-    q = series.window_forecast(V.packed(spark, sf, clock), clock).where((F.col("obs_slot") >= 154) & (F.col("epoch") < V.N_WEEKS - 20))
+    q = series.window_forecast(V.packed(spark, sf, clock), clock).where((F.col("obs_slot") >= 154) & (F.col("epoch") < V.weeks(spark, sf) - 20))
     y = rates.where(series.owned(clock.chunk)).select("link_id", "cell_id", (F.col("slot") + 1 - 20).alias("epoch"), (F.col("rate") / V.CELL_CAP).alias("y"))
     j = q.join(y, ID).withColumn("q", F.transform("q", lambda v: v / V.CELL_CAP))
     return SC.forecast_scores(j, ["link_id"], "y", "q")
 
 
-@query("ml_6_phase_forecast", """, cuts AS (SELECT cell_id, quantile_cont(fh_bits, 0.45) AS c1, quantile_cont(fh_bits, 0.85) AS c2 FROM slots WHERE slot < 220 GROUP BY cell_id),
+@query("ml_6_phase_forecast", """, cut AS (SELECT n * 5 // 8 AS c FROM weeks), cuts AS (SELECT cell_id, quantile_cont(fh_bits, 0.45) AS c1, quantile_cont(fh_bits, 0.85) AS c2 FROM slots WHERE slot < (SELECT c FROM cut) - 5 GROUP BY cell_id),
     ph AS (SELECT s.cell_id, s.slot, (c1 <= fh_bits)::INT + (c2 <= fh_bits)::INT AS phase FROM slots s JOIN cuts USING (cell_id)),
     st AS (SELECT o.cell_id, o.epoch, ph.phase, r.rate FROM epochs5 o JOIN ph ON ph.cell_id = o.cell_id AND ph.slot = o.obs_slot - 1 JOIN roll5 r ON r.cell_id = o.cell_id AND r.e = o.obs_slot + 5),
-    fit AS (SELECT cell_id, phase, quantile_cont(rate, [0.05, 0.25, 0.5, 0.75, 0.9, 0.95]) AS q, count(*) AS seen FROM st WHERE epoch <= 212 GROUP BY ALL)
-    SELECT st.cell_id, st.epoch, st.phase, fit.seen::BIGINT AS seen, """ + ", ".join(f"round(q[{i}] + 1e-9, 5) AS q{i}" for i in range(1, 7)) + " FROM st JOIN fit USING (cell_id, phase) WHERE st.epoch > 220", "epochs5 slots roll5")
+    fit AS (SELECT cell_id, phase, quantile_cont(rate, [0.05, 0.25, 0.5, 0.75, 0.9, 0.95]) AS q, count(*) AS seen FROM st WHERE epoch + 4 <= (SELECT c FROM cut) GROUP BY ALL)
+    SELECT st.cell_id, st.epoch, st.phase, fit.seen::BIGINT AS seen, """ + ", ".join(f"round(q[{i}] + 1e-9, 5) AS q{i}" for i in range(1, 7)) + " FROM st JOIN fit USING (cell_id, phase) WHERE st.epoch + 4 > (SELECT c FROM cut)", "epochs5 slots roll5")
 def ml6(spark, sf):
-    s = V.slots(spark, sf).select("cell_id", "slot", "fh_bits")
-    cuts = s.where("slot < 220").groupBy("cell_id").agg(F.percentile("fh_bits", F.array(F.lit(0.45), F.lit(0.85))).alias("c"))
+    """Phases and rates of the first five eighths of the series, read at every later epoch. An epoch whose horizon crosses the cut counts as
+    later; thresholds end one horizon before the cut, so none of them sees what comes after its observation."""
+    n = V.weeks(spark, sf)
+    cut = n * 5 // 8
+    s = V.slots(spark, sf, n).select("cell_id", "slot", "fh_bits")
+    cuts = s.where(F.col("slot") < cut - V.FAST.horizon).groupBy("cell_id").agg(F.percentile("fh_bits", F.array(F.lit(0.45), F.lit(0.85))).alias("c"))
     ph = s.join(cuts, "cell_id").select("cell_id", (F.col("slot") + 1).alias("obs_slot"), F.size(F.filter("c", lambda c: c <= F.col("fh_bits"))).alias("phase"))
     rates = V.rates(spark, sf).where(series.owned(V.FAST.chunk)).select("cell_id", (F.col("slot") + 1 - V.FAST.horizon).alias("obs_slot"), "rate")
     st = rates.where((F.col("obs_slot") + 1) % 4 == 0).join(ph, ["cell_id", "obs_slot"]).withColumn("epoch", F.col("obs_slot") + 1)
-    f = TR.phase_forecast(st.where("epoch <= 212"), st.where("epoch > 220").drop("rate"))
+    f = TR.phase_forecast(st.where(F.col("epoch") + V.FAST.interval <= cut), st.where(F.col("epoch") + V.FAST.interval > cut).drop("rate"))
     return f.select("cell_id", "epoch", "phase", "seen", *[F.round(F.get("q", F.lit(i)) + 1e-9, 5).alias(f"q{i + 1}") for i in range(6)])
 
 

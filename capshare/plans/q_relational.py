@@ -77,7 +77,7 @@ def src4(spark, sf):
 @query("src_5_event_slots", "SELECT cell_id, slot, bits FROM event_slots", "event_slots")
 def src5(spark, sf):
     e = V.table(spark, sf, "events").select(F.col("user_id").alias("cell_id"), "ts", F.round(F.col("value") * 100).alias("bits"))
-    return series.slot_events(e, ["cell_id"], "ts", "bits", "2024-01-01", 3600, V.N_HOURS)
+    return series.slot_events(e, ["cell_id"], "ts", "bits", "2024-01-01", 3600)
 
 
 @query("snk_1_trace_write_once", "SELECT class, count(*)::BIGINT AS n, sum(fh_bits)::BIGINT AS bits FROM slots GROUP BY class", "slots")
@@ -153,14 +153,15 @@ def jn2(spark, sf):
     return R.delayed_state(s, st, ["cell_id"], 20, 2).select("cell_id", "epoch", "obs_slot", r("se"), "queue", "hol")
 
 
-@query("jn_2_as_of_events", """, d AS (SELECT DISTINCT cell_id, (h.h * 6 + 3) * 3600000000 AS t FROM event_hits CROSS JOIN range(120) h(h)),
+@query("jn_2_as_of_events", """, d AS (SELECT DISTINCT cell_id, (h.h * 6 + 3) * 3600000000 AS t FROM event_hits CROSS JOIN range((SELECT max(slot) // 6 + 1 FROM event_hits)) h(h)),
     ev AS (SELECT user_id AS cell_id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS t, max(round(value * 100))::BIGINT AS v FROM events GROUP BY ALL)
     SELECT d.cell_id, d.t, e.v FROM d ASOF LEFT JOIN ev e ON d.cell_id = e.cell_id AND d.t > e.t""", "event_hits")
 def jn2b(spark, sf):
     us = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
     ev = (V.table(spark, sf, "events").select(F.col("user_id").alias("cell_id"), us.alias("t"), F.round(F.col("value") * 100).cast("bigint").alias("v"))
           .groupBy("cell_id", "t").agg(F.max("v").alias("v")))
-    d = ev.select("cell_id").distinct().select("cell_id", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("h")).select(
+    last = series.span(V.event_hits(spark, sf).select("slot")) - 1
+    d = ev.select("cell_id").distinct().select("cell_id", F.explode(F.sequence(F.lit(0), F.lit(last // 6))).alias("h")).select(
         "cell_id", ((F.col("h") * 6 + 3) * F.lit(3_600_000_000)).alias("t"))
     return R.last_before(d, ev, ["cell_id"], "t", "v", 5 * 86_400_000_000)
 
@@ -255,10 +256,10 @@ def jn12(spark, sf):
     SELECT link_id, round(avg(e1), 6) AS window_mae, round(avg(e2), 6) AS persist_mae, count(*)::BIGINT AS n FROM s GROUP BY link_id""", "dec")
 def jn13(spark, sf):
     """Two forecasts scored on identical rows: predictions meet on the row key before either is scored."""
-    rates = V.rates(spark, sf)
+    rates, n = V.rates(spark, sf), V.weeks(spark, sf)
     key = ["link_id", "cell_id", "epoch"]
-    a = series.window_forecast(V.packed(spark, sf), V.FAST).where(V.full_epochs()).select(*key, A.median_of().alias("p1"))
-    b = series.features(rates, V.FAST).where(V.full_epochs()).select(*key, F.col("rstar_lag_1").alias("p2"), "label")
+    a = series.window_forecast(V.packed(spark, sf, n=n), V.FAST).where(V.full_epochs(n)).select(*key, A.median_of().alias("p1"))
+    b = series.features(rates, V.FAST).where(V.full_epochs(n)).select(*key, F.col("rstar_lag_1").alias("p2"), "label")
     return a.join(b, key).groupBy("link_id").agg(F.round(F.avg(F.abs(F.col("label") - F.col("p1"))), 6).alias("window_mae"),
                                                  F.round(F.avg(F.abs(F.col("label") - F.col("p2"))), 6).alias("persist_mae"), F.count("*").alias("n"))
 

@@ -77,10 +77,10 @@ def ag7(spark, sf):
 
 @query("ag_8_cell_report", """, p AS (SELECT cell_id, slot, any_value(name) AS name, sum(arrived) AS a, sum(served) AS s, sum(violated) AS v, sum(served * age) AS sa, max(age) AS m FROM run_slots GROUP BY cell_id, slot)
     SELECT cell_id, any_value(name) AS name, sum(a)::BIGINT AS arrived, sum(s)::BIGINT AS served, sum(v)::BIGINT AS violated, round(sum(v)::DOUBLE / sum(a), 6) AS violation_ratio,
-    round(sum(sa)::DOUBLE / sum(s), 6) AS mean_delay, max(m)::BIGINT AS max_delay, round(sum(a * 1.25) / 358, 6) AS mean_budget, round(sum(s) / 358.0, 6) AS mean_used,
-    round(sum(a) / 358.0, 6) AS mean_demand, round(sum(a - s) / 358.0, 6) AS mean_backlog FROM p GROUP BY cell_id""", "run_slots")
+    round(sum(sa)::DOUBLE / sum(s), 6) AS mean_delay, max(m)::BIGINT AS max_delay, round(sum(a * 1.25) / (SELECT n FROM weeks), 6) AS mean_budget, round(sum(s) / (SELECT n::DOUBLE FROM weeks), 6) AS mean_used,
+    round(sum(a) / (SELECT n::DOUBLE FROM weeks), 6) AS mean_demand, round(sum(a - s) / (SELECT n::DOUBLE FROM weeks), 6) AS mean_backlog FROM p GROUP BY cell_id""", "run_slots")
 def ag8(spark, sf):
-    n = F.lit(float(V.N_WEEKS))
+    n = F.lit(float(V.weeks(spark, sf)))
     return V.run_slots(spark, sf).groupBy("cell_id").agg(
         F.first("name").alias("name"), F.sum("arrived").alias("arrived"), F.sum("served").alias("served"), F.sum("violated").alias("violated"),
         F.round(F.sum("violated") / F.sum("arrived"), 6).alias("violation_ratio"),

@@ -167,28 +167,28 @@ _FIFO = f""", inp AS (SELECT cell_id, slot, deadline, fh_bits::DOUBLE AS a, {_AL
 
 @query("str_4_fifo_replay", _FIFO + " SELECT cell_id, slot, round(served, 6) AS served, round(violated, 6) AS violated, round(queue, 6) AS queue, hol FROM ff WHERE slot >= 0", "slots", recursive=True)
 def str4(spark, sf):
-    out = RE.per_slot(RE.replay(replay_input(spark, sf), ["cell_id"], V.N_WEEKS), ["cell_id"])
+    out = RE.per_slot(RE.replay(replay_input(spark, sf), ["cell_id"], V.weeks(spark, sf)), ["cell_id"])
     return out.select("cell_id", "slot", r("served"), r("violated"), r("queue"), "hol")
 
 
 @query("str_4_fifo_replay_chunked", _FIFO + " SELECT cell_id, slot, round(served, 6) AS served, round(violated, 6) AS violated, round(queue, 6) AS queue, hol FROM ff WHERE slot >= 0", "slots", recursive=True)
 def str4b(spark, sf):
     """The same replay with four chunks per cell, settled in rounds."""
-    out = RE.per_slot(RE.replay(replay_input(spark, sf), ["cell_id"], V.N_WEEKS, chunk=100), ["cell_id"])
+    out = RE.per_slot(RE.replay(replay_input(spark, sf), ["cell_id"], V.weeks(spark, sf), chunk=100), ["cell_id"])
     return out.select("cell_id", "slot", r("served"), r("violated"), r("queue"), "hol")
 
 
 @query("str_4_delay_histogram", _FIFO + """, ex AS (SELECT cell_id, unnest(range(len(taken))) AS age, unnest(taken) AS b FROM ff WHERE slot >= 0)
     SELECT cell_id, age, round(sum(b), 5) AS bits FROM ex GROUP BY ALL""", "slots", recursive=True)
 def str4c(spark, sf):
-    h = RE.delay_histogram(RE.replay(replay_input(spark, sf), ["cell_id"], V.N_WEEKS), ["cell_id"])
+    h = RE.delay_histogram(RE.replay(replay_input(spark, sf), ["cell_id"], V.weeks(spark, sf)), ["cell_id"])
     return h.select("cell_id", F.col("age").cast("bigint").alias("age"), r("bits", 5))
 
 
 @query("wn_18_delayed_state", _FIFO + """ SELECT cell_id, slot, round(lag(queue, 3, 0.0) OVER w, 6) AS queue_seen, lag(hol, 3, 0::BIGINT) OVER w AS hol_seen FROM ff WHERE slot >= 0 WINDOW w AS (PARTITION BY cell_id ORDER BY slot)""", "slots", recursive=True)
 def wn18(spark, sf):
     """Queue and age seen at slot t with delay 2: the values after slot t - 3, by equi join on the shifted slot."""
-    s = RE.per_slot(RE.replay(replay_input(spark, sf), ["cell_id"], V.N_WEEKS), ["cell_id"])
+    s = RE.per_slot(RE.replay(replay_input(spark, sf), ["cell_id"], V.weeks(spark, sf)), ["cell_id"])
     past = s.select("cell_id", (F.col("slot") + 3).alias("slot"), "queue", "hol")
     return s.select("cell_id", "slot").join(past, ["cell_id", "slot"], "left").select(
         "cell_id", "slot", F.round(F.coalesce("queue", F.lit(0.0)), 6).alias("queue_seen"), F.coalesce("hol", F.lit(0)).alias("hol_seen"))
@@ -228,12 +228,12 @@ _SAND = """, hz AS (SELECT o.cell_id, o.epoch, o.deadline, o.obs_slot, r.rate AS
 def al16(spark, sf):
     from pyspark.sql import Window as W
     from ..functions.demand import required_rate
-    clock = V.SLOW
-    s = V.slots(spark, sf).select("cell_id", "slot", "deadline", "fh_bits")
+    clock, n = V.SLOW, V.weeks(spark, sf)
+    s = V.slots(spark, sf, n).select("cell_id", "slot", "deadline", "fh_bits")
     # horizons overlap by the delay: a slot belongs to at most two of them
     k = F.floor((F.col("slot") + clock.delay) / clock.interval)
     near = F.filter(F.array(k - 1, k), lambda j: (j >= 1) & (F.col("slot") >= j * clock.interval - clock.delay) & (F.col("slot") < (j + 1) * clock.interval))
-    h = s.withColumn("j", F.explode(near)).withColumn("epoch", F.col("j") * clock.interval).where(F.col("epoch") + clock.interval <= V.N_WEEKS)
+    h = s.withColumn("j", F.explode(near)).withColumn("epoch", F.col("j") * clock.interval).where(F.col("epoch") + clock.interval <= n)
     h = h.groupBy("cell_id", "epoch").agg(F.first("deadline").alias("deadline"), F.sort_array(F.collect_list(F.struct("slot", "fh_bits"))).alias("a"))
     h = h.select("cell_id", "epoch", "deadline", F.col("a.fh_bits").cast("array<double>").alias("a")).withColumn("rstar", required_rate("a", "deadline"))
     h = h.join(h.groupBy("cell_id").agg(F.percentile("rstar", 0.5).alias("rate")), "cell_id")

@@ -10,14 +10,12 @@ from ..operators import series
 from ..operators.series import Clock
 from ..sources import dims
 
-N_WEEKS = 358
-N_HOURS = 720
 CELLS_PER_LINK = 8
 CAPACITY = 360.0
 CELL_CAP = 150.0
 UNIT = 2.0
 BITS_PER_UNIT = 100
-FAST = Clock(interval=4, delay=1)       # many epochs on 358 slots
+FAST = Clock(interval=4, delay=1)       # many epochs on a short series
 SLOW = Clock(interval=20, delay=2)      # the default timing
 
 
@@ -33,9 +31,14 @@ def hits(spark, sf) -> DataFrame:
         F.round("l_quantity").cast("bigint").alias("fh_bits"))
 
 
-def slots(spark, sf) -> DataFrame:
-    """Dense (link, cell, slot) series with the class attributes of the cell."""
-    dense = series.densify(hits(spark, sf), ["cell_id"], "fh_bits", N_WEEKS)
+def weeks(spark, sf) -> int:
+    """Slots of the shipments: one aggregate over one column."""
+    return series.span(hits(spark, sf).select("slot"))
+
+
+def slots(spark, sf, n: int | None = None) -> DataFrame:
+    """Dense (link, cell, slot) series with the class attributes of the cell; ``n`` where ``weeks`` is known already."""
+    dense = series.densify(hits(spark, sf), ["cell_id"], "fh_bits", n)
     dense = dense.withColumn("link_id", F.floor(F.col("cell_id") / CELLS_PER_LINK).cast("bigint"))
     return dims.with_cells(dense, dims.cell_classes(spark)).withColumn(
         "arrivals_bits", F.col("fh_bits") * BITS_PER_UNIT)
@@ -49,15 +52,15 @@ def event_hits(spark, sf) -> DataFrame:
 
 
 def event_slots(spark, sf) -> DataFrame:
-    return series.densify(event_hits(spark, sf), ["cell_id"], "bits", N_HOURS)
+    return series.densify(event_hits(spark, sf), ["cell_id"], "bits")
 
 
 def rates(spark, sf, clock: Clock = FAST) -> DataFrame:
     return series.rate_series(slots(spark, sf), clock)
 
 
-def packed(spark, sf, clock: Clock = FAST) -> DataFrame:
-    return series.packed_rates(slots(spark, sf), clock)
+def packed(spark, sf, clock: Clock = FAST, n: int | None = None) -> DataFrame:
+    return series.packed_rates(slots(spark, sf, n), clock)
 
 
 def epochs_features(spark, sf, clock: Clock = FAST) -> DataFrame:
@@ -68,14 +71,14 @@ def observations(spark, sf, clock: Clock = FAST) -> DataFrame:
     return series.state_ages(slots(spark, sf), clock)
 
 
-def full_epochs(clock: Clock = FAST, blocks: int = K.LAG_BLOCKS + 1):
-    """Epochs with enough history and a full horizon ahead."""
-    return series.enough_history(clock, blocks) & (F.col("epoch") <= N_WEEKS - clock.interval - 1)
+def full_epochs(n: int, clock: Clock = FAST, blocks: int = K.LAG_BLOCKS + 1):
+    """Epochs with enough history and a full horizon ahead in ``n`` slots."""
+    return series.enough_history(clock, blocks) & (F.col("epoch") <= n - clock.interval - 1)
 
 
 def decisions(spark, sf, clock: Clock = FAST, with_label: bool = False) -> DataFrame:
     """One row per (link, epoch, cell) with everything an allocation rule may use, read from the packed chunks in one pass."""
-    h = clock.horizon
+    h, n = clock.horizon, weeks(spark, sf)
     alpha = 2.0 / (clock.interval + 1.0)
 
     def fields(slot, pos):
@@ -91,12 +94,12 @@ def decisions(spark, sf, clock: Clock = FAST, with_label: bool = False) -> DataF
                 "label_mean": series.total(ahead) / F.size(ahead), "queue_fh": series.total(series.before("vals", pos, 0, 3)),
                 "_e": ewma, "_idle": idle}
 
-    d = series.at_epochs(packed(spark, sf, clock), clock, fields)
+    d = series.at_epochs(packed(spark, sf, clock, n), clock, fields)
     hol = F.least(F.when(F.col("_idle") > 0, F.col("_idle") - 1).otherwise(F.col("obs_slot")), F.col("deadline")).cast("bigint")
     out = d.select("link_id", "cell_id", "epoch", "obs_slot", "deadline", "queue_fh", hol.alias("hol_age"), (F.col("_e.v") / F.col("_e.w")).alias("ewma"),
                    "persist", "label", "label_mean", sorted_quantiles("recent").alias("q"),
                    series.volume_of(F.col("lengths"), F.col("deadline"), clock.interval).alias("volume"))
-    out = out.where(full_epochs(clock))
+    out = out.where(full_epochs(n, clock))
     pr = dims.cell_classes(spark).select("class", "priority")
     out = dims.with_cells(out, pr)
     return out.withColumns({
@@ -129,7 +132,7 @@ def run_slots(spark, sf) -> DataFrame:
         F.col("l_suppkey").alias("cell_id"), week.cast("bigint").alias("slot"),
         F.round("l_quantity").cast("bigint").alias("bits"), "l_returnflag", F.col("l_linenumber").alias("age"))
     bad = F.col("l_returnflag") == "R"
-    return dims.with_cells(li.where(F.col("slot").between(0, N_WEEKS - 1)), dims.cell_classes(spark)).select(
+    return dims.with_cells(li.where(F.col("slot") >= 0), dims.cell_classes(spark)).select(
         F.floor(F.col("cell_id") / CELLS_PER_LINK).cast("bigint").alias("link_id"), "cell_id", "slot", "age", "deadline",
         "priority", "name", F.col("bits").alias("arrived"), F.when(bad, F.col("bits")).otherwise(0).alias("violated"),
         F.when(bad, F.lit(0)).otherwise(F.col("bits")).alias("served"))

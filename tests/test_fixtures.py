@@ -9,6 +9,7 @@ from capshare.operators import (allocation as A, boosting as B, calibration as C
                                 phases as PH, registry as RG, replay as RE, search, series)
 from capshare.operators.predicates import mixture
 from capshare.operators.series import Clock
+from capshare.plans import views as V
 
 
 def one(spark, expr):
@@ -362,3 +363,21 @@ def test_complementary_error_function_keeps_its_tail(spark):
     got = {r.x: r.y for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc(F.col("x")).alias("y")).collect()}
     for x in xs:
         assert math.isclose(got[x], math.erfc(x), rel_tol=1e-12), (x, got[x], math.erfc(x))
+
+
+def test_views_reach_the_last_row(spark, tmp_path):
+    """Two years more than the given tables hold: no row leaves, and rows before slot 0 are refused."""
+    day = lambda s: __import__("datetime").datetime.fromisoformat(s)
+    rows = [(k % 3, day("1995-01-02"), 5.0, "R", 1) for k in range(6)] + [(1, day("2003-12-30"), 7.0, "N", 2), (2, None, 9.0, "N", 1)]
+    names = "l_suppkey bigint, l_shipdate timestamp, l_quantity double, l_returnflag string, l_linenumber bigint"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/late/lineitem.parquet")
+    sf = f"{tmp_path}/late"
+    n = V.weeks(spark, sf)
+    assert n == (day("2003-12-30") - day("1995-01-01")).days // 7 + 1 > 358
+    got = V.slots(spark, sf).groupBy("cell_id").agg(F.count("*").alias("n"), F.sum("fh_bits").alias("s")).collect()
+    assert {r.cell_id: (r.n, r.s) for r in got} == {0: (n, 10), 1: (n, 17), 2: (n, 10)}
+    assert V.run_slots(spark, sf).agg(F.sum("arrived")).first()[0] == 37
+    spark.createDataFrame(rows + [(1, day("1994-06-01"), 7.0, "N", 2)], names).write.parquet(f"{tmp_path}/early/lineitem.parquet")
+    with pytest.raises(ValueError):
+        V.weeks(spark, f"{tmp_path}/early")
+    assert series.densify(spark.createDataFrame([], "k int, slot bigint, v bigint"), ["k"], "v").count() == 0
