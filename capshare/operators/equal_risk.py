@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import QUANTILE_LEVELS
-from ..functions import quantiles as Q
+from ..functions import quantiles as Q, scalars as S
 from ..functions.scalars import col
 from .allocation import GROUP, greedy_fill, water_fill
 
@@ -127,6 +127,12 @@ def equal_risk(df: DataFrame, back="backlog", weight="weight", delta=0.0, group:
         "_back", "_w", "_delta", "_top", "_r", "_jump", "_fit", "_sum0", "_sum", "_jumps")
 
 
+def class_weighted(df: DataFrame, horizon: int, ll_weight=1.0, group: Sequence[str] = GROUP, q: str = "q") -> DataFrame:
+    """Equal risk where low-latency cells weigh ``ll_weight`` (a number or a column) instead of their priority."""
+    ll = F.when(S.is_low_latency("deadline"), col(ll_weight)).otherwise(F.lit(1.0))
+    return equal_risk(df, weight=ll * S.deadline_weight(F.lit(1.0), "deadline", horizon), group=group, q=q)
+
+
 def two_stage(df: DataFrame, interval: int, horizon: int, p0_ll=0.5, p0_embb=0.5, v_ll=3.0, lookahead=1.0, omega_ll=3.0, a=1.0,
               eta=6.0, mu=0.0, greedy_at: float = 6.0, group: Sequence[str] = GROUP) -> DataFrame:
     """Base demands in back-pressure order, then margins at equal risk that never go below the base.

@@ -30,14 +30,32 @@ def register_allocator(name: str, rule: Callable, per_group: str | None = None)
         _RULES[name] = grouped
 
 
-def allocate(name: str, decisions: DataFrame, clock: Clock, **params) -> DataFrame:
-    """Budgets of a rule by name, projected onto what the link allows."""
+def apply_rule(name: str, decisions: DataFrame, clock: Clock, **params) -> DataFrame:
+    """The bare rule by name; interval and horizon come from the clock where it asks for them."""
     rule = _RULES[name]
     needs = rule.__code__.co_varnames[:rule.__code__.co_argcount]
     for key, value in (("interval", clock.interval), ("horizon", clock.horizon)):
         if key in needs:
             params.setdefault(key, value)
-    return A.project_budgets(rule(decisions, **params)).withColumn("method", F.lit(name))
+    return rule(decisions, **params)
+
+
+def tuned_params(table: DataFrame, name: str, like: str | None = None, **where) -> dict[str, float]:
+    """Parameters of a rule in a table (*where, method, params) of ``search.tune``: its own row, else the row of the rule it is ``like``, else
+    none. One row is read, when the query is planned."""
+    rows = table.where(F.col("method").isin(name, like or name))
+    for key, value in where.items():
+        rows = rows.where(F.col(key).eqNullSafe(F.lit(value)))
+    found = rows.orderBy(F.col("method") != name).select("params").first()
+    return dict(found["params"]) if found and found["params"] else {}
+
+
+def allocate(name: str, decisions: DataFrame, clock: Clock, tuned: DataFrame | None = None, family: str | None = None, like: str | None = None, **params) -> DataFrame:
+    """Budgets of a rule by name, projected onto what the link allows. ``tuned`` gives the parameters that are not given here: those of
+    ``family`` if there are families."""
+    if tuned is not None:
+        params = tuned_params(tuned, name, like, **({} if family is None else {"family": family})) | params
+    return A.project_budgets(apply_rule(name, decisions, clock, **params)).withColumn("method", F.lit(name))
 
 
 def rules() -> list[str]:
@@ -60,7 +78,7 @@ def shifted(forecaster: Callable, eps: float) -> Callable:
 for _name, _rule in {
         "static_equal": A.static_equal, "reactive_prop": A.reactive_proportional, "queue_aware": A.deadline_aware, "maxweight": A.max_weight,
         "point_forecast": A.point_forecast, "fixed_quantile": A.fixed_quantile, "pred_maxweight": A.predictive_max_weight,
-        "class_levels": A.class_levels, "equal_risk": R.equal_risk, "two_stage": R.two_stage, "hindsight": A.hindsight,
+        "class_levels": A.class_levels, "equal_risk": R.equal_risk, "equal_risk_class": R.class_weighted, "two_stage": R.two_stage, "hindsight": A.hindsight,
         "hindsight_tiers": A.hindsight_tiers}.items():
     register_allocator(_name, _rule)
 register_forecaster("window", series.window_forecast)

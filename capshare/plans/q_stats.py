@@ -1,14 +1,16 @@
 """Paired statistics, replay, calibration and tuning."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import scalars as S
-from ..operators import allocation as A, calibration as CAL, equal_risk as ER, paired as PA, relational as R, replay as RE, reports as RP, search, series
+from ..operators import allocation as A, calibration as CAL, equal_risk as ER, paired as PA, registry as RG, relational as R, replay as RE, reports as RP, search, series
 from ..sources import dims, tables
 from . import views as V
-from .q_allocation import greedy_sql, wf_sql
+from .q_allocation import greedy_sql, risk_sql, sql_interp, wf_sql
 from .registry import query
 
 
@@ -117,28 +119,62 @@ def st7(spark, sf):
 _SF = "sum(priority * (deadline + 1) * greatest(backlog + label - budget, 0.0)) / (360.0 * 5)"
 
 
-def _tune_sql() -> str:
-    grp = "link_id, epoch, par"
-    a = wf_sql("(SELECT dec.*, m AS par FROM dec CROSS JOIN (VALUES (0.0::DOUBLE), (0.25), (0.5)) v(m) WHERE epoch % 16 = 8)", "queue_fh / 4 + (1 + par) * ewma", "1.0", True, "ta", grp)
-    b = wf_sql("(SELECT dec.*, m AS par FROM dec CROSS JOIN (VALUES (0.0::DOUBLE), (0.25), (0.5)) v(m) WHERE epoch % 16 = 8)", "backlog + (1 + par) * persist", "weight", True, "tb", grp)
-    return (a + b + f""", sc AS (SELECT 'reactive_prop' AS method, par, link_id, epoch, {_SF} AS s FROM ta GROUP BY par, link_id, epoch UNION ALL
-      SELECT 'queue_aware', par, link_id, epoch, {_SF} FROM tb GROUP BY par, link_id, epoch), m AS (SELECT method, par, avg(s) AS cost FROM sc GROUP BY ALL)
-      SELECT method, arg_min(par, cost) AS margin, round(min(cost), 6) AS cost, 'new' AS source FROM m GROUP BY method UNION ALL SELECT 'max_weight', 0.5::DOUBLE, NULL, 'old'""")
+_INV = "least(greatest(5.0 / deadline, 0.25), 1.0)"
+#: SQL of each tuned rule over rows that carry their candidate's parameters: text of the views, name of the last one
+_RULE_SQL = {
+    "reactive_prop": lambda src, w: wf_sql(src, "queue_fh / 4 + (1 + margin) * ewma", "1.0", True, w),
+    "queue_aware": lambda src, w: wf_sql(src, "backlog + (1 + margin) * persist", "weight", True, w),
+    "maxweight": lambda src, w: greedy_sql(src, "queue_fh / 4 + (1 + margin) * ewma", "priority * (queue_fh + 1e-6 * ewma) * (1 + hol_weight * hol_age / deadline)", w + "_gr")
+    + wf_sql(w + "_gr", "given", "1.0", True, w),
+    "point_forecast": lambda src, w: wf_sql(src, "backlog + (1 + margin) * q[3]", "weight", True, w),
+    "fixed_quantile": lambda src, w: wf_sql(src, f"backlog + {sql_interp('q', 'level', False)}", "weight", True, w),
+    "pred_maxweight": lambda src, w: greedy_sql(src, "queue_fh / 4 + (1 + margin) * q[3]", "priority * (queue_fh + lookahead * 5 * q[3])", w + "_gr")
+    + wf_sql(w + "_gr", "given", "1.0", True, w),
+    "equal_risk_class": lambda src, w: risk_sql(src, "backlog", f"CASE WHEN deadline <= 10 THEN ll_weight ELSE 1.0 END * {_INV}") + f", {w} AS (SELECT * FROM kkt)",
+}
+
+
+def _tune_sql(grids, by: str = "0") -> str:
+    """View ``best`` (method, fam, cand, cost); the candidate rides in the link number, so the rules' own SQL serves all of them."""
+    text, costs, values = "", [], []
+    for i, (name, grid) in enumerate(grids.items()):
+        rows = search.candidates(grid)
+        cols = ", ".join(grid)
+        text += f""", v{i}(cand, {cols}) AS (VALUES {", ".join(f"({c}, {', '.join(f'{x!r}::DOUBLE' for x in row)})" for c, row in enumerate(rows))}),
+    s{i} AS (SELECT dec.* REPLACE (link_id * 100 + cand AS link_id), {by} AS fam, v{i}.* FROM dec CROSS JOIN v{i})""" + _RULE_SQL[name](f"s{i}", f"w{i}")
+        costs.append(f"SELECT '{name}' AS method, fam, cand, round(avg(s), 9) AS cost FROM (SELECT fam, cand, link_id, epoch, {_SF} AS s FROM w{i} GROUP BY ALL) GROUP BY ALL")
+        values += [f"('{name}', {c}, '{p}', {x!r}::DOUBLE)" for c, row in enumerate(rows) for p, x in zip(grid, row)]
+    return (text + f", costs AS ({' UNION ALL '.join(costs)}), best AS (SELECT method, fam, arg_min(cand, {{'cost': cost, 'cand': cand}}) AS cand, min(cost) AS cost FROM costs GROUP BY ALL)"
+            + f", par(method, cand, param, value) AS (VALUES {', '.join(values)}) ")
+
+
+@query("st_8_grid_tuning", _tune_sql(search.GRIDS) + """SELECT b.method, p.param, p.value, round(b.cost, 6) AS cost, 'new' AS source FROM best b JOIN par p USING (method, cand)
+    UNION ALL SELECT 'static_share', 'margin', 0.5::DOUBLE, NULL, 'old'""", "dec")
+def st8(spark, sf):
+    """Seven rules, every value of the grids on all decisions, the best of each merged over earlier selections."""
+    new = search.tune(V.decisions(spark, sf), V.FAST)
+    old = spark.createDataFrame([("static_share", {"margin": 0.5}, None, "old"), ("queue_aware", {"margin": 9.0}, 9.0, "old")], "method string, params map<string,double>, cost double, source string")
+    both = tables.upsert(old, new.withColumn("source", F.lit("new")), ["method"])
+    return both.select("method", F.explode("params").alias("param", "value"), r("cost"), "source")
 
 
-@query("st_8_grid_tuning", _tune_sql().replace("WHERE epoch % 16 = 8", ""), "dec")
-def st8(spark, sf):
-    """Every (method, parameter) scored on all decisions in one job, best one per method, merged over earlier selections."""
-    new = search.tune(V.decisions(spark, sf), V.FAST.interval, V.FAST.horizon, margins=(0.0, 0.25, 0.5))
-    old = spark.createDataFrame([("max_weight", 0.5, None, "old"), ("queue_aware", 9.0, 9.0, "old")], "method string, margin double, cost double, source string")
-    return tables.upsert(old, new.withColumn("source", F.lit("new")), ["method"]).select("method", "margin", r("cost"), "source")
+_LEVELS = {"fixed_quantile": search.GRIDS["fixed_quantile"]}
+
+
+@query("udf_method_registry_tuned", _tune_sql(_LEVELS, "link_id % 2") + ", chosen AS (SELECT dec.*, p.value AS level FROM dec JOIN best b ON b.fam = link_id % 2 JOIN par p USING (method, cand))"
+       + _RULE_SQL["fixed_quantile"]("chosen", "fin") + "SELECT 'fixed_quantile' AS method, link_id, epoch, cell_id, round(budget + 1e-9, 5) AS budget FROM fin", "dec")
+def tuned_rule(spark, sf):
+    """Parameters by method and family (odd and even links) from the tuning table, never by hand."""
+    d = V.decisions(spark, sf).withColumn("family", (F.col("link_id") % 2).cast("string"))
+    table = search.tune(d, V.FAST, _LEVELS, ["family"]).checkpoint()
+    parts = [RG.allocate("fixed_quantile", d.where(F.col("family") == f), V.FAST, tuned=table, family=f) for f in ("0", "1")]
+    return parts[0].unionByName(parts[1]).select("method", "link_id", "epoch", "cell_id", F.round(F.col("budget") + 1e-9, 5).alias("budget"))
 
 
 @query("st_9_policy_search")
 def st9(spark, sf):
-    """Three generations of a cross-entropy search over class levels; each generation scores the population in one job."""
-    d = V.decisions(spark, sf)
-    return search.class_level_search(d, V.FAST.horizon, generations=3, population=6, elite=2, seed=0)
+    """Eight generations of sixteen points from three starts; a generation scores the points of all starts in one job."""
+    return search.class_level_search(V.decisions(spark, sf), V.FAST.horizon, seed=0, starts=((0.85, 0.5, math.log(3.0)), (0.95, 0.75, 0.0), (0.6, 0.25, math.log(8.0))))
 
 
 # --- replay ---------------------------------------------------------------------------------------------------

@@ -381,3 +381,27 @@ def test_views_reach_the_last_row(spark, tmp_path):
     with pytest.raises(ValueError):
         V.weeks(spark, f"{tmp_path}/early")
     assert series.densify(spark.createDataFrame([], "k int, slot bigint, v bigint"), ["k"], "v").count() == 0
+
+
+def test_tuning_tries_every_value_and_the_registry_reads_the_choice(spark):
+    """The best level by trying each one, per family; ties go to the earlier candidate; a rule may borrow the row of another."""
+    rng, clock = np.random.default_rng(5), Clock(4, 1)
+    rows = [(link, 8, cell, 4 if cell % 2 else 20, 3.0 if cell % 2 else 1.0, 60.0, 100.0, 0.0, 0, float(rng.gamma(2, 3)), float(rng.gamma(2, 8)), 5.0, 5.0,
+             sorted(map(float, rng.gamma(2, 9, 6))), 1.0, str(link % 2)) for link in range(6) for cell in range(4)]
+    d = spark.createDataFrame(rows, "link_id bigint, epoch bigint, cell_id bigint, deadline int, priority double, cap double, capacity double, queue_fh double, hol_age int, backlog double, "
+                              "label double, ewma double, persist double, q array<double>, weight double, family string")
+    grids = {"fixed_quantile": search.GRIDS["fixed_quantile"], "reactive_prop": {"margin": (0.0, 0.0)}, "equal_risk_class": {"ll_weight": (1.0, 3.0)}}
+    table = search.tune(d, clock, grids, ["family"]).checkpoint()
+    got = {(r.family, r.method): (r.params, r.cost) for r in table.collect()}
+    assert len(got) == 6 and got["0", "reactive_prop"][0] == {"margin": 0.0}
+    for fam in ("0", "1"):
+        part = d.where(F.col("family") == fam)
+        for rule, name in (("fixed_quantile", "level"), ("equal_risk_class", "ll_weight")):
+            costs = {v: search.score(RG.apply_rule(rule, part, clock, **{name: v}), clock.horizon, ["family"]).first()["cost"] for v in grids[rule][name]}
+            best = min(costs, key=lambda v: (round(costs[v], 9), v))
+            assert got[fam, rule] == ({name: best}, pytest.approx(costs[best], abs=1e-9))
+            assert RG.tuned_params(table, rule, family=fam) == {name: best}
+    assert RG.tuned_params(table, "moved", like="fixed_quantile", family="1") == got["1", "fixed_quantile"][0]
+    assert RG.tuned_params(table, "moved", family="1") == {}
+    budget = lambda **k: [r.budget for r in RG.allocate("fixed_quantile", d, clock, **k).orderBy("link_id", "cell_id").collect()]
+    assert budget(tuned=table, family="1") == budget(**got["1", "fixed_quantile"][0]) and budget(tuned=table, family="1", level=0.3) == budget(level=0.3)
