@@ -3,7 +3,7 @@
 Trees grow leaf by leaf: a priority queue on the driver splits the leaf of the highest gain until ``max_leaves`` are reached. Gains come from merged
 histograms (level, node, feature, bin) of integer counts, to which every task adds its rows; rows never move. One pass over the rows serves all levels and
 all leaves that the queue may still split, counts only the smaller child of each, and gets the sibling by subtraction. So a tree costs about
-as many passes as it is deep, and driver and tasks exchange nothing that grows with the data.
+as many passes as it is deep. Tasks merge the histograms and the residuals of a leaf; the driver receives one message a pass.
 
 Rows are packed once into blocks of bin numbers (a byte a feature), labels and predictions. Predictions advance once per round, and blocks are written
 to the checkpoint folder every ``checkpoint_every`` rounds: a lost executor repeats at most so many rounds of its own rows.
@@ -11,7 +11,10 @@ to the checkpoint folder every ``checkpoint_every`` rounds: a lost executor repe
 from __future__ import annotations
 
 import heapq
+import pickle
+import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,8 @@ from ..constants import QUANTILE_LEVELS
 from ..session import shared_dir
 
 Tree = list[dict]          # nodes: {"feature", "threshold", "left", "right"} or {"value"}
-BLOCK_ROWS, TASK_ROWS = 100_000, 25_000
+BLOCK_ROWS, TASK_ROWS = 100_000, 500_000        # a task's rows outweigh its histograms and what it reports
+MERGE = 16                 # parts that one task merges
 SUMMARY = 2048             # points that stand for the residuals of a leaf; exact up to so many rows a block
 
 
@@ -137,9 +141,26 @@ def _packed(df: DataFrame, names: list[str], label: str, edges: np.ndarray, hold
     return cols.mapInArrow(pack, "x binary, y binary, out binary").rdd.mapPartitions(gather)
 
 
-def _merged(parts: RDD, add):
-    """Sum over the partitions: by way of a tree where there are many."""
-    return parts.treeReduce(add) if parts.getNumPartitions() > 32 else parts.reduce(add)
+def _merged(parts: RDD, add, finish):
+    """``finish`` of the sum over the partitions. Tasks merge groups of ``MERGE`` parts, in their order, until one is left: whatever number of tasks
+    counted, the driver receives one message."""
+
+    def whole(batch):
+        yield reduce(add, (part for _, part in sorted(batch, key=lambda p: p[0])))
+
+    while (n := parts.getNumPartitions()) > 1:
+        numbered = parts.mapPartitionsWithIndex(lambda i, it: [(i // MERGE, (i, part)) for part in it])
+        parts = numbered.partitionBy(-(-n // MERGE), int).values().mapPartitions(whole)
+    return pickle.loads(zlib.decompress(parts.map(lambda total: zlib.compress(pickle.dumps(finish(total)), 1)).collect()[0]))
+
+
+def _narrow(found: dict) -> dict:
+    """Counts in the fewest bytes that hold them; sums of doubles as they are."""
+    return {k: v if v.dtype.kind == "f" else v.astype(np.min_scalar_type(int(v.max(initial=0)))) for k, v in found.items()}
+
+
+def _wide(found: dict) -> dict:
+    return {k: v if v.dtype.kind == "f" else v.astype(np.int64) for k, v in found.items()}
 
 
 def _add(a: dict, b: dict) -> dict:
@@ -170,7 +191,7 @@ def _counts(state: RDD, trees: dict[int, np.ndarray], wanted: dict[int, list[int
                 _add(acc, {(k, node): h for node, h in zip(nodes, np.stack([n, under]).reshape(2, len(nodes), width, bins).swapaxes(0, 1), strict=True)})
         yield acc
 
-    return _merged(state.mapPartitions(part), _add)
+    return _wide(_merged(state.mapPartitions(part), _add, _narrow))
 
 
 def _summary(v: np.ndarray, w: np.ndarray, most: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +227,7 @@ def _leaf_values(state: RDD, trees: dict[int, np.ndarray], levels: np.ndarray) -
         upto = np.cumsum(w[order])
         return float(v[order][min(np.searchsorted(upto, level * upto[-1] - 1e-9), len(v) - 1)])
 
-    return {k: quantile(v, w, levels[k[0]]) for k, (v, w) in _merged(state.mapPartitions(part), join).items()}
+    return _merged(state.mapPartitions(part), join, lambda total: {k: quantile(v, w, levels[k[0]]) for k, (v, w) in total.items()})
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str = "y", levels=QUANTILE_LEVELS, rounds: int = 300, rate: float = 0.05, max_leaves: int = 15, bins: int = 128,
