@@ -4,13 +4,16 @@ After a horizon is fully observed the key's offset moves: ``d <- clip(d + gamma
 is a clamp of a shift, and such maps compose into one clamp of a shift, so a long key is scanned in levels: chunks of ``FAN`` epochs are composed in parallel,
 then groups of ``FAN`` chunks, and so on; offsets run down the same levels, each group from the offset it starts with. No array and no frame has more than
 ``FAN`` parts, except the few groups of the top level.
+
+Sums in levels have other last bits than the plain fold. So each chunk is walked from where the one before it really ends, and those whose start
+was off by a bit are walked again until none is: the offsets are those of the plain fold, bit by bit.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import shared_dir
 
@@ -46,6 +49,23 @@ def _starts(chunks: DataFrame, keys: list[str], compose, unit: Column, levels: i
     return packs.select(*keys, F.explode(each).alias("_o")).select(*keys, F.col("_o.c").alias("_c"), F.col("_o.d").alias("_start"))
 
 
+def _settled(packs: DataFrame, starts: DataFrame, keys: list[str], through) -> DataFrame:
+    """(keys, _c, _start) with every chunk's start at the end of the chunk before. The starts given differ in last bits at most, which a clamp wipes out: a round
+    walks the chunks whose predecessor ended elsewhere, the first of each key is right from the beginning."""
+    def ends(chunks):
+        walked = packs.select(*keys, "_c", "_r").join(chunks, [*keys, "_c"])
+        return walked.select(*keys, "_c", "_start", F.aggregate("_r", F.col("_start"), through).alias("_end"))
+
+    done = ends(starts).checkpoint()
+    while True:
+        want = F.coalesce(F.lag("_end").over(W.partitionBy(*keys).orderBy("_c")), F.lit(0.0))
+        seen = done.withColumn("_want", want)
+        off = seen.where("_want != _start").select(*keys, "_c", F.col("_want").alias("_start"))
+        if off.isEmpty():
+            return done.select(*keys, "_c", "_start")
+        done = seen.where("_want = _start").select(*keys, "_c", "_start", "_end").unionByName(ends(off)).checkpoint()
+
+
 def offsets(epochs: DataFrame, keys: Sequence[str], order: str, miss: str, lag: int, gamma: float = 0.02, level: float = 0.9,
             lo: float = -0.3, hi: float = 0.3, chunk: int = FAN, levels: int = 2) -> DataFrame:
     """Offset in force at each epoch. ``order`` counts the epochs per key; ``miss`` is 1 when y exceeded the target (null: no step). ``levels`` of
@@ -73,8 +93,12 @@ def offsets(epochs: DataFrame, keys: Sequence[str], order: str, miss: str, lag:
     # read by the levels above and by the walk below: stored, so that nothing before it runs again
     shared_dir(epochs.sparkSession)
     packs = packs.withColumn("_s", F.aggregate("_r", unit, lambda acc, r: F.when(r["g"].isNull(), acc).otherwise(compose(acc, single(r["g"]))))).checkpoint()
-    packs = packs.join(_starts(packs.select(*keys, "_c", "_s"), keys, compose, unit, levels), [*keys, "_c"])
+
+    def through(x, r):
+        return F.when(r["g"].isNull(), x).otherwise(_applied(x, single(r["g"])))
+
+    packs = packs.join(_settled(packs, _starts(packs.select(*keys, "_c", "_s"), keys, compose, unit, levels), keys, through), [*keys, "_c"])
     # the offset before an epoch's own entry, which makes no step, is the one in force
-    walked = _running(F.col("_r"), F.col("_start"), lambda x, r: F.when(r["g"].isNull(), x).otherwise(_applied(x, single(r["g"]))))
+    walked = _running(F.col("_r"), F.col("_start"), through)
     out = packs.select(*keys, F.explode(F.arrays_zip(F.col("_r").alias("r"), walked.alias("d"))).alias("_o")).where("_o.r.side = 1")
     return out.select(*keys, F.col("_o.r.k").alias(order), F.col("_o.d").alias("delta"))

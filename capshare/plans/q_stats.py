@@ -291,14 +291,19 @@ def calibrated(spark, sf, chunk=CAL.FAN):
     return d, CAL.offsets(d.select("cell_id", "k", "miss"), ["cell_id"], "k", "miss", CAL.maturity(V.FAST.interval, V.FAST.delay), lo=-0.05, hi=0.1, chunk=chunk)
 
 
+def signed(name, n=6):
+    """Rounded as DuckDB rounds: what is just below zero becomes -0.0, which ``round`` of Spark gives no sign."""
+    return (F.rint(F.col(name) * 10.0 ** n) / 10.0 ** n).alias(name)
+
+
 @query("str_5_calibration", _CAL + " SELECT cell_id, k, round(delta, 6) AS delta FROM cal", "dec", recursive=True)
 def str5(spark, sf):
-    return calibrated(spark, sf)[1].select("cell_id", "k", r("delta"))
+    return calibrated(spark, sf)[1].select("cell_id", "k", signed("delta"))
 
 
 @query("str_5_calibration_chunked", _CAL + " SELECT cell_id, k, round(delta, 6) AS delta FROM cal", "dec", recursive=True)
 def str5b(spark, sf):
-    return calibrated(spark, sf, chunk=16)[1].select("cell_id", "k", r("delta"))
+    return calibrated(spark, sf, chunk=16)[1].select("cell_id", "k", signed("delta"))
 
 
 from .q_allocation import out, out_sql, risk_sql  # noqa: E402

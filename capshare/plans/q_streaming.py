@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import calibration as CAL
 from ..streaming import run, stateful, telemetry as TE
 from . import views as V
-from .q_stats import _CAL, _FIFO, calibrated, replay_input
+from .q_stats import _CAL, _FIFO, calibrated, replay_input, signed
 from .registry import query
 
 
@@ -95,7 +95,7 @@ def str5(spark, sf):
     kinds = F.array(F.struct(F.lit("open").alias("kind"), at_hour("k").alias("ts")), F.struct(F.lit("outcome").alias("kind"), (at_hour(F.col("k") + lag) - minute).alias("ts")))
     rows = d.select("cell_id", "k", "miss", F.explode(kinds).alias("e")).select("cell_id", "k", F.when(F.col("e.kind") == "outcome", F.col("miss")).alias("miss"), "e.*")
     feed = run.Replay(rows, "cal-in", "ts", 3)
-    return run.run_append(stateful.calibrate(feed.stream(), lag, lo=-0.05, hi=0.1), "cal", stateful=True, feed=feed).select("cell_id", "k", r("delta"), "late")
+    return run.run_append(stateful.calibrate(feed.stream(), lag, lo=-0.05, hi=0.1), "cal", stateful=True, feed=feed).select("cell_id", "k", signed("delta"), "late")
 
 
 @query("str_6_late_labels", "SELECT link_id, cell_id, epoch, round(q[5], 6) AS target, round(label, 6) AS label, (label > q[5])::INT AS miss FROM dec", "dec")
