@@ -5,10 +5,11 @@ projection.  A forecaster is a function ``(rates DataFrame, clock) -> DataFrame
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import quantiles as Q
 from . import allocation as A, equal_risk as R, series
@@ -18,15 +19,46 @@ _RULES: dict[str, Callable] = {}
 _FORECASTERS: dict[str, Callable] = {}
 
 
+_WHOLE = {"byte": "int8", "short": "int16", "integer": "int32", "long": "int64", "boolean": "bool"}
+
+
+def _group_by_group(rule: Callable, whole: dict[str, str], **params) -> Callable:
+    """A function of frames that holds the rows of each group together, marked where a group begins (``_first``): the rule sees one group at a
+    time, many of them for each frame that comes and goes. A group that a frame cuts waits for its rest."""
+    def given(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a null elsewhere in the frame makes whole numbers doubles
+        back = {c: t for c, t in whole.items() if pdf[c].dtype != t and pdf[c].notna().all()}
+        return rule(pdf.astype(back) if back else pdf, **params)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in frames:
+            starts = np.flatnonzero(pdf.pop("_first").to_numpy())
+            if len(starts) == 0:
+                held.append(pdf)
+                continue
+            parts = [*held, pdf.iloc[:starts[0]]] if held else []
+            done = [given(pd.concat(parts, ignore_index=True))] if parts else []
+            done += [given(pdf.iloc[a:b].reset_index(drop=True)) for a, b in zip(starts[:-1], starts[1:])]
+            held = [pdf.iloc[starts[-1]:]]
+            done = [d for d in done if len(d)]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held:
+            yield given(pd.concat(held, ignore_index=True))
+
+    return run
+
+
 def register_allocator(name: str, rule: Callable, per_group: str | None = None) -> None:
     """``per_group`` is the output schema of a pandas function that sees one (link, epoch) at a time; a DataFrame rule is faster."""
     if per_group is None:
         _RULES[name] = rule
     else:
         def grouped(decisions: DataFrame, **params) -> DataFrame:
-            def run(pdf: pd.DataFrame) -> pd.DataFrame:
-                return rule(pdf, **params)
-            return decisions.groupBy(*A.GROUP).applyInPandas(run, per_group)
+            begins = F.row_number().over(W.partitionBy(*A.GROUP).orderBy(*A.GROUP)) == 1
+            whole = {f.name: _WHOLE[f.dataType.typeName()] for f in decisions.schema if f.dataType.typeName() in _WHOLE}
+            return decisions.withColumn("_first", begins).mapInPandas(_group_by_group(rule, whole, **params), per_group)
         _RULES[name] = grouped
 
 
