@@ -139,8 +139,7 @@ def wn13(spark, sf):
     g AS (SELECT *, slot - row_number() OVER (PARTITION BY cell_id, busy ORDER BY slot) AS isl FROM m)
     SELECT cell_id, busy, min(slot) AS start, count(*)::BIGINT AS length FROM g GROUP BY cell_id, busy, isl""", "event_slots")
 def wn14(spark, sf):
-    s = V.event_slots(spark, sf).select("cell_id", "slot", (F.col("bits") > 0).alias("busy"))
-    return series.sojourns(s, ["cell_id"], "slot", "busy", 256)
+    return series.sojourns(V.event_runs(spark, sf), ["cell_id"], "start", "busy", 256, until="stop")
 
 
 @query("wn_14_longest_run", """, m AS (SELECT cell_id, slot, bits > 0 AS busy FROM event_slots),
