@@ -13,49 +13,62 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.replay import step
-
 FIFO_OUT = "cell_id bigint, slot bigint, served double, violated double, queue double, hol bigint, taken array<double>, late bigint"
 CAL_OUT = "cell_id bigint, k bigint, delta double, late bigint"
 SEEN_OUT = "cell_id bigint, id bigint, seen bigint, total bigint"
 
 
+def _served(ages: list[float], arrived: float, allowed: float) -> tuple[list[float], float, list[float]]:
+    """``replay.step`` for one key, the oldest first: (taken by age, dropped, ages one slot later). Frames of one key are too small for arrays."""
+    ages[0] += arrived
+    taken, through = [0.0] * len(ages), 0.0
+    for i in range(len(ages) - 1, -1, -1):
+        if ages[i]:
+            through += ages[i]
+            taken[i] = min(max(allowed - (through - ages[i]), 0.0), ages[i])
+            ages[i] -= taken[i]
+    return taken, ages[-1], [0.0, *ages[:-1]]
+
+
 class FifoProcessor(StatefulProcessor):
-    """State: next slot, newest slot seen, the D + 1 age counters, late rows so far, and rows that arrived ahead of their turn."""
+    """State: next slot, newest slot seen, the D + 1 age counters, late rows so far, and rows that arrived ahead of their turn with their number."""
 
     def __init__(self, patience: int):
         self.patience = patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("queue", "next bigint, newest bigint, ages array<double>, late bigint")
+        self.state = handle.getValueState("queue", "next bigint, newest bigint, ages array<double>, late bigint, waiting bigint")
         self.ahead = handle.getMapState("ahead", "slot bigint", "arrived double, allowed double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows))
-        nxt, newest, ages, late = self.state.get() if self.state.exists() else (0, -1, [0.0] * (int(got["deadline"].iloc[0]) + 1), 0)
-        ages = np.array([list(ages)], float)
-        before = {k[0]: tuple(v) for k, v in self.ahead.iterator()}
+        # each call to the state is a message to the JVM: one to read and one to write, unless rows wait
+        nxt, newest, ages, late, waiting = self.state.get() or (0, -1, [0.0] * (int(got["deadline"].iloc[0]) + 1), 0, 0)
+        ages = list(ages)
+        before = {k[0]: tuple(v) for k, v in self.ahead.iterator()} if waiting else {}
         todo = dict(before)
-        for slot, arrived, allowed in zip(got["slot"], got["arrived"], got["allowed"], strict=True):
+        for slot, arrived, allowed in zip(got["slot"].tolist(), got["arrived"].tolist(), got["allowed"].tolist(), strict=True):
             if slot < nxt:
                 late += 1
             else:
-                todo[int(slot)] = (float(arrived), float(allowed))
-        newest = max(newest, int(got["slot"].max()))
-        out = []
+                todo[slot] = (arrived, allowed)
+            newest = max(newest, slot)
+        first, served, violated, queue, hol, by_age = nxt, [], [], [], [], []
         # nothing arrives and nothing is allowed in a slot that has not come ``patience`` slots later
         while nxt in todo or nxt < newest - self.patience:
-            arrived, allowed = todo.pop(nxt, (0.0, 0.0))
-            ages, taken, dropped = step(ages, np.array([arrived]), np.array([allowed]), np.array([ages.shape[1] - 1]))
-            waiting = np.nonzero(ages[0] > 0)[0]
-            out.append((key[0], nxt, float(taken.sum()), float(dropped[0]), float(ages.sum()), int(waiting.max()) if len(waiting) else 0, [float(t) for t in taken[0]], late))
+            taken, dropped, ages = _served(ages, *todo.pop(nxt, (0.0, 0.0)))
+            served.append(sum(taken))
+            violated.append(dropped)
+            queue.append(sum(ages))
+            hol.append(max((i for i, a in enumerate(ages) if a > 0), default=0))
+            by_age.append(taken)
             nxt += 1
         for slot in before.keys() - todo.keys():
             self.ahead.removeKey((slot,))
         for slot in todo.keys() - before.keys():
             self.ahead.updateValue((slot,), todo[slot])
-        self.state.update((nxt, newest, [float(x) for x in ages[0]], late))
-        yield pd.DataFrame(out, columns=["cell_id", "slot", "served", "violated", "queue", "hol", "taken", "late"])
+        self.state.update((nxt, newest, ages, late, len(todo)))
+        yield pd.DataFrame({"cell_id": key[0], "slot": range(first, nxt), "served": served, "violated": violated, "queue": queue, "hol": hol, "taken": by_age, "late": late})
 
     def close(self) -> None:
         pass
