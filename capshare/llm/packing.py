@@ -12,10 +12,12 @@ Every task packs the rows of its own input split, so nothing is shuffled and mem
 * text that spells a special token is encoded as the tokenizer encodes it by default.
 
 Words are split at single blanks between non-blank characters, where this kind of tokenizer always starts a new word; each distinct word is
-encoded once while it stays in the worker's cache, whose size is fixed. Texts with other white-space runs are cut only where the rule holds.
+encoded once while it stays in the worker's cache, whose size is fixed, and so are the lines of a word with line ends inside. Texts with other white-space runs are cut only where the rule holds.
 """
 from __future__ import annotations
 
+import string
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Marks that form one run behind a word; an apostrophe may begin a word of the tokenizer.
+MARKS = string.punctuation.replace("'", "")
 
 
 class _Unsafe(Exception):
@@ -35,21 +39,42 @@ class _Unsafe(Exception):
 
 
 class _Words(dict):
-    """Ids of words that follow a blank, made on first use; emptied when full."""
+    """Ids of words that follow a blank, made on first use. When half of ``limit`` is full it becomes the older half, and what was the older one goes; words
+    still in use come back from there. Words with line ends inside are put together from their lines; a line behind a line end has a blank before its key."""
 
     def __init__(self, encoder: Encoder, limit: int):
         super().__init__()
-        self.encoder, self.limit = encoder, limit
+        self.encoder, self.half, self.older = encoder, max(limit // 2, 1), {}
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Unsafe
-        if len(self) >= self.limit:
+        ids = self.older.get(word)
+        if ids is None:
+            if "\n" in word and self.encoder.plain:
+                first, *rest = word.split("\n")
+                if first and all(rest) and not any(x[0].isspace() or x[-1].isspace() for x in (first, *rest)):
+                    return self[first] + b"".join([self[" " + x] for x in rest])
+            if not word or word[0] != " " and word[0].isspace() or word[-1].isspace():
+                raise _Unsafe
+            ids = self.encoder.line(word[1:]) if word[0] == " " else self.encoder.word(word)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        self[word] = ids = self.encoder.word(word)
+        self[word] = ids
         return ids
 
 
+class _Letters(dict):
+    """A character as the tokenizer's letters for its bytes."""
+
+    def __init__(self, letters: dict[int, int]):
+        super().__init__()
+        self.letters = letters
+
+    def __missing__(self, c: str) -> str:
+        self[c] = out = c.encode().decode("latin-1").translate(self.letters)
+        return out
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes."""
 
@@ -57,25 +82,47 @@ class Encoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
         self.tok = Tokenizer.from_file(path)
+        self.merged = self.tok.model.tokenize
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.words = _Words(self, cache_words)
         # the tokenizer's letters for bytes: printable Latin-1 stands for itself, the rest follows from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [x for x in range(256) if x not in own]
-        self.letters = {x: 256 + i for i, x in enumerate(other)}
-        self.plain = {chr(x) for x in [*own, *self.letters.values()]} == set(ByteLevel.alphabet())
-        self.marks = {c: self.whole(c) for c in ",.;:!?|"}
+        letters = {x: 256 + i for i, x in enumerate(other)}
+        self.letters, self.blank = _Letters(letters), chr(letters[32])
+        self.newline = self.whole("\n")
+        self.plain = {chr(x) for x in [*own, *letters.values()]} == set(ByteLevel.alphabet()) and self.whole("a.\nb") == self.whole("a.") + self.newline + self.whole("b")
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _spelled(self, word: str, before: str) -> bytes | None:
+        """Letters, perhaps with marks behind, are what the tokenizer takes as one word and one run of marks: straight to its merges."""
+        core = word.rstrip(MARKS)
+        if not (self.plain and core.isalpha()):
+            return None
+        letters = core if core.isascii() else "".join(map(self.letters.__getitem__, core))
+        pieces = [t.id for t in self.merged(before + letters)]
+        ids = struct.pack(f"<{len(pieces)}I", *pieces)
+        if len(core) == len(word):
+            return ids
+        tail = word[len(core):]
+        if tail not in self.marks:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[tail] = self.whole(tail)
+        return ids + self.marks[tail]
+
     def word(self, word: str) -> bytes:
-        """A blank and letters, perhaps with one mark behind, is what the tokenizer takes as one word and a mark: straight to its merges."""
-        core, mark = (word[:-1], word[-1]) if word[-1] in self.marks else (word, "")
-        if self.plain and core.isalpha():
-            pieces = self.tok.model.tokenize((" " + core).encode().decode("latin-1").translate(self.letters))
-            return np.asarray([t.id for t in pieces], "<u4").tobytes() + (self.marks[mark] if mark else b"")
-        return self.whole(" " + word)
+        """Behind a blank."""
+        ids = self._spelled(word, self.blank)
+        return self.whole(" " + word) if ids is None else ids
+
+    def line(self, word: str) -> bytes:
+        """Behind a line end, which is a word of its own where no blank is near."""
+        ids = self._spelled(word, "")
+        return self.newline + (self.whole(word) if ids is None else ids)
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
