@@ -369,27 +369,31 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 32, limit: int = 50_
         by_text = grams.join(again, "h").groupBy("rowid", "copies").agg(F.collect_list(F.struct("p", "h")).alias("anchors"))
         return src.select("rowid", "text").join(by_text, "rowid").mapInPandas(_surroundings(length, gram), "rowid long, p int, h long, rkey binary, off int, region binary, copies long")
 
+    def found() -> DataFrame:
+        """The spans of each row that has any; surroundings and all that is settled from them go when it is written."""
+        placed = settled(spark, "surroundings", around)
+        release(spark)
+        distinct = settle(placed.groupBy("h", "rkey").agg(F.sum("copies").alias("copies"), F.first("off").alias("off"), F.first("region").alias("region")), "distinct")
+        release(spark)
+        sizes = settle(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit), "hot")
+        shape = "h long, rkey binary, lo array<int>, hi array<int>"
+        if sizes.limit(1).count():
+            hot = distinct.join(sizes.select("h"), "h")
+            strings = hot.mapInPandas(_counted(length), "h long, rkey binary, rel int, s binary, copies long")
+            twice = settle(strings.groupBy("h", "rel", "s").agg(F.sum("copies").alias("n")).where("n > 1").drop("n"), "twice")
+            exact = strings.join(twice, ["h", "rel", "s"]).groupBy("h", "rkey").agg(F.array_sort(F.collect_list("rel")).alias("lo")).select("h", "rkey", "lo", F.transform("lo", lambda x: x + length).alias("hi"))
+            distinct = distinct.join(sizes.select("h"), "h", "left_anti")
+        else:
+            exact = None
+        spans = distinct.repartition("h").sortWithinPartitions("h").mapInPandas(_matched(length, gram), shape)
+        spans = settle(spans if exact is None else spans.union(exact), "spans")
+        release(spark)
+        plus = lambda c: F.transform(c, lambda x: x + F.col("p"))
+        single = placed.where("copies = 1").select("rowid", "p", "h", "rkey").join(spans, ["h", "rkey"]).select("rowid", plus("lo").alias("lo"), plus("hi").alias("hi"))
+        return single.groupBy("rowid").agg(F.flatten(F.collect_list(F.arrays_zip("lo", "hi"))).alias("spans"))
+
     marked = settled(spark, "marked", standing)
-    placed = settled(spark, "surroundings", around)
-    release(spark)
-    distinct = settle(placed.groupBy("h", "rkey").agg(F.sum("copies").alias("copies"), F.first("off").alias("off"), F.first("region").alias("region")), "distinct")
-    release(spark)
-    sizes = settle(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit), "hot")
-    shape = "h long, rkey binary, lo array<int>, hi array<int>"
-    if sizes.limit(1).count():
-        hot = distinct.join(sizes.select("h"), "h")
-        strings = hot.mapInPandas(_counted(length), "h long, rkey binary, rel int, s binary, copies long")
-        twice = settle(strings.groupBy("h", "rel", "s").agg(F.sum("copies").alias("n")).where("n > 1").drop("n"), "twice")
-        exact = strings.join(twice, ["h", "rel", "s"]).groupBy("h", "rkey").agg(F.array_sort(F.collect_list("rel")).alias("lo")).select("h", "rkey", "lo", F.transform("lo", lambda x: x + length).alias("hi"))
-        distinct = distinct.join(sizes.select("h"), "h", "left_anti")
-    else:
-        exact = None
-    spans = distinct.repartition("h").sortWithinPartitions("h").mapInPandas(_matched(length, gram), shape)
-    spans = settle(spans if exact is None else spans.union(exact), "spans")
-    release(spark)
-    plus = lambda c: F.transform(c, lambda x: x + F.col("p"))
-    single = placed.where("copies = 1").select("rowid", "p", "h", "rkey").join(spans, ["h", "rkey"]).select("rowid", plus("lo").alias("lo"), plus("hi").alias("hi"))
-    per_row = settle(single.groupBy("rowid").agg(F.flatten(F.collect_list(F.arrays_zip("lo", "hi"))).alias("spans")), "rows")
+    per_row = settled(spark, "rows", found)
     release(spark)
     info = marked.select("rowid", "whole").join(per_row, "rowid", "left")
     return src.join(info, "rowid")
