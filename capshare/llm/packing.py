@@ -11,8 +11,8 @@ Every task packs the rows of its own input split, so nothing is shuffled and mem
 * null ids, repeated rows: packed like any other; ties between levels go to the fuller one. Extra columns are ignored; an empty table packs nothing.
 * text that spells a special token is encoded as the tokenizer encodes it by default.
 
-Words are split at single blanks between non-blank characters, where this kind of tokenizer always starts a new word; each distinct word is
-encoded once while it stays in the worker's cache, whose size is fixed, and so are the lines of a word with line ends inside. Texts with other white-space runs are cut only where the rule holds.
+Words are split at single blanks between non-blank characters, where this kind of tokenizer always starts a new word; each distinct word, without the
+marks behind it, is encoded once while it stays in the worker's caches, whose sizes are fixed. Texts with other white-space runs are cut only where the rule holds.
 """
 from __future__ import annotations
 
@@ -20,11 +20,13 @@ import string
 import struct
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,32 +36,24 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 MARKS = string.punctuation.replace("'", "")
 
 
-class _Unsafe(Exception):
-    """White space other than a single blank between words."""
+class _Recent(dict):
+    """What ``make`` gives for a key, made on first use. When half of ``limit`` is full it becomes the older half, and what was the older one goes; keys still in
+    use come back from there."""
 
-
-class _Words(dict):
-    """Ids of words that follow a blank, made on first use. When half of ``limit`` is full it becomes the older half, and what was the older one goes; words
-    still in use come back from there. Words with line ends inside are put together from their lines; a line behind a line end has a blank before its key."""
-
-    def __init__(self, encoder: Encoder, limit: int):
+    def __init__(self, limit: int, make: Callable[[str], bytes | None]):
         super().__init__()
-        self.encoder, self.half, self.older = encoder, max(limit // 2, 1), {}
+        self.half, self.make, self.older = max(limit // 2, 1), make, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
+    def __missing__(self, key: str) -> bytes | None:
+        ids = self.older.get(key)
         if ids is None:
-            if "\n" in word and self.encoder.plain:
-                first, *rest = word.split("\n")
-                if first and all(rest) and not any(x[0].isspace() or x[-1].isspace() for x in (first, *rest)):
-                    return self[first] + b"".join([self[" " + x] for x in rest])
-            if not word or word[0] != " " and word[0].isspace() or word[-1].isspace():
-                raise _Unsafe
-            ids = self.encoder.line(word[1:]) if word[0] == " " else self.encoder.word(word)
+            ids = self.make(key)
+        if ids is None:
+            return None
         if len(self) >= self.half:
             self.older = dict(self)
             self.clear()
-        self[word] = ids
+        self[key] = ids
         return ids
 
 
@@ -75,8 +69,19 @@ class _Letters(dict):
         return out
 
 
+def _gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries that lie one behind the other those of ``codes``, in that order, and their sizes."""
+    start, n = np.cumsum(sizes) - sizes, sizes[codes]
+    return ids[np.repeat(start[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+
+def _pooled(entries: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    entries = [x or b"" for x in entries]
+    return np.frombuffer(b"".join(entries), "<u4"), np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes."""
+    """Ids of texts as little-endian 32-bit numbers."""
 
     def __init__(self, path: str, cache_words: int = 500_000):
         from tokenizers import Tokenizer
@@ -84,7 +89,6 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.merged = self.tok.model.tokenize
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.words = _Words(self, cache_words)
         # the tokenizer's letters for bytes: printable Latin-1 stands for itself, the rest follows from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [x for x in range(256) if x not in own]
@@ -92,48 +96,77 @@ class Encoder:
         self.letters, self.blank = _Letters(letters), chr(letters[32])
         self.newline = self.whole("\n")
         self.plain = {chr(x) for x in [*own, *letters.values()]} == set(ByteLevel.alphabet()) and self.whole("a.\nb") == self.whole("a.") + self.newline + self.whole("b")
-        self.marks: dict[str, bytes] = {}
+        # letters behind a blank, letters behind a line end, marks behind letters, and all other words behind a blank
+        self.cores = _Recent(cache_words, lambda x: self.word(x) if self.plain and x.isalpha() else None)
+        self.lines = _Recent(cache_words // 4, lambda x: self._spelled(x, "") if self.plain and x.isalpha() else None)
+        self.marks = _Recent(20_000, lambda x: self.whole(x))
+        self.words = _Recent(cache_words // 4, lambda x: self.word(x))
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _spelled(self, word: str, before: str) -> bytes | None:
-        """Letters, perhaps with marks behind, are what the tokenizer takes as one word and one run of marks: straight to its merges."""
-        core = word.rstrip(MARKS)
-        if not (self.plain and core.isalpha()):
-            return None
+    def _spelled(self, core: str, before: str) -> bytes:
+        """Letters are what the tokenizer takes as one word: straight to its merges."""
         letters = core if core.isascii() else "".join(map(self.letters.__getitem__, core))
         pieces = [t.id for t in self.merged(before + letters)]
-        ids = struct.pack(f"<{len(pieces)}I", *pieces)
-        if len(core) == len(word):
-            return ids
-        tail = word[len(core):]
-        if tail not in self.marks:
-            if len(self.marks) >= 10_000:
-                self.marks.clear()
-            self.marks[tail] = self.whole(tail)
-        return ids + self.marks[tail]
-
-    def word(self, word: str) -> bytes:
-        """Behind a blank."""
-        ids = self._spelled(word, self.blank)
-        return self.whole(" " + word) if ids is None else ids
-
-    def line(self, word: str) -> bytes:
-        """Behind a line end, which is a word of its own where no blank is near."""
-        ids = self._spelled(word, "")
-        return self.newline + (self.whole(word) if ids is None else ids)
+        return struct.pack(f"<{len(pieces)}I", *pieces)
+
+    def _marked(self, word: str, cores: _Recent) -> bytes | None:
+        """Letters and perhaps a run of marks behind them, which the tokenizer takes as one more word."""
+        core = word.rstrip(MARKS)
+        ids = cores[core]
+        return ids if ids is None or len(core) == len(word) else ids + self.marks[word[len(core):]]
+
+    def word(self, word: str) -> bytes | None:
+        """Behind a blank. Nothing where white space other than a single blank is between words."""
+        if self.plain and word.isalpha():
+            return self._spelled(word, self.blank)
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        if "\n" in word and self.plain:
+            first, *rest = word.split("\n")
+            if all(rest) and not any(x[0].isspace() or x[-1].isspace() for x in (first, *rest)):
+                # a line end is a word of its own where no blank is near
+                lines = [self.newline + (self._marked(x, self.lines) or self.whole(x)) for x in rest]
+                return (self._marked(first, self.cores) or self.whole(" " + first)) + b"".join(lines)
+        return self.whole(" " + word)
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        try:
-            if first and first[-1].isspace():
-                raise _Unsafe
-            return (self.whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
-        except _Unsafe:
-            return b"".join(map(self.whole, self.parts(text)))
+        return self.encode_all([text])[0].tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Each distinct word of the texts is looked up once, without the marks behind it; the ids of all are then gathered."""
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        at, coded = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        trimmed = pc.ascii_rtrim(words, characters=MARKS)
+        cores = trimmed.dictionary_encode()
+        head, marks = cores.indices.to_numpy().astype(np.int64), pc.subtract(pc.binary_length(words), pc.binary_length(trimmed)).to_numpy().copy()
+        entries = list(map(self.cores.__getitem__, cores.dictionary.to_numpy(zero_copy_only=False)))
+        odd = np.asarray([x is None for x in entries])[head]
+        head[odd], marks[odd] = len(entries) + np.arange(odd.sum()), 0
+        entries += map(self.words.__getitem__, words.filter(pa.array(odd)).to_numpy(zero_copy_only=False))
+        unsafe = np.asarray([x is None for x in entries])[head]
+        marked = marks > 0
+        runs = [w[-n:] for w, n in zip(words.filter(pa.array(marked)).to_numpy(zero_copy_only=False), marks[marked].tolist())]
+        place = {x: len(entries) + i for i, x in enumerate(dict.fromkeys(runs))}
+        tail = np.full(len(head), len(entries) + len(place))
+        tail[marked] = [place[x] for x in runs]
+        ids, n = _gathered(*_pooled([*entries, *map(self.marks.__getitem__, place), b""]), np.stack([head, tail], 1).ravel())
+        # the first word has no blank before it: each text has an entry of its own, for all of it where it is not cut at blanks
+        codes[at[:-1]] = len(head) + np.arange(len(texts))
+        uncut, own = np.logical_or.reduceat(np.append(unsafe, [False] * len(texts))[codes], at[:-1]), []
+        for i, text in enumerate(texts):
+            first = text.partition(" ")[0]
+            special = any(s in text for s in self.special)
+            if special or uncut[i] or first[-1:].isspace():
+                codes[at[i] + 1:at[i + 1]] = len(head) + len(texts)
+                own.append(self.whole(text) if special else b"".join(map(self.whole, self.parts(text))))
+            else:
+                own.append(self.whole(first) if first else b"")
+        own, sizes = _pooled([*own, b""])
+        ids, n = _gathered(np.concatenate([ids, own]), np.concatenate([n.reshape(-1, 2).sum(1), sizes]), codes)
+        return np.split(ids, np.cumsum(n)[at[1:-1] - 1])
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -214,8 +247,21 @@ class Windows:
             yield loose
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, close_id: int = 0, max_open: int = 4096, id_col: str = "doc_id", text_col: str = "text", batch: int = 500) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``tokenizer`` is the path of its file."""
+def spans(texts: list[str], most: int, chars: int) -> Iterator[tuple[int, int]]:
+    """Neighbours, at most ``most``, together at most ``chars`` characters unless it is one text."""
+    a = size = 0
+    for i, text in enumerate(texts):
+        if i > a and (i - a >= most or size + len(text) > chars):
+            yield a, i
+            a, size = i, 0
+        size += len(text)
+    if texts:
+        yield a, len(texts)
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, close_id: int = 0, max_open: int = 4096, id_col: str = "doc_id", text_col: str = "text", batch: int = 1000, batch_chars: int = 4_000_000) -> DataFrame:
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``tokenizer`` is the path of its file. Texts are encoded ``batch`` at a time,
+    fewer where they are long."""
 
     def rows(windows: Windows, done: Iterator[list]):
         for w in done:
@@ -226,21 +272,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, close_id: int =
                 at += len(ids)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer).encode
+        encode_all = encoder(tokenizer).encode_all
         windows = Windows(capacity, TaskContext.get().partitionId() << 32, max_open)
         names = [c.split()[0] for c in PIECES.split(", ")]
-        end = np.asarray([close_id], "<u4").tobytes()
+        end = np.asarray([close_id], "<u4")
 
         def frame(out):
             return pd.DataFrame(out, columns=names).astype({"doc_id": object})
 
         for pdf in it:
             texts = [t or "" for t in pdf["text"]]
-            for a in range(0, len(pdf), batch):
+            for a, b in spans(texts, batch, batch_chars):
                 out = []
-                for doc, text in zip(pdf["id"].iloc[a:a + batch], texts[a:a + batch]):
-                    ids = np.frombuffer(encode(text) + end, "<u4")
-                    doc = None if pd.isna(doc) else doc
+                for doc, ids in zip(pdf["id"].iloc[a:b], encode_all(texts[a:b])):
+                    ids, doc = np.append(ids, end), None if pd.isna(doc) else doc
                     for start in range(0, len(ids), capacity):
                         out.extend(rows(windows, windows.add((doc, start, ids[start:start + capacity], len(ids)))))
                 yield frame(out)
