@@ -5,7 +5,10 @@ histograms (level, node, feature, bin) of integer counts, to which every task ad
 all leaves that the queue may still split, counts only the smaller child of each, and gets the sibling by subtraction. So a tree costs about
 as many passes as it is deep. Tasks merge the histograms and the residuals of a leaf; the driver receives one message a pass.
 
-Rows are packed once into blocks of bin numbers (a byte a feature), labels and predictions. Predictions advance once per round, and blocks are written
+A pass touches few rows: it follows the paths to the leaves it counts and no others, and at the root counts the rows on the rarer side of their
+prediction only (all rows, whatever their side, are counted once). It reads their bins and one bit a level, not their residuals.
+
+Rows are packed once into blocks of bin numbers (a byte a feature) and residuals, dealt evenly to the cores. Residuals advance once per round, and blocks are written
 to the checkpoint folder every ``checkpoint_every`` rounds: a lost executor repeats at most so many rounds of its own rows.
 """
 from __future__ import annotations
@@ -26,9 +29,11 @@ from ..constants import QUANTILE_LEVELS
 from ..session import shared_dir
 
 Tree = list[dict]          # nodes: {"feature", "threshold", "left", "right"} or {"value"}
-BLOCK_ROWS, TASK_ROWS = 100_000, 500_000        # a task's rows outweigh its histograms and what it reports
+PIECE_ROWS, BLOCK_ROWS = 10_000, 50_000        # what is dealt to the tasks, and what they work on at a time
+LEAST_ROWS, TASK_ROWS = 50_000, 500_000         # of a task: fewer are not worth one while cores are idle, more outweigh its histograms and what it reports
 MERGE = 16                 # parts that one task merges
-SUMMARY = 2048             # points that stand for the residuals of a leaf; exact up to so many rows a block
+SUMMARY = 2048             # points that stand for the residuals of a leaf, at the least; exact up to so many rows a task
+SCORE_ROWS = 20_000        # rows that are scored at a time
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> np.ndarray:
@@ -103,19 +108,36 @@ class _Grown:
         return np.array([[*self.split[i], *k] if (k := self.kids[i]) and (keep is None or i in keep) else [-1, 0, 0, 0] for i in range(len(self.kids))], np.int64)
 
 
-def _nodes(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Where the rows of bin numbers end up."""
-    node = np.zeros(len(x), np.int64)
-    live = np.arange(len(x)) if tree[0, 0] >= 0 else np.zeros(0, np.int64)
-    while len(live):
-        f, b, left, right = tree[node[live]].T
-        node[live] = np.where(x[live, f] <= b, left, right)
-        live = live[tree[node[live], 0] >= 0]
-    return node
-
-
-def _packed(df: DataFrame, names: list[str], label: str, edges: np.ndarray, holdout: Column) -> RDD:
-    """Blocks (bin numbers, labels, held out)."""
+def _dealt(tree: Sequence[Sequence], x: np.ndarray, wanted: Sequence[int] | None = None) -> Iterator[tuple[int, np.ndarray | slice]]:
+    """The leaves (or the ``wanted`` ones) and the numbers of their rows. ``tree``: feature, border, left and right by node, feature -1 in leaves; ``x`` by
+    (feature, row). Rows are dealt from node to node, and only along paths that lead to wanted leaves; children have higher numbers than their parents then."""
+    feature, border, left, right = tree
+    if wanted is None:
+        path = range(len(feature))
+    else:
+        path = set(wanted)
+        for node in reversed(range(len(feature))):
+            if feature[node] >= 0 and (left[node] in path or right[node] in path):
+                path.add(node)
+    todo: list = [(0, slice(None))]
+    while todo:
+        node, rows = todo.pop()
+        if feature[node] < 0:
+            yield node, rows
+            continue
+        go = x[feature[node]][rows] <= border[node]
+        for kid, side in ((right[node], False), (left[node], True)):
+            if kid in path:
+                at = np.flatnonzero(go if side else ~go)
+                todo.append((kid, at if isinstance(rows, slice) else rows.take(at)))
+
+
+def _walks(trees: dict[int, np.ndarray]) -> dict[int, list[list[int]]]:
+    return {k: tree.T.tolist() for k, tree in trees.items()}
+
+
+def _packed(df: DataFrame, names: list[str], label: str, edges: np.ndarray, holdout: Column, tasks: int) -> RDD:
+    """Blocks (fitting rows, held-out rows), each of bin numbers by (feature, row) and labels."""
     cols = df.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in names]).alias("x"), F.col(label).cast("double").alias("y"),
                      F.coalesce(holdout, F.lit(False)).alias("out")).where(F.col("y").isNotNull() & ~F.isnan("y"))
     width = len(names)
@@ -123,30 +145,38 @@ def _packed(df: DataFrame, names: list[str], label: str, edges: np.ndarray, hold
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("x").flatten().to_numpy().reshape(-1, width)
-            at = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(width)], axis=1).astype(np.uint8)      # NaN: behind all edges
+            at = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(width)]).astype(np.uint8)      # NaN: behind all edges
             out = [at.tobytes(), b.column("y").to_numpy().tobytes(), b.column("out").to_numpy(zero_copy_only=False).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in out], ["x", "y", "out"])
 
-    def gather(rows):
-        part, n = [], 0
-        for r in rows:
-            part.append((np.frombuffer(r.x, np.uint8).reshape(-1, width), np.frombuffer(r.y), np.frombuffer(r.out, bool)))
-            n += len(part[-1][1])
-            if n >= BLOCK_ROWS:
-                yield tuple(np.concatenate(c) for c in zip(*part, strict=True))
-                part, n = [], 0
-        if part:
-            yield tuple(np.concatenate(c) for c in zip(*part, strict=True))
+    def gather(parts, most):
+        held, n = [], 0
+        for p in parts:
+            held.append(p)
+            n += len(p[1])
+            if n >= most:
+                yield tuple(np.concatenate(c, axis=-1) for c in zip(*held, strict=True))
+                held, n = [], 0
+        if held:
+            yield tuple(np.concatenate(c, axis=-1) for c in zip(*held, strict=True))
 
-    return cols.mapInArrow(pack, "x binary, y binary, out binary").rdd.mapPartitions(gather)
+    def numbered(i, rows):
+        parts = ((np.frombuffer(r.x, np.uint8).reshape(width, -1), np.frombuffer(r.y), np.frombuffer(r.out, bool)) for r in rows)
+        return ((i + j, (i, j, piece)) for j, piece in enumerate(gather(parts, PIECE_ROWS)))
 
+    def blocks(pieces):
+        for x, y, out in gather((p for *_, p in sorted(pieces, key=lambda p: p[:2])), BLOCK_ROWS):
+            yield tuple((np.ascontiguousarray(x[:, side]), y[side]) for side in (~out, out))
 
-def _merged(parts: RDD, add, finish):
-    """``finish`` of the sum over the partitions. Tasks merge groups of ``MERGE`` parts, in their order, until one is left: whatever number of tasks
+    return cols.mapInArrow(pack, "x binary, y binary, out binary").rdd.mapPartitionsWithIndex(numbered).partitionBy(tasks, int).values().mapPartitions(blocks)
+
+
+def _merged(parts: RDD, join, finish=lambda total: total):
+    """``finish`` of the ``join`` over the partitions. Tasks join groups of ``MERGE`` parts, in their order, until one is left: whatever number of tasks
     counted, the driver receives one message."""
 
     def whole(batch):
-        yield reduce(add, (part for _, part in sorted(batch, key=lambda p: p[0])))
+        yield join([part for _, part in sorted(batch, key=lambda p: p[0])])
 
     while (n := parts.getNumPartitions()) > 1:
         numbered = parts.mapPartitionsWithIndex(lambda i, it: [(i // MERGE, (i, part)) for part in it])
@@ -169,29 +199,63 @@ def _add(a: dict, b: dict) -> dict:
     return a
 
 
-def _counts(state: RDD, trees: dict[int, np.ndarray], wanted: dict[int, list[int]], shape: tuple[int, int], losses: np.ndarray | None = None) -> dict:
-    """Histograms of the wanted nodes of each level; with ``losses`` (the levels) also pinball sum and number of the held-out rows, under the level's number."""
-    width, bins = shape
+def _sum(parts: list[dict]) -> dict:
+    return _narrow(reduce(_add, parts[1:], _wide(parts[0])))
+
+
+def _histogram(codes: np.ndarray, size: int) -> np.ndarray:
+    """Rows by (feature, code); ``codes`` by (feature, row)."""
+    if codes.shape[1] < 2 * size:           # one call instead of one a feature
+        return np.bincount((codes + np.arange(len(codes))[:, None] * size).ravel(), minlength=len(codes) * size).reshape(-1, size)
+    return np.stack([np.bincount(c, minlength=size) for c in codes])
+
+
+def _signs(levels: np.ndarray):
+    """Blocks (bins, bits, losses) of a round: bits by (level, row) of the fitting rows at or below their prediction, eight levels a byte; pinball sum and
+    number of the held-out rows by level."""
+
+    def of(block):
+        (x, resid), (_, out) = block
+        a = levels[:, None]
+        return x, np.packbits(resid <= 0, axis=0), np.stack([np.maximum(a * out, (a - 1) * out).sum(1), np.full(len(levels), out.shape[1], float)], axis=1)
+
+    return of
+
+
+def _roots(signs: RDD, active: Sequence[int], levels: np.ndarray, bins: int, every: bool) -> dict:
+    """By level's number: rows on the rarer side of their prediction by (feature, bin); under "losses" pinball sum and number of the held-out rows by level;
+    with ``every`` under "n" all rows by (feature, bin)."""
 
     def part(blocks):
         acc: dict = {}
-        for x, y, out, pred in blocks:
+        for x, bits, losses in blocks:
+            _add(acc, {"losses": losses})
+            if every:
+                _add(acc, {"n": _histogram(x, bins)})
+            under = np.unpackbits(bits, axis=0, count=len(levels)).view(bool)
+            for k in active:
+                _add(acc, {k: _histogram(x[:, np.flatnonzero(under[k] if levels[k] <= 0.5 else ~under[k])], bins)})
+        yield _narrow(acc)
+
+    return _wide(_merged(signs.mapPartitions(part), _sum))
+
+
+def _counts(signs: RDD, trees: dict[int, np.ndarray], wanted: dict[int, list[int]], bins: int) -> dict:
+    """(level number, node) -> rows, and rows at or below their prediction, by (feature, bin), of the wanted leaves of each level."""
+    code, walks = np.uint8 if bins <= 128 else np.uint16, _walks(trees)
+
+    def part(blocks):
+        acc: dict = {}
+        for x, bits, _ in blocks:
+            under = np.unpackbits(bits, axis=0, count=max(wanted) + 1)
             for k, nodes in wanted.items():
-                if losses is not None:
-                    d = y[out] - pred[out, k]
-                    _add(acc, {k: np.array([np.maximum(losses[k] * d, (losses[k] - 1) * d).sum(), len(d)])})
-                place = np.full(len(trees[k]), -1)
-                place[nodes] = np.arange(len(nodes))
-                where = place[_nodes(trees[k], x)]
-                rows = np.flatnonzero((where >= 0) & ~out)
-                at = ((where[rows, None] * width + np.arange(width)) * bins + x[rows]).ravel()
-                size = len(nodes) * width * bins
-                n = np.bincount(at, minlength=size)
-                under = np.bincount(at, weights=np.repeat(y[rows] <= pred[rows, k], width), minlength=size).astype(np.int64)
-                _add(acc, {(k, node): h for node, h in zip(nodes, np.stack([n, under]).reshape(2, len(nodes), width, bins).swapaxes(0, 1), strict=True)})
-        yield acc
-
-    return _wide(_merged(state.mapPartitions(part), _add, _narrow))
+                for node, rows in _dealt(walks[k], x, nodes):
+                    codes = x[:, rows].astype(code, copy=False) << 1 | under[k][rows]
+                    above, below = _histogram(codes, 2 * bins).reshape(len(x), bins, 2).transpose(2, 0, 1)
+                    _add(acc, {(k, node): np.stack([above + below, below])})
+        yield _narrow(acc)
+
+    return _wide(_merged(signs.mapPartitions(part), _sum))
 
 
 def _summary(v: np.ndarray, w: np.ndarray, most: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
@@ -204,30 +268,38 @@ def _summary(v: np.ndarray, w: np.ndarray, most: int = SUMMARY) -> tuple[np.ndar
     return v[np.searchsorted(upto, (np.arange(most) + 0.5) / most * total)], np.full(most, total / most)
 
 
+def _points(v: np.ndarray, most: int) -> tuple[np.ndarray, float]:
+    """The same for values of weight one, and the weight of each point."""
+    v, n = np.sort(v), len(v)
+    return (v, 1.0) if n <= most else (v[np.ceil((np.arange(most) + 0.5) / most * n).astype(np.int64) - 1], n / most)
+
+
 def _leaf_values(state: RDD, trees: dict[int, np.ndarray], levels: np.ndarray) -> dict:
     """(level number, leaf) -> quantile of the residuals at the level."""
+    walks, most = _walks(trees), max(SUMMARY, 4 * SUMMARY // state.getNumPartitions())
 
-    def join(a: dict, b: dict) -> dict:
-        for k, (v, w) in b.items():
-            a[k] = _summary(np.concatenate([a[k][0], v]), np.concatenate([a[k][1], w]), 4 * SUMMARY) if k in a else (v, w)
-        return a
+    def join(parts: list[dict]) -> dict:
+        found: dict = {}
+        for p in parts:
+            for key, (v, w) in p.items():
+                found.setdefault(key, []).append((v, np.broadcast_to(w, len(v))))
+        return {key: _summary(*map(np.concatenate, zip(*vw, strict=True)), 4 * SUMMARY) for key, vw in found.items()}
 
     def part(blocks):
-        acc: dict = {}
-        for x, y, out, pred in blocks:
-            for k, tree in trees.items():
-                leaf, resid = _nodes(tree, x[~out]), (y - pred[:, k])[~out]
-                order = np.argsort(leaf, kind="stable")
-                ids, start = np.unique(leaf[order], return_index=True)
-                acc = join(acc, {(k, int(i)): _summary(r, np.ones(len(r))) for i, r in zip(ids, np.split(resid[order], start[1:]), strict=True)})
-        yield acc
+        held: dict = {}
+        for (x, resid), _ in blocks:
+            for k, walk in walks.items():
+                for node, rows in _dealt(walk, x):
+                    held.setdefault((k, node), []).append(resid[k][rows])
+        yield {key: _points(np.concatenate(vs), most) for key, vs in held.items()}
 
     def quantile(v, w, level):
         order = np.argsort(v, kind="stable")
-        upto = np.cumsum(w[order])
+        upto = np.cumsum(np.broadcast_to(w, len(v))[order])
         return float(v[order][min(np.searchsorted(upto, level * upto[-1] - 1e-9), len(v) - 1)])
 
-    return _merged(state.mapPartitions(part), join, lambda total: {k: quantile(v, w, levels[k[0]]) for k, (v, w) in total.items()})
+    # a leaf that has no row in any task has no value
+    return _merged(state.mapPartitions(part), join, lambda total: {k: quantile(v, w, levels[k[0]]) for k, (v, w) in total.items() if len(v)})
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str = "y", levels=QUANTILE_LEVELS, rounds: int = 300, rate: float = 0.05, max_leaves: int = 15, bins: int = 128,
@@ -249,28 +321,33 @@ def fit(df: DataFrame, features: Sequence[str], label: str = "y", levels=QUANTIL
     base, size = fitting.agg(F.percentile_approx(label, F.array(*[F.lit(float(a)) for a in levels]), 10000).alias("b"), F.count("*").alias("n")).first()
     if base is None:
         return []
+    lv, shape = np.array(levels, float), (len(names), bins)
     models = [{"level": a, "base": float(b), "trees": [], "losses": []} for a, b in zip(levels, base, strict=True)]
-    lv, shape, start = np.array(levels, float), (len(names), bins), np.array(base, float)
-    # passes are many and short: no more tasks than rows keep busy
-    rows = _packed(df, names, label, edges, holdout)
-    rows = rows.coalesce(max(1, min(rows.getNumPartitions(), -(-size // TASK_ROWS))))
-    state = rows.map(lambda b: (*b, np.tile(start, (len(b[1]), 1)))).persist(StorageLevel.MEMORY_AND_DISK)
-    active, before = list(range(len(lv))), None
+    # passes are many and short: every core has a share, but no more tasks than rows keep busy
+    tasks = max(1, -(-size // TASK_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, size // LEAST_ROWS))
+    start, kept = np.array(base, float)[:, None], StorageLevel.MEMORY_AND_DISK_DESER
+    rows = _packed(df, names, label, edges, holdout, tasks)
+    state = rows.map(lambda block: tuple((x, y - start) for x, y in block)).persist(kept)
+    active, before, every = list(range(len(lv))), None, None
     for number in range(rounds + 1):
-        roots = _counts(state, {k: np.array([[-1, 0, 0, 0]]) for k in active}, {k: [0] for k in active}, shape, lv)
+        signs = state.map(_signs(lv)).persist(kept)
+        roots = _roots(signs, active, lv, bins, every is None)
+        every = roots.get("n") if every is None else every
+        if every is None:
+            break               # no row with a label
         if before is not None:
             before.unpersist()
         for k in active:
-            if k in roots and roots[k][1]:
-                models[k]["losses"].append(float(roots[k][0] / roots[k][1]))
+            total, n = roots["losses"][k]
+            if n:
+                models[k]["losses"].append(float(total / n))
         active = [k for k in active if len(ls := models[k]["losses"]) <= patience or min(ls[-patience:]) < min(ls[:-patience]) - tolerance]
         if not active or number == rounds:
             break
         trees = {k: _Grown(shape, min_leaf, l2, lv[k]) for k in active}
         for k in active:
-            if (k, 0) in roots:
-                trees[k].add(roots[k, 0])
-        active = [k for k in active if trees[k].gain and trees[k].gain[0] > -np.inf]
+            trees[k].add(np.stack([every, roots[k] if lv[k] <= 0.5 else every - roots[k]]))
+        active = [k for k in active if trees[k].gain[0] > -np.inf]
         if not active:
             break
         chosen: dict[int, list[int]] = {}
@@ -288,7 +365,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str = "y", levels=QUANTIL
             if not wanted:
                 break
             grown = {k: np.concatenate([trees[k].arrays(), np.full((2 * len(wanted[k]), 4), [-1, 0, 0, 0])]) for k in wanted}
-            found = _counts(state, grown, wanted, shape)
+            found = _counts(signs, grown, wanted, bins)
             for k, nodes in wanted.items():
                 t = trees[k]
                 for node, small in zip(asked[k], nodes, strict=True):
@@ -301,20 +378,24 @@ def fit(df: DataFrame, features: Sequence[str], label: str = "y", levels=QUANTIL
         steps = {}
         for k in active:
             step = np.array([rate * values.get((k, i), 0.0) for i in range(len(final[k]))])
-            steps[k] = (final[k], step)
+            steps[k] = (final[k].T.tolist(), step)
             models[k]["trees"].append(_as_tree(final[k], step, edges))
 
         def advance(block, steps=steps):
-            x, y, out, p = block
-            p = p.copy()
-            for k, (tree, step) in steps.items():
-                p[:, k] += step[_nodes(tree, x)]
-            return x, y, out, p
-
-        before, state = state, state.map(advance).persist(StorageLevel.MEMORY_AND_DISK)
+            def ahead(x, resid):
+                resid = resid.copy()
+                for k, (walk, step) in steps.items():
+                    for node, rows in _dealt(walk, x):
+                        resid[k][rows] -= step[node]
+                return x, resid
+            return tuple(ahead(*side) for side in block)
+
+        before, state = state, state.map(advance).persist(kept)
+        signs.unpersist()
         if (number + 1) % checkpoint_every == 0:
             state.checkpoint()
-    state.unpersist()
+    for rdd in (state, signs):
+        rdd.unpersist()
     for m in models:
         if m["losses"]:
             m["trees"] = m["trees"][:int(np.argmin(m["losses"]))]
@@ -352,14 +433,32 @@ def score_columns(df: DataFrame, models: Sequence[dict], features: Sequence[str]
     return df.withColumn(out, F.sort_array(F.array(*cols)))
 
 
+def _scores(models: Sequence[dict], x: np.ndarray) -> np.ndarray:
+    """Quantiles by (row, level); ``x`` by (row, feature)."""
+    x, q = np.ascontiguousarray(x.T), np.zeros((len(models), len(x)))
+    for m, total in zip(models, q, strict=True):
+        for t in m["trees"]:
+            for node, rows in _dealt([[n.get(c, -1) for n in t] for c in ("feature", "threshold", "left", "right")], x):
+                total[rows] += t[node]["value"]
+        total += m["base"]
+    return np.sort(np.maximum(q.T, 0.0), axis=1)
+
+
 def score_arrow(df: DataFrame, models: Sequence[dict], features: Sequence[str], out: str = "q") -> DataFrame:
-    """Same result for large ensembles: vectorised traversal over Arrow batches; the trees travel with the task."""
+    """Same result for large ensembles: rows are dealt down the trees, many at a time; the trees travel with the task."""
     models = list(models)
 
-    def kernel(x: pd.Series) -> pd.Series:
-        m = np.stack(x.to_numpy())
-        q = np.stack([mod["base"] + sum((_values(t, m) for t in mod["trees"]), np.zeros(len(m))) for mod in models], axis=1)
-        return pd.Series(list(np.sort(np.maximum(q, 0.0), axis=1)))
+    def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held, n = [], 0
+        for x in batches:
+            if len(x):
+                held.append(np.stack(x.to_numpy()))
+                n += len(x)
+            if n >= SCORE_ROWS:
+                yield pd.Series(list(_scores(models, np.concatenate(held))))
+                held, n = [], 0
+        if held:
+            yield pd.Series(list(_scores(models, np.concatenate(held))))
 
     return df.withColumn(out, F.pandas_udf(kernel, "array<double>")(F.array(*[F.col(c).cast("double") for c in features])))
 
